@@ -7,13 +7,50 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.operators import drift as D
 from ionweave.operators import orphans as O
-from ionweave.session import read
+from ionweave.operators import rejects as R
+from ionweave.session import materialise, read
 
 #: The references of the instrument tables: table, field, target table, whether targets can be deleted.
 REFERENCES = (("pasefframemsmsinfo", "precursor", "precursors"), ("pasefframemsmsinfo", "frame", "frames"), ("precursors", "parent", "frames"))
 
 
+#: Columns of the two export tables as the identification tables have them.
+EXPORT_COLUMNS = {
+    "parse_diann_report": dict(sequence="string", sequence_modified="string", charge="int", mz="double", rt="string", inverse_mobility="double", intensity="double", q_value="double", protein_id="string"),
+    "peptides": dict(protein_id="int", sequence="string", decoy="boolean", missed_cleavages="int", retention_time_gru_predictor="double", events="double", phospho_site_a="int", phospho_site_b="int", sequence_original="string", fasta="string"),
+}
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files, rows = read(spark, sf_dir, "export_files"), read(spark, sf_dir, "export_rows")
+    return files, materialise(D.tagged_values(files, rows), "tagged")  # read by the schemas, the renames and the table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.changes(*_exports(spark, sf_dir)).select("file_id", "change_kind", "field_name")
+
+
+def p1_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternatives per path."""
+    return D.fuse(_exports(spark, sf_dir)[1])
+
+
+def _fused(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    files, tagged = _exports(spark, sf_dir)
+    moved = D.changes(files, tagged).where("change_kind = 'renamed'").select("file_id", "old_name", F.col("field_name").alias("new_name"))
+    return D.fused_table(files, tagged, moved, table, EXPORT_COLUMNS[table])
+
+
+def p1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, "parse_diann_report")
+
+
+def p1_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, "peptides")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for table, field, target in REFERENCES:
@@ -26,6 +63,18 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.orphan_report(p2_found(spark, sf_dir))
 
 
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.load(read(spark, sf_dir, "findings_files"), read(spark, sf_dir, "findings_raw"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rejected(_loaded(spark, sf_dir))
+
+
+def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.valid(_loaded(spark, sf_dir))
+
+
 def _p2_part(table: str, field: str, target: str) -> str:
     return f"""SELECT '{table}' AS ref_table, '{field}' AS ref_field, r.row_id,
   CASE WHEN NOT EXISTS (SELECT 1 FROM {target} t WHERE t.id = r.{field}) THEN 'missing'
@@ -37,5 +86,26 @@ FROM {table} r WHERE r.{field} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {target
 P2_FOUND_SQL = "\nUNION ALL\n".join(_p2_part(*x) for x in REFERENCES)
 P2_REPORT_SQL = f"SELECT ref_table, ref_field, load_day, reason, count(*) AS n_rows FROM ({P2_FOUND_SQL}) f GROUP BY ALL"
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
-ORACLES = {"p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL}
+_TAG = """CASE WHEN v IS NULL OR v IN ('', 'NA') THEN NULL WHEN regexp_full_match(v, '[Tt]rue|[Ff]alse') THEN 'boolean' WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'integer'
+  WHEN regexp_full_match(v, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?[0-9]+[eE][+-]?[0-9]+') THEN 'decimal' ELSE 'text' END"""
+P1_FOUND_SQL = f"""WITH f AS (SELECT file_id, file_format, header_line, lag(file_id) OVER (PARTITION BY export_table, producer ORDER BY written_at, file_id) AS prev FROM export_files),
+j AS (SELECT r.file_id, r.record_no, e.key AS name, CASE WHEN e.type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN e.type IN ('DOUBLE', 'DECIMAL') THEN 'decimal' WHEN e.type = 'BOOLEAN' THEN 'boolean'
+    WHEN e.type = 'ARRAY' THEN 'array' WHEN e.type = 'OBJECT' THEN 'object' WHEN e.type = 'NULL' OR e.atom IN ('""', '"NA"') THEN NULL ELSE 'text' END AS tag, CAST(e.value AS VARCHAR) AS v
+  FROM export_rows r JOIN f USING (file_id), json_each(r.payload) e WHERE f.file_format = 'json'),
+t AS (SELECT file_id, record_no, name, {_TAG} AS tag, v FROM (
+  SELECT r.file_id, r.record_no, unnest(string_split(f.header_line, chr(9))) AS name, unnest(string_split(r.payload, chr(9))) AS v FROM export_rows r JOIN f USING (file_id) WHERE f.file_format <> 'json') x),
+a AS (SELECT file_id, record_no, name, tag, CASE WHEN tag IS NOT NULL THEN v END AS v FROM (SELECT * FROM j UNION ALL SELECT * FROM t) y),
+p AS (SELECT file_id, name, CASE WHEN bool_and(coalesce(tag, 'decimal') IN ('integer', 'decimal')) AND bool_or(tag = 'decimal') THEN 'decimal' ELSE string_agg(DISTINCT tag, '|' ORDER BY tag) END AS kind FROM a GROUP BY ALL),
+d AS (SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.name, o.name) AS name, n.name IS NULL AS gone, o.name IS NULL AS fresh, n.kind AS nk, o.kind AS ok
+  FROM (SELECT f.file_id, p.* EXCLUDE (file_id) FROM f JOIN p USING (file_id) WHERE prev IS NOT NULL) n
+  FULL JOIN (SELECT f.file_id, p.* EXCLUDE (file_id) FROM f JOIN p ON p.file_id = f.prev) o ON n.file_id = o.file_id AND n.name = o.name),
+c AS (SELECT DISTINCT f.file_id, f.prev, x.record_no FROM f JOIN (SELECT DISTINCT file_id, record_no FROM a) x ON x.file_id = f.file_id JOIN (SELECT DISTINCT file_id, record_no FROM a) y ON y.file_id = f.prev AND y.record_no = x.record_no),
+m AS (SELECT o.file_id, o.name AS old_name, n.name AS new_name FROM d o JOIN d n ON o.file_id = n.file_id AND o.gone AND n.fresh
+  WHERE EXISTS (SELECT 1 FROM c WHERE c.file_id = o.file_id) AND NOT EXISTS (SELECT 1 FROM c LEFT JOIN a x ON x.file_id = c.prev AND x.record_no = c.record_no AND x.name = o.name
+    LEFT JOIN a y ON y.file_id = c.file_id AND y.record_no = c.record_no AND y.name = n.name WHERE c.file_id = o.file_id AND x.v IS DISTINCT FROM y.v))
+SELECT file_id, 'renamed' AS change_kind, new_name AS field_name FROM m
+UNION ALL SELECT file_id, CASE WHEN gone THEN 'removed' ELSE 'added' END, name FROM d WHERE gone AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = d.file_id AND m.old_name = d.name) OR fresh AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = d.file_id AND m.new_name = d.name)
+UNION ALL SELECT file_id, 'retyped', name FROM d WHERE NOT gone AND NOT fresh AND nk <> ok"""
+
+QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL}

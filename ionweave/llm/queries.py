@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionweave.functions import peptidoform as P
-from ionweave.llm import survivor, topn
+from ionweave.llm import language, packing, survivor, tokens, topn
 from ionweave.session import read
 
 TOP = 3
+#: Container size of the packing, in tokens.
+CAPACITY = 4096
 SURVIVOR_FIELDS = ("sequence", "charge", "intensity", "rt")
 
 
@@ -42,6 +44,46 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(read(spark, sf_dir, "precursors"), "parent", "intensity", "id", TOP).select("parent", "id", "rank_no")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each text comes back from its ids."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), counts_only=True)
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir), CAPACITY)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(_segments(spark, sf_dir))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).drop("code")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_segments(spark, sf_dir))
+
+
 P6_FOUND_SQL = f"""SELECT parent, id, rank_no FROM (
   SELECT parent, id, row_number() OVER (PARTITION BY parent ORDER BY intensity DESC, id) AS rank_no FROM (
     SELECT parent, id, max(intensity) AS intensity FROM precursors
@@ -64,5 +106,5 @@ u AS (SELECT *, 'sequence' AS field_name FROM g WHERE regexp_full_match(sequence
 P5_FOUND_SQL = _P5_ROWS + """ SELECT group_id, field_name, finding_id FROM (
   SELECT group_id, field_name, finding_id, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, finding_id) AS r FROM u WHERE n >= 2) x WHERE r = 1"""
 
-QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found}
+QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
 ORACLES = {"p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL}

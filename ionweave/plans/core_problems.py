@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.functions import quantities as Q
 from ionweave.operators import drift as D
 from ionweave.operators import orphans as O
 from ionweave.operators import rejects as R
+from ionweave.operators import units as U
 from ionweave.session import materialise, read
 
 #: The references of the instrument tables: table, field, target table, whether targets can be deleted.
@@ -75,6 +77,33 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.valid(_loaded(spark, sf_dir))
 
 
+#: Retention times: table, identifier, column, the table's own unit.
+TIMES = (("parse_diann_report", "row_id", "rt", "min"), ("findings", "finding_id", "rt", "s"), ("peptides", "row_id", "retention_time_gru_predictor", "s"))
+
+
+def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for table, ident, column, own in TIMES:
+        df = read(spark, sf_dir, table)
+        rows = df.select(F.lit(table).alias("history"), F.col(ident).alias("row_id"), "source_id", "loaded_at", F.lit(own).alias("own"), F.col(column).alias("_time"))
+        if dict(df.dtypes)[column] == "string":
+            parts.append(Q.parse_times(rows, "_time").drop("_time"))
+        else:
+            v = F.when(~F.isnan("_time"), F.col("_time").cast("double"))
+            parts.append(rows.select("history", "row_id", "source_id", "loaded_at", "own", v.alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("seconds")))
+    sources = read(spark, sf_dir, "sources").select("source_id", F.col("dead_s").alias("low"), F.col("gradient_s").alias("high"))
+    notes = read(spark, sf_dir, "source_notes").select("source_id", "valid_from", Q.stated_unit(F.col("note_text")).alias("unit"))
+    return U.assign_units(reduce(DataFrame.unionByName, parts), sources, notes)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit_rows(spark, sf_dir).where("unit_code is not null and unit_code <> own").select(F.col("history").alias("table_name"), "row_id", "unit_code")
+
+
+def p4_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit_rows(spark, sf_dir).select(F.col("history").alias("table_name"), "row_id", "unit_code", "rule", "seconds")
+
+
 def _p2_part(table: str, field: str, target: str) -> str:
     return f"""SELECT '{table}' AS ref_table, '{field}' AS ref_field, r.row_id,
   CASE WHEN NOT EXISTS (SELECT 1 FROM {target} t WHERE t.id = r.{field}) THEN 'missing'
@@ -107,5 +136,19 @@ SELECT file_id, 'renamed' AS change_kind, new_name AS field_name FROM m
 UNION ALL SELECT file_id, CASE WHEN gone THEN 'removed' ELSE 'added' END, name FROM d WHERE gone AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = d.file_id AND m.old_name = d.name) OR fresh AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = d.file_id AND m.new_name = d.name)
 UNION ALL SELECT file_id, 'retyped', name FROM d WHERE NOT gone AND NOT fresh AND nk <> ok"""
 
-QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL}
+_P4_VALUES = """SELECT 'parse_diann_report' AS table_name, row_id, source_id, loaded_at, rt AS t, 'min' AS own FROM parse_diann_report
+  UNION ALL SELECT 'findings', finding_id, source_id, loaded_at, rt, 's' FROM findings
+  UNION ALL SELECT 'peptides', row_id, source_id, loaded_at, CASE WHEN NOT isnan(retention_time_gru_predictor) THEN CAST(retention_time_gru_predictor AS VARCHAR) END, 's' FROM peptides"""
+P4_FOUND_SQL = f"""WITH v AS (SELECT *, regexp_replace(trim(t), '^RT=', '') AS x FROM ({_P4_VALUES}) a WHERE regexp_matches(t, '[0-9]')),
+w AS (SELECT *, TRY_CAST(replace(regexp_extract(x, '^[0-9]+(?:[.,][0-9]+)?'), ',', '.') AS DOUBLE) AS n, trim(lower(rtrim(regexp_replace(x, '^[0-9]+(?:[.,][0-9]+)?', ''), '. '))) AS u, regexp_full_match(x, '[0-9:]+:[0-9.]+|PT.*') AS clock FROM v),
+k AS (SELECT source_id, valid_from, CASE regexp_extract(note_text, '(ms|minutes|Sekunden|seconds|heures|hours|s)[]]?$', 1) WHEN 'ms' THEN 'ms' WHEN 'minutes' THEN 'min' WHEN 'heures' THEN 'h' WHEN 'hours' THEN 'h' ELSE 's' END AS unit
+  FROM source_notes WHERE regexp_matches(note_text, '(?i)\\brt\\b|retention|rétention') AND regexp_matches(note_text, '(ms|minutes|Sekunden|seconds|heures|hours|[[]s)[]]?$')),
+z AS (SELECT w.*, CASE WHEN clock THEN 'clock' WHEN u IN ('s', 'sec', 'seconds', 'sek') THEN 's' WHEN u IN ('min', 'mins', 'minutes', chr(39)) THEN 'min' WHEN u IN ('ms', 'msec', 'milliseconds') THEN 'ms' WHEN u IN ('h', 'hrs', 'hours', 'std') THEN 'h'
+    ELSE coalesce((SELECT max_by(unit, valid_from) FROM k WHERE k.source_id = w.source_id AND k.valid_from <= w.loaded_at),
+      CASE WHEN CAST(n BETWEEN dead_s AND gradient_s AS INT) + CAST(n * 60 BETWEEN dead_s AND gradient_s AS INT) + CAST(n * 0.001 BETWEEN dead_s AND gradient_s AS INT) + CAST(n * 3600 BETWEEN dead_s AND gradient_s AS INT) = 1 THEN
+        CASE WHEN n BETWEEN dead_s AND gradient_s THEN 's' WHEN n * 60 BETWEEN dead_s AND gradient_s THEN 'min' WHEN n * 0.001 BETWEEN dead_s AND gradient_s THEN 'ms' ELSE 'h' END END) END AS unit_code
+  FROM w LEFT JOIN sources s USING (source_id))
+SELECT table_name, row_id, unit_code FROM z WHERE unit_code <> own"""
+
+QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_seconds": p4_seconds}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p4_found": P4_FOUND_SQL}

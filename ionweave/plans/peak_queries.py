@@ -30,8 +30,8 @@ R.add("i008_global_metadata", lambda v: v.table("nation").agg(*[F.max(F.when(F.c
 R.add("i018_overlap_read", lambda v: v.ms1.where("rt_lo <= 120 and rt_hi >= 60"), "SELECT * FROM v_ms1 WHERE rt_lo <= 120 AND rt_hi >= 60", "ms1")
 R.add("i028_peaks_per_scan", lambda v: v.spark.range(512).select(F.col("id").cast("int").alias("scan")).join(v.peaks.groupBy("scan").agg(F.count(F.lit(1)).alias("n")), "scan", "left").na.fill(0, ["n"]), "SELECT CAST(s.scan AS INT) AS scan, count(p.scan) AS n FROM range(512) s(scan) LEFT JOIN v_peaks p ON p.scan = s.scan GROUP BY s.scan", "peaks")
 R.add("i026_encode_order", lambda v: v.peaks.groupBy("frame_id", "scan", "tof").agg(F.least(F.sum("intensity"), F.lit(4294967295.0)).alias("intensity")), "SELECT frame_id, scan, tof, least(sum(intensity), 4294967295.0) AS intensity FROM v_peaks GROUP BY ALL", "peaks")
-_step = F.col("tof") - F.coalesce(F.lag("tof").over(Window.partitionBy("frame_id", "scan").orderBy("tof")), F.lit(-1))
-R.add("i029_tof_delta", lambda v: v.peaks.select("frame_id", "scan", "tof").distinct().withColumn("step", _step), "SELECT frame_id, scan, tof, tof - coalesce(lag(tof) OVER (PARTITION BY frame_id, scan ORDER BY tof), -1) AS step FROM (SELECT DISTINCT frame_id, scan, tof FROM v_peaks) x", "peaks")
+_step = lambda: F.col("tof") - F.coalesce(F.lag("tof").over(Window.partitionBy("frame_id", "scan").orderBy("tof")), F.lit(-1))
+R.add("i029_tof_delta", lambda v: v.peaks.select("frame_id", "scan", "tof").distinct().withColumn("step", _step()), "SELECT frame_id, scan, tof, tof - coalesce(lag(tof) OVER (PARTITION BY frame_id, scan ORDER BY tof), -1) AS step FROM (SELECT DISTINCT frame_id, scan, tof FROM v_peaks) x", "peaks")
 R.add("i025_scan_expansion", lambda v: v.peaks.where("frame_id < 3").groupBy("frame_id", "scan").agg(F.count(F.lit(1)).cast("int").alias("n")).select("frame_id", "scan", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("place")), "SELECT frame_id, scan, CAST(row_number() OVER (PARTITION BY frame_id, scan) AS INT) AS place FROM v_peaks WHERE frame_id < 3", "peaks")
 R.add("i032_duplicate_frames", lambda v: v.table("frames").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT id, count(*) AS n FROM frames GROUP BY id HAVING count(*) > 1")
 R.add("i051_metadata_index", lambda v: v.peaks.agg(F.min("mz").alias("mz_lo"), F.max("mz").alias("mz_hi"), F.min("scan").alias("scan_lo"), F.max("scan").alias("scan_hi"), F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("total")), "SELECT min(mz) AS mz_lo, max(mz) AS mz_hi, min(scan) AS scan_lo, max(scan) AS scan_hi, count(*) AS n_peaks, sum(intensity) AS total FROM v_peaks", "peaks")
@@ -105,8 +105,8 @@ R.add("i207_moment_fit", lambda v: W.moment_fit(v.peaks.where("frame_id < 20").g
 R.add("i208_trapezoid", lambda v: W.trapezoid(v.peaks.groupBy("frame_id", "scan").agg(F.sum("intensity").alias("intensity")), "scan", "intensity", 99.5, 300.25, "frame_id").select("frame_id", r6("area").alias("area")), f"WITH s AS (SELECT frame_id, scan AS x, sum(intensity) AS y FROM v_peaks GROUP BY ALL), g AS (SELECT *, lead(x) OVER (PARTITION BY frame_id ORDER BY x) AS x1, lead(y) OVER (PARTITION BY frame_id ORDER BY x) AS y1 FROM s), c AS (SELECT *, greatest(x, 99.5) AS a, least(x1, 300.25) AS b FROM g WHERE x1 IS NOT NULL) SELECT frame_id, {_R6('sum((y + (y1 - y) * (a - x) / (x1 - x) + y + (y1 - y) * (b - x) / (x1 - x)) / 2 * (b - a))')} AS area FROM c WHERE b > a GROUP BY frame_id", "peaks")
 R.add("i209_apexes", lambda v: W.apexes(B.marginal(v.peaks, "scan", 0, 511).withColumn("g", F.floor(F.col("scan") / 512)), "scan", "g").select("scan", r6("apex").alias("apex")), f"WITH s AS (SELECT scan, sum(intensity) AS i FROM v_peaks GROUP BY scan), f AS (SELECT CAST(r.scan AS INT) AS scan, coalesce(i, 0) AS i FROM range(512) r(scan) LEFT JOIN s USING (scan)), n AS (SELECT *, lag(i) OVER (ORDER BY scan) AS l, lead(i) OVER (ORDER BY scan) AS r FROM f) SELECT scan, {_R6('scan + CASE WHEN abs(l - 2 * i + r) > 1e-12 THEN 0.5 * (l - r) / (l - 2 * i + r) ELSE 0 END')} AS apex FROM n WHERE i > l AND i >= r", "peaks")
 R.add("i210_interpolate", lambda v: W.interpolate_at(v.frame_info, "time", 12.5, "ms_type", order=["time", "frame_id"]), "WITH r AS (SELECT ms_type, time, row_number() OVER (PARTITION BY ms_type ORDER BY time, frame_id) - 1 AS i, count(*) OVER (PARTITION BY ms_type) AS n FROM v_frame_info), w AS (SELECT ms_type, time, greatest(0, 1 - abs(i - least(12.5, n - 1))) AS w FROM r) SELECT ms_type, sum(time * w) / sum(w) AS time FROM w GROUP BY ms_type", "frame_info")
-_near = (F.col("rt_lo") - F.lag("rt_lo").over(Window.partitionBy("window_group").orderBy("rt_lo", "cluster_id")) <= 1) & (F.abs(F.col("im_lo") - F.lag("im_lo").over(Window.partitionBy("window_group").orderBy("rt_lo", "cluster_id"))) <= 40)
-R.add("i215_chain_merge", lambda v: W.chain_merge(v.ms1, ["rt_lo", "cluster_id"], _near, "window_group").groupBy("window_group", "chain").agg(F.min("rt_lo").alias("rt_lo"), F.max("rt_hi").alias("rt_hi"), F.max("raw_sum").alias("top"), F.count(F.lit(1)).alias("n")).drop("chain"), "SELECT window_group, min(rt_lo) AS rt_lo, max(rt_hi) AS rt_hi, max(raw_sum) AS top, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY window_group ORDER BY rt_lo, cluster_id) AS chain FROM (SELECT *, CASE WHEN rt_lo - lag(rt_lo) OVER w <= 1 AND abs(im_lo - lag(im_lo) OVER w) <= 40 THEN 0 ELSE 1 END AS brk FROM v_ms1 WINDOW w AS (PARTITION BY window_group ORDER BY rt_lo, cluster_id)) x) y GROUP BY window_group, chain", "ms1")
+_near = lambda: (F.col("rt_lo") - F.lag("rt_lo").over(Window.partitionBy("window_group").orderBy("rt_lo", "cluster_id")) <= 1) & (F.abs(F.col("im_lo") - F.lag("im_lo").over(Window.partitionBy("window_group").orderBy("rt_lo", "cluster_id"))) <= 40)
+R.add("i215_chain_merge", lambda v: W.chain_merge(v.ms1, ["rt_lo", "cluster_id"], _near(), "window_group").groupBy("window_group", "chain").agg(F.min("rt_lo").alias("rt_lo"), F.max("rt_hi").alias("rt_hi"), F.max("raw_sum").alias("top"), F.count(F.lit(1)).alias("n")).drop("chain"), "SELECT window_group, min(rt_lo) AS rt_lo, max(rt_hi) AS rt_hi, max(raw_sum) AS top, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY window_group ORDER BY rt_lo, cluster_id) AS chain FROM (SELECT *, CASE WHEN rt_lo - lag(rt_lo) OVER w <= 1 AND abs(im_lo - lag(im_lo) OVER w) <= 40 THEN 0 ELSE 1 END AS brk FROM v_ms1 WINDOW w AS (PARTITION BY window_group ORDER BY rt_lo, cluster_id)) x) y GROUP BY window_group, chain", "ms1")
 R.add("i216_stride_thin", lambda v: W.stride_thin(v.peaks, 50, ["tof", "scan", "mz", "intensity"], "frame_id").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity")), "SELECT frame_id, count(*) AS n, sum(intensity) AS intensity FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY tof, scan, mz, intensity) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS c FROM v_peaks) x WHERE i % CAST(ceil(c / 50.0) AS BIGINT) = 0 GROUP BY frame_id", "peaks")
 R.add("i221_analytic", lambda v: v.truth.select("seq_id", F.rank().over(Window.partitionBy("charge").orderBy(F.desc("intensity"))).alias("rank"), F.ntile(4).over(Window.partitionBy("charge").orderBy("intensity", "seq_id")).alias("tile"), F.lead("seq_id").over(Window.partitionBy("charge").orderBy("seq_id")).alias("next_id")), "SELECT seq_id, CAST(rank() OVER (PARTITION BY charge ORDER BY intensity DESC) AS INT) AS rank, CAST(ntile(4) OVER (PARTITION BY charge ORDER BY intensity, seq_id) AS INT) AS tile, lead(seq_id) OVER (PARTITION BY charge ORDER BY seq_id) AS next_id FROM v_truth", "truth")
 

@@ -50,7 +50,7 @@ def token_mass(token: Column, mods: dict[int, float] | None = None) -> Column:
 
 def mass_vector(sequence: Column) -> Column:
     """Mass of each residue with its tags, by place."""
-    return F.transform(tokens(sequence), token_mass)
+    return F.transform(tokens(sequence), lambda t: token_mass(t))
 
 
 def mod_vector(sequence: Column) -> Column:
@@ -108,7 +108,7 @@ def peptide_formula(df: DataFrame, key: str, sequence: str = "sequence") -> Data
 
 def product_ions(df: DataFrame, key: str, kinds: tuple[str, ...] = ("b", "y"), charge: int = 1, sequence: str = "sequence") -> DataFrame:
     """``key, kind, ordinal, ion, mass, mz`` of all proper prefixes (a, b, c) and suffixes (x, y, z)."""
-    t = df.select(key, tokens(F.col(sequence)).alias("t")).withColumn("m", F.transform("t", token_mass)).withColumn("n", F.size("t")).where("n > 1")
+    t = df.select(key, tokens(F.col(sequence)).alias("t")).withColumn("m", F.transform("t", lambda t: token_mass(t))).withColumn("n", F.size("t")).where("n > 1")
     rows = t.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("ordinal"), F.lit(None).alias("_")).drop("_")
     parts = []
     for kind in kinds:

@@ -61,8 +61,8 @@ def tof_to_mz(tof: Column, timebase: float, delay: float, c0: float, b: float, c
     t = tof * timebase + delay
     s = (t - c0) / b
     if c3:
-        for _ in range(8):
-            s = s - (c0 + b * s + c2 * s * s + c3 * s * s * s - t) / (b + 2 * c2 * s + 3 * c3 * s * s)
+        newton = lambda a, _: a - (c0 + b * a + c2 * a * a + c3 * a * a * a - t) / (b + 2 * c2 * a + 3 * c3 * a * a)
+        s = F.aggregate(F.sequence(F.lit(1), F.lit(8)), s, newton)
     elif c2:
         s = 2 * (t - c0) / (b + F.sqrt(F.greatest(b * b + 4 * c2 * (t - c0), F.lit(0.0))))
     return s * s - c4

@@ -18,21 +18,33 @@ def small(df: DataFrame, limit: int = SMALL_DIMENSION) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def bucketed_interval_join(left: DataFrame, right: DataFrame, lspan: tuple[str, str], rspan: tuple[str, str], width: float, keys: list[str] | None = None, residual: Column | None = None) -> DataFrame:
-    """Pairs whose inclusive intervals overlap and whose ``keys`` agree. Other column names must differ.
+def bucketed_box_join(left: DataFrame, right: DataFrame, dims: list[tuple[tuple[str, str], tuple[str, str], float]], keys: list[str] | None = None, residual: Column | None = None) -> DataFrame:
+    """Pairs whose boxes overlap on every axis and whose ``keys`` agree. Other column names must differ.
 
-    Intervals much longer than ``width`` make many buckets, points one. Rows with a null or reversed interval match nothing.
+    ``dims`` has for each axis the inclusive interval of the left and of the right side and a bucket width. Each row goes to
+    the cells that its box touches; with two axes a cell holds so many fewer rows that dense places do not multiply.
+    Intervals much longer than the width make many cells, points one. Rows with a null or reversed interval match nothing.
     """
-    keys = keys or []
+    keys, buckets = keys or [], [f"_k{i}" for i in range(len(dims))]
+
+    def cut(df: DataFrame, side: int) -> DataFrame:
+        tag = "lr"[side]
+        for i, dim in enumerate(dims):
+            lo, hi = (F.floor(F.col(c) / dim[2]) for c in dim[side])
+            df = df.where(F.col(dim[side][0]) <= F.col(dim[side][1])).withColumn(f"_{tag}{i}", lo).withColumn(f"_k{i}", F.explode(F.sequence(lo, hi)))
+        return df
 
-    def cut(df: DataFrame, span: tuple[str, str], tag: str) -> DataFrame:
-        lo, hi = (F.floor(F.col(c) / width) for c in span)
-        d = df.where(F.col(span[0]) <= F.col(span[1])).withColumn(f"_{tag}0", lo)
-        return d.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    pairs = cut(left, 0).join(cut(right, 1), [*keys, *buckets])
+    for i, (l, r, _) in enumerate(dims):
+        pairs = pairs.where((F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1])) & (F.col(f"_k{i}") == F.greatest(f"_l{i}", f"_r{i}")))
+    if residual is not None:
+        pairs = pairs.where(residual)
+    return pairs.drop(*buckets, *[f"_{t}{i}" for t in "lr" for i in range(len(dims))])
 
-    pairs = cut(left, lspan, "l").join(cut(right, rspan, "r"), [*keys, "_bucket"])
-    overlap = (F.col(lspan[0]) <= F.col(rspan[1])) & (F.col(rspan[0]) <= F.col(lspan[1])) & (F.col("_bucket") == F.greatest("_l0", "_r0"))
-    return pairs.where(overlap if residual is None else overlap & residual).drop("_bucket", "_l0", "_r0")
+
+def bucketed_interval_join(left: DataFrame, right: DataFrame, lspan: tuple[str, str], rspan: tuple[str, str], width: float, keys: list[str] | None = None, residual: Column | None = None) -> DataFrame:
+    """Pairs whose inclusive intervals overlap: the join of boxes with one axis."""
+    return bucketed_box_join(left, right, [(lspan, rspan, width)], keys, residual)
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, point: str, span: tuple[str, str], width: float, keys: list[str] | None = None) -> DataFrame:
@@ -62,16 +74,16 @@ def jaccard(lo1: str, hi1: str, lo2: str, hi2: str) -> Column:
     return inter / union
 
 
-def candidates(ms1: DataFrame, ms2: DataFrame, min_jaccard: float, width: float = 8.0, min_im_overlap: int = 1, compat: bool = False) -> DataFrame:
+def candidates(ms1: DataFrame, ms2: DataFrame, min_jaccard: float, width: float = 8.0, im_width: float = 16.0, min_im_overlap: int = 1, compat: bool = False) -> DataFrame:
     """Survey and fragment clusters of one window group whose rt intervals overlap with at least ``min_jaccard`` and whose
-    scan ranges share ``min_im_overlap`` scans. ``compat`` counts disjoint scan ranges as sharing one.
-
-    Groups without partners on the other side are left out before pairs are made.
+    scan ranges share ``min_im_overlap`` scans. ``compat`` counts disjoint scan ranges as sharing one, so that scans
+    cannot narrow the search.
     """
     a = ms1.select(F.col("cluster_id").alias("ms1_id"), "window_group", *[F.col(c).alias(f"a_{c}") for c in ("rt_lo", "rt_hi", "im_lo", "im_hi", "mz", "raw_sum")])
     b = ms2.select(F.col("cluster_id").alias("ms2_id"), "window_group", *[F.col(c).alias(f"b_{c}") for c in ("rt_lo", "rt_hi", "im_lo", "im_hi", "mz", "raw_sum")])
     overlap = F.greatest(F.least("a_im_hi", "b_im_hi") - F.greatest("a_im_lo", "b_im_lo"), F.lit(0 if compat else -1)) + 1
-    pairs = bucketed_interval_join(a, b, ("a_rt_lo", "a_rt_hi"), ("b_rt_lo", "b_rt_hi"), width, ["window_group"], overlap >= min_im_overlap)
+    dims = [(("a_rt_lo", "a_rt_hi"), ("b_rt_lo", "b_rt_hi"), width), (("a_im_lo", "a_im_hi"), ("b_im_lo", "b_im_hi"), im_width)]
+    pairs = bucketed_box_join(a, b, dims[:1] if compat else dims, ["window_group"], overlap >= min_im_overlap)
     return pairs.withColumn("jaccard", jaccard("a_rt_lo", "a_rt_hi", "b_rt_lo", "b_rt_hi")).withColumn("im_overlap", overlap).where(F.col("jaccard") >= min_jaccard)
 
 
@@ -118,16 +130,24 @@ def as_of(left: DataFrame, right: DataFrame, on: str, by: list[str], carry: list
     return out.select("_l.*", *[F.col(f"_g.{c}").alias(f"right_{c}") for c in carry], F.col("_g._at").alias(f"right_{on}"))
 
 
-def nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], carry: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], carry: list[str], block: Column) -> DataFrame:
     """For each left row the right row of the same ``by`` that is nearest on ``on``; the earlier on ties.
 
-    One union and two ordered passes over the same partitions: the last right row before and the first after.
+    ``block`` (monotone in ``on``) cuts each key's axis into blocks that are ordered apart; what lies nearest beyond a
+    block's ends is carried over from the blocks before and after, so a hot key is not one task.
     """
     t = F.struct(F.col(on).alias("_at"), *carry)
     lt, rt = left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType, right.select(t.alias("r")).schema["r"].dataType
     l = left.select(*by, F.col(on), F.struct(*left.columns).alias("_l"), F.lit(None).cast(rt).alias("_r"))
-    u = l.unionByName(right.select(*by, F.col(on), F.lit(None).cast(lt).alias("_l"), t.alias("_r")))
-    w = Window.partitionBy(*by).orderBy(on)
-    u = u.withColumn("_b", F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    u = u.where("_l is not null").withColumn("_g", F.when(F.coalesce(F.col("_f._at") - F.col(on) < F.col(on) - F.col("_b._at"), F.col("_b").isNull()), F.col("_f")).otherwise(F.col("_b")))
-    return u.select("_l.*", *[F.col(f"_g.{c}").alias(f"near_{c}") for c in carry], F.col("_g._at").alias(f"near_{on}"))
+    u = l.unionByName(right.select(*by, F.col(on), F.lit(None).cast(lt).alias("_l"), t.alias("_r"))).withColumn("_block", block)
+    w = Window.partitionBy(*by, "_block")
+    up, down = w.orderBy(F.asc(on)).rangeBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc(on)).rangeBetween(Window.unboundedPreceding, 0)
+    inside = u.withColumn("_b", F.last("_r", ignorenulls=True).over(up)).withColumn("_f", F.last("_r", ignorenulls=True).over(down)).where("_l is not null")
+    ends = u.groupBy(*by, "_block").agg(F.max("_r").alias("_hi"), F.min("_r").alias("_lo"))  # structs compare by place first
+    c = Window.partitionBy(*by)
+    before = c.orderBy(F.asc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = c.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = ends.select(*by, "_block", F.last("_hi", ignorenulls=True).over(before).alias("_hi"), F.last("_lo", ignorenulls=True).over(after).alias("_lo"))
+    x = inside.join(beyond, [*by, "_block"], "left").withColumn("_b", F.coalesce("_b", "_hi")).withColumn("_f", F.coalesce("_f", "_lo"))
+    x = x.withColumn("_g", F.when(F.coalesce(F.col("_f._at") - F.col(on) < F.col(on) - F.col("_b._at"), F.col("_b").isNull()), F.col("_f")).otherwise(F.col("_b")))
+    return x.select("_l.*", *[F.col(f"_g.{k}").alias(f"near_{k}") for k in carry], F.col("_g._at").alias(f"near_{on}"))

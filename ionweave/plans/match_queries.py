@@ -99,7 +99,7 @@ R.add("i110_energy_key", lambda v: J.nearest_key(v.table("pasefframemsmsinfo").w
 R.add("i111_prefix_exists", lambda v: v.truth.join(v.report.select("seq_id", "charge"), ["seq_id", "charge"], "left_semi").select("seq_id", "charge"), "SELECT seq_id, charge FROM v_truth SEMI JOIN v_report USING (seq_id, charge)", "truth report")
 R.add("i112_render_precursors", lambda v: v.peaks.where("frame_id < 10").select("frame_id", "tof", "scan", "intensity", "mz").join(v.truth.where("charge < 3").select(F.col("seq_id").cast("int").alias("tof"), "charge"), "tof").groupBy("frame_id", "scan", F.round("mz").cast("long").alias("k")).agg(F.sum(F.col("intensity") * F.col("charge")).alias("intensity")), "SELECT frame_id, scan, CAST(round(mz) AS BIGINT) AS k, sum(p.intensity * t.charge) AS intensity FROM v_peaks p JOIN v_truth t ON t.seq_id = p.tof AND t.charge < 3 WHERE frame_id < 10 GROUP BY frame_id, scan, CAST(round(mz) AS BIGINT)", "peaks truth")
 R.add("i123_as_of", lambda v: J.as_of(v.traces.where("ms_level = 2").select("event_id", "trace_id", "ts"), v.traces.where("ms_level = 1").select("trace_id", "ts", "intensity").groupBy("trace_id", "ts").agg(F.max("intensity").alias("intensity")), "ts", ["trace_id"], ["intensity"], block=F.date_trunc("day", "ts")).select("event_id", "right_intensity", "right_ts"), "SELECT l.event_id, r.intensity AS right_intensity, r.ts AS right_ts FROM (SELECT * FROM v_traces WHERE ms_level = 2) l ASOF LEFT JOIN (SELECT trace_id, ts, max(intensity) AS intensity FROM v_traces WHERE ms_level = 1 GROUP BY ALL) r ON l.trace_id = r.trace_id AND l.ts >= r.ts", "traces")
-R.add("i123_nearest", lambda v: J.nearest(v.ms2.select("cluster_id", "window_group", "mz").withColumn("x", F.floor(F.col("mz") * 100).cast("long")).select("cluster_id", "window_group", "x"), v.ms1.withColumn("x", F.floor(F.col("mz") * 100).cast("long")).groupBy("window_group", "x").agg(F.min("cluster_id").alias("ms1_id")), "x", ["window_group"], ["ms1_id"]).select("window_group", "near_x", F.abs(F.col("near_x") - F.col("x")).alias("d")).groupBy("window_group").agg(F.sum("d").alias("d"), F.count("near_x").alias("n")), "WITH l AS (SELECT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms2), r AS (SELECT DISTINCT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms1), a AS (SELECT l.window_group, l.x, r.x AS b FROM l ASOF LEFT JOIN r ON l.window_group = r.window_group AND l.x >= r.x), c AS (SELECT a.*, r.x AS f FROM a ASOF LEFT JOIN r ON a.window_group = r.window_group AND a.x <= r.x) SELECT window_group, CAST(sum(least(coalesce(x - b, 9223372036854775807), coalesce(f - x, 9223372036854775807))) AS BIGINT) AS d, count(coalesce(b, f)) AS n FROM c GROUP BY window_group", "ms1 ms2")
+R.add("i123_nearest", lambda v: J.nearest(v.ms2.select("cluster_id", "window_group", "mz").withColumn("x", F.floor(F.col("mz") * 100).cast("long")).select("cluster_id", "window_group", "x"), v.ms1.withColumn("x", F.floor(F.col("mz") * 100).cast("long")).groupBy("window_group", "x").agg(F.min("cluster_id").alias("ms1_id")), "x", ["window_group"], ["ms1_id"], F.floor(F.col("x") / 1024)).select("window_group", "near_x", F.abs(F.col("near_x") - F.col("x")).alias("d")).groupBy("window_group").agg(F.sum("d").alias("d"), F.count("near_x").alias("n")), "WITH l AS (SELECT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms2), r AS (SELECT DISTINCT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms1), a AS (SELECT l.window_group, l.x, r.x AS b FROM l ASOF LEFT JOIN r ON l.window_group = r.window_group AND l.x >= r.x), c AS (SELECT a.*, r.x AS f FROM a ASOF LEFT JOIN r ON a.window_group = r.window_group AND a.x <= r.x) SELECT window_group, CAST(sum(least(coalesce(x - b, 9223372036854775807), coalesce(f - x, 9223372036854775807))) AS BIGINT) AS d, count(coalesce(b, f)) AS n FROM c GROUP BY window_group", "ms1 ms2")
 
 # evaluation
 R.add("i169_deduplicate", lambda v: E.deduplicate(v.report.withColumn("rt", F.col("q") * 100), ["seq_id", "charge"], ["rt"]).select("seq_id", "charge", r6("intensity").alias("intensity"), r6("rt").alias("rt"), "n_rows"), f"SELECT seq_id, charge, {_R6('sum(intensity)')} AS intensity, {_R6('sum(q * 100 * intensity) / sum(intensity)')} AS rt, count(*) AS n_rows FROM v_report GROUP BY ALL", "report")

@@ -13,7 +13,7 @@ from ionweave.operators import windows as W
 from ionweave.plans.registry import Registry
 
 R = Registry()
-_R6 = lambda c: f"round({c} * 1e6) / 1e6"
+_R6 = lambda c: f"round(({c}) * 1e6) / 1e6"
 
 
 def r6(c):
@@ -95,7 +95,7 @@ R.add("i189_value_windows", lambda v: W.value_windows(v.peaks, 50.0, 5, 30.0, "f
 R.add("i190_overlapping_windows", lambda v: W.value_windows(v.peaks, 50.0, 5, 30.0, "frame_id", overlapping=True), "SELECT frame_id, \"window\", count(*) AS n, sum(intensity) AS intensity, min(mz) AS lo, max(mz) AS hi FROM (SELECT frame_id, mz, intensity, CAST(floor(mz / 50) AS BIGINT) AS \"window\" FROM v_peaks UNION ALL SELECT frame_id, mz, intensity, CAST(-floor((mz + 25) / 50) AS BIGINT) FROM v_peaks) x GROUP BY frame_id, \"window\" HAVING count(*) >= 5 AND max(intensity) >= 30", "peaks")
 R.add("i191_scan_windows", lambda v: W.value_windows(v.peaks, 200.0, 1, 0.0, "frame_id", "scan"), "SELECT frame_id, scan, CAST(floor(mz / 200) AS BIGINT) AS \"window\", count(*) AS n, sum(intensity) AS intensity, min(mz) AS lo, max(mz) AS hi FROM v_peaks GROUP BY frame_id, scan, CAST(floor(mz / 200) AS BIGINT)", "peaks")
 R.add("i193_dense_windows", lambda v: W.dense_windows(v.peaks.where("frame_id < 5"), 100.0, 0, "frame_id").select("frame_id", "window", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), "SELECT frame_id, \"window\", CAST(101 AS INT) AS n, sum(i) AS total FROM (SELECT frame_id, CAST(floor(mz / 100) AS BIGINT) AS \"window\", round(mz) - round(floor(mz / 100) * 100) AS c, arg_max(intensity, {'a': mz, 'b': tof}) AS i FROM v_peaks WHERE frame_id < 5 GROUP BY ALL) x GROUP BY frame_id, \"window\"", "peaks")
-R.add("i194_sliding_plan", lambda v: W.sliding_plan(v.frame_info, 20, 10).groupBy("plan").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"), F.count(F.lit(1)).alias("n")), "WITH f AS (SELECT frame_id, row_number() OVER (ORDER BY time, frame_id) - 1 AS at FROM v_frame_info), n AS (SELECT greatest(0, CAST(ceil((count(*) - 20) / 10.0) AS BIGINT)) AS last FROM f), p AS (SELECT unnest(range(last + 1)) AS plan FROM n) SELECT CAST(plan AS BIGINT) AS plan, min(frame_id) AS lo, max(frame_id) AS hi, count(*) AS n FROM p JOIN f ON at >= plan * 10 AND at < plan * 10 + 20 GROUP BY plan", "frame_info")
+R.add("i194_sliding_plan", lambda v: W.sliding_plan(v.frame_info, 20, 10).groupBy("plan").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"), F.count(F.lit(1)).alias("n")), "WITH f AS (SELECT frame_id, row_number() OVER (ORDER BY time, frame_id) - 1 AS pos FROM v_frame_info), n AS (SELECT greatest(0, CAST(ceil((count(*) - 20) / 10.0) AS BIGINT)) AS last FROM f), p AS (SELECT unnest(range(last + 1)) AS plan FROM n) SELECT CAST(plan AS BIGINT) AS plan, min(frame_id) AS lo, max(frame_id) AS hi, count(*) AS n FROM p JOIN f ON pos >= plan * 10 AND pos < plan * 10 + 20 GROUP BY plan", "frame_info")
 R.add("i195_centroid", lambda v: W.centroid(v.peaks, 0.1, ["tof", "scan", "intensity"], "frame_id").select("frame_id", r6("mz").alias("mz"), "intensity", "n"), f"SELECT frame_id, {_R6('sum(mz * intensity) / sum(intensity)')} AS mz, sum(intensity) AS intensity, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY frame_id ORDER BY mz, tof, scan, intensity) AS s FROM (SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY frame_id ORDER BY mz, tof, scan, intensity) > 0.1 THEN 1 ELSE 0 END AS brk FROM v_peaks) x) y GROUP BY frame_id, s", "peaks")
 R.add("i197_smooth", lambda v: W.smooth(v.peaks, 20, "frame_id", "scan").select("frame_id", "scan", "tof", "smoothed"), "SELECT frame_id, scan, tof, sum(intensity) OVER (PARTITION BY frame_id, scan ORDER BY tof RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS smoothed FROM v_peaks", "peaks")
 R.add("i198_local_maxima", lambda v: W.local_maxima(v.peaks, 200, "frame_id").select("frame_id", "scan", "tof", "intensity"), "SELECT frame_id, scan, tof, intensity FROM (SELECT *, max(intensity) OVER (PARTITION BY frame_id ORDER BY tof RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS b, max(intensity) OVER (PARTITION BY frame_id ORDER BY tof RANGE BETWEEN 1 FOLLOWING AND 200 FOLLOWING) AS a FROM v_peaks) x WHERE intensity > coalesce(b, -1) AND intensity >= coalesce(a, -1)", "peaks")

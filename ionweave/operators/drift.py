@@ -116,13 +116,13 @@ def changes(files: DataFrame, tagged: DataFrame) -> DataFrame:
     ``renamed`` (old_name set), ``added``, ``removed`` and ``retyped``. The first file of a series has no changes, nor
     has a file that is empty or follows an empty one any changes but added or removed fields. Names are compared exactly.
     """
-    pairs = series(files).where("prev_id is not null").select("file_id", "prev_id")
+    pairs = materialise(series(files).where("prev_id is not null").select("file_id", "prev_id"), "pairs")
     paths = fuse(tagged)
     now = pairs.join(paths, "file_id").select("file_id", "name", F.col("fused").alias("new_type"), F.lit(True).alias("has_new"))
     before = pairs.join(paths.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "name", F.col("fused").alias("old_type"), F.lit(True).alias("has_old"))
     both = materialise(now.join(before, ["file_id", "name"], "full"), "paths")  # read by the kinds, by both sides of the renames and their pairs
     gone, new = both.where("has_new is null").select("file_id", "name"), both.where("has_old is null").select("file_id", "name")
-    moved = renames(tagged, pairs, gone, new)
+    moved = materialise(renames(tagged, pairs, gone, new), "renames")
     taken = moved.select("file_id", F.col("old_name").alias("name"), F.lit("removed").alias("kind")).unionByName(moved.select("file_id", F.col("new_name").alias("name"), F.lit("added").alias("kind")))
     kind = F.when(F.col("has_new").isNull(), "removed").when(F.col("has_old").isNull(), "added").when(F.col("old_type") != F.col("new_type"), "retyped")
     plain = both.withColumn("kind", kind).where("kind is not null").join(taken, ["file_id", "name", "kind"], "left_anti")

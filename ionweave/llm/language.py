@@ -47,6 +47,8 @@ LONGEST = 5
 MARGIN = 4.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Kana and Han characters.
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff66-\uff9f]")
 
 
 def label_code(label: Column) -> Column:
@@ -59,7 +61,14 @@ def label_code(label: Column) -> Column:
 
 
 def words(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    """Words in lower case; runs of a script without spaces count as overlapping pairs of characters."""
+    out = []
+    for w in _WORD.findall(sentence.lower()):
+        if _UNSPACED.search(w) and len(w) > 1:
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
+        else:
+            out.append(w)
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -75,8 +84,10 @@ class Model:
             totals = Counter()
             for by in counts.values():
                 totals.update(by)
-            base = np.array([math.log(totals[c] + smooth * len(counts) + 1) for c in CODES])
-            return {k: np.log([by.get(c, 0.0) + smooth for c in CODES]) - base for k, by in counts.items()}
+            n = np.array([max(totals[c], 1.0) for c in CODES])
+            # what a language lacks is equally unlikely in all: small languages are not favoured
+            floor = smooth / float(np.median([v for v in totals.values() if v] or [1.0]))
+            return {k: np.log(np.array([by.get(c, 0.0) for c in CODES]) / n + floor) for k, by in counts.items()}
 
         self.grams: dict[str, np.ndarray] = {}
         by_length: dict[int, dict] = {}

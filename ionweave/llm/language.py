@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave.llm.prose import sentences
+from ionweave.session import materialise
 
 #: Codes and names of the languages told apart.
 LANGUAGES = {
@@ -194,9 +195,10 @@ def _counter(model):
 
 def _model(counts: DataFrame) -> Model:
     total = counts.groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n")).groupBy("kind", "feature").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
+    total = materialise(total.where("n > 1"), "features")  # read for the words and for the n-grams
     tables = []
     for kind, most in (("w", MAX_WORDS), ("g", MAX_GRAMS)):
-        top = total.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "feature").limit(most)
+        top = total.where(F.col("kind") == kind).orderBy(F.desc("n"), "feature").limit(most)
         tables.append({r["feature"]: r["by"] for r in top.select("feature", "by").collect()})
     return Model(*tables)
 

@@ -134,16 +134,15 @@ def rank_value(df: DataFrame, value: str, at: Column, *keys: str) -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     if not keys:
-        n = counts.agg(F.sum("c").alias("n"))
         bucket = F.floor(F.col("v") / F.lit(1.0))
         part = counts.withColumn("b", bucket).groupBy("b").agg(F.sum("c").alias("cb"))
         before = part.withColumn("lo", F.coalesce(F.sum("cb").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "lo")
         run = counts.withColumn("b", bucket).join(before, "b").withColumn("hi", F.col("lo") + F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        run = run.join(F.broadcast(n))  # one row
+        run = run.withColumn("n", counts.agg(F.sum("c")).scalar())
     else:
         w = Window.partitionBy(*keys)
         run = counts.withColumn("hi", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    return run.where(F.col("hi") > at).groupBy(*keys).agg(F.min("v").alias(value))
+    return run.where(F.col("hi") > at).groupBy(*keys).agg(F.min("v").alias(value)).where(F.col(value).isNotNull())
 
 
 def nearest_rank_quantile(df: DataFrame, value: str, q: float, *keys: str) -> DataFrame:

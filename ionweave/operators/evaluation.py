@@ -71,8 +71,8 @@ def relative_abundance(df: DataFrame, group: str) -> DataFrame:
 def events_from_totals(df: DataFrame, group: str, scale: float) -> DataFrame:
     """Summed intensity to whole events by the median of the sums, at least one."""
     t = df.groupBy(group).agg(F.sum("intensity").alias("total"))
-    med = t.agg(F.percentile("total", F.lit(0.5)).alias("_m"))
-    return t.join(F.broadcast(med)).select(group, "total", F.greatest(F.lit(1), (F.col("total") / F.col("_m") * scale).cast("long")).alias("events"))
+    median = t.agg(F.percentile("total", F.lit(0.5))).scalar()
+    return t.withColumn("_m", median).select(group, "total", F.greatest(F.lit(1), (F.col("total") / F.col("_m") * scale).cast("long")).alias("events"))
 
 
 def fdp_curve(report: DataFrame, truth: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:

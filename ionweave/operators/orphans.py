@@ -73,8 +73,8 @@ def orphans(refs: DataFrame, parents: DataFrame, *, row_id: str, ref_key: str, p
     """
     rows = refs.select(F.col(row_id).alias("row_id"), F.col(ref_key).cast("long").alias("k"), F.col(ref_loaded).cast("timestamp_ntz").alias("loaded_at")).where("k is not null")
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg((F.sum("n") * F.lit(hot_share)).alias("floor"))
-    hot = F.broadcast(counts.join(F.broadcast(total), F.col("n") > F.col("floor")).select("k"))  # at most 1 / hot_share rows
+    floor = counts.agg(F.sum("n") * F.lit(hot_share)).scalar()
+    hot = F.broadcast(counts.where(F.col("n") > floor).select("k"))  # at most 1 / hot_share rows
     known = match_runs(counts.select("k"), key_runs(parents, parent_key, block), block)
     life = lifetimes(parents, parent_key, parent_loaded, parent_deleted)
     keys = known.join(life, "k", "left").withColumn("first_load", F.when(F.col("known"), F.col("first_load"))).select("k", "known", "first_load", "forever_from", "spans")

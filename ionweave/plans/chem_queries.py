@@ -60,7 +60,7 @@ R.add("i274_charge_pmf", lambda v: C.charge_states(v.table("parse_diann_report")
 R.add("i275_score_primitives", lambda v: v.ms1.select("cluster_id", r6(Y.exp_decay(F.col("rt_hi") - F.col("rt_lo"), 3.0)).alias("decay"), r6(F.log1p("raw_sum")).alias("l"), r6(Y.pooled_sigma((F.col("rt_hi") - F.col("rt_lo")).cast("double"), (F.col("im_hi") - F.col("im_lo")).cast("double"))).alias("sigma")), f"SELECT cluster_id, {_R6('exp(-abs(rt_hi - rt_lo) / 3.0)')} AS decay, {_R6('ln(1 + raw_sum)')} AS l, {_R6('sqrt(0.5 * ((rt_hi - rt_lo) * (rt_hi - rt_lo) + (im_hi - im_lo) * (im_hi - im_lo)))')} AS sigma FROM v_ms1", "ms1")
 R.add("i278_tolerance", lambda v: v.ms1.select("cluster_id", r6(Y.isotope_tolerance(F.col("mz"), 10.0, 0.003)).alias("tol")), f"SELECT cluster_id, {_R6('greatest(mz * 10.0 * 1e-6, 0.003)')} AS tol FROM v_ms1", "ms1")
 R.add("i279_energy_policy", lambda v: v.ms1.select("cluster_id", r6(Y.collision_energy(F.col("mz"), "linear", 10.0, 0.03)).alias("ce")), f"SELECT cluster_id, {_R6('10.0 + 0.03 * mz')} AS ce FROM v_ms1", "ms1")
-R.add("i280_axis_normalise", lambda v: v.peaks.crossJoin(v.peaks.agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))).select("tof", "mz", r6(Y.axis_to_unit(F.col("mz"), F.col("lo"), F.col("hi"))).alias("u")), f"SELECT tof, mz, {_R6('2 * (mz - (SELECT min(mz) FROM v_peaks)) / ((SELECT max(mz) FROM v_peaks) - (SELECT min(mz) FROM v_peaks)) - 1')} AS u FROM v_peaks", "peaks")
+R.add("i280_axis_normalise", lambda v: v.peaks.withColumn("lo", v.peaks.agg(F.min("mz")).scalar()).withColumn("hi", v.peaks.agg(F.max("mz")).scalar()).select("tof", "mz", r6(Y.axis_to_unit(F.col("mz"), F.col("lo"), F.col("hi"))).alias("u")), f"SELECT tof, mz, {_R6('2 * (mz - (SELECT min(mz) FROM v_peaks)) / ((SELECT max(mz) FROM v_peaks) - (SELECT min(mz) FROM v_peaks)) - 1')} AS u FROM v_peaks", "peaks")
 R.add("i282_log_mz", lambda v: v.peaks.select("tof", "mz").distinct().select("tof", "mz", (F.round(Y.log_mz(F.col("mz"), 150.0, 50000.0) * 10) / 10).alias("x")), f"SELECT DISTINCT tof, mz, round((ln(mz) - ln(150)) / ln(1 + 1 / 50000.0) * 10) / 10 AS x FROM v_peaks", "peaks")
 R.add("i283_densities", lambda v: v.frame_info.select("frame_id", r6(Y.normal_pdf(F.col("time"), 30.0, 8.0)).alias("n"), r6(Y.exponential_pdf(F.col("time"), 0.1)).alias("e"), r6(Y.emg_pdf(F.col("time"), 30.0, 5.0, 0.2)).alias("g")).drop("g"), f"SELECT frame_id, {_R6('exp(-0.5 * pow((time - 30) / 8, 2)) / (8 * sqrt(2 * pi()))')} AS n, {_R6('0.1 * exp(-0.1 * time)')} AS e FROM v_frame_info", "frame_info")
 R.add("i285_event_sampling", lambda v: v.table("peptides").select("row_id", N.exponential_events(1000.0, 1, 100000, 3, "peptide_id").alias("events")))

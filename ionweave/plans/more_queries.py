@@ -92,7 +92,7 @@ R.add("i218_stable_ids", lambda v: v.ms1.select("cluster_id", F.xxhash64("window
 R.add("i228_sorted_hits", lambda v: pairs(v).groupBy("ms1_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("o"), "ms2_id"))).alias("h")).select("ms1_id", F.size("h").alias("n"), (-F.get("h", F.lit(0))["o"]).alias("best")))
 R.add("i239_union", lambda v: v.table("peptides").select("sequence", "protein").unionByName(v.table("findings").select("sequence", "protein")).groupBy("protein").agg(F.count(F.lit(1)).alias("n")), "SELECT protein, count(*) AS n FROM (SELECT protein FROM peptides UNION ALL SELECT protein FROM findings) x GROUP BY protein")
 R.add("i242_transmission_sets", lambda v: v.table("embeddings").select("vec_id", F.size(A.transmitted_set(F.col("embedding"), 0.1)).alias("n"), A.any_transmitted(F.col("embedding"), 0.3).alias("some"), A.all_transmitted(F.col("embedding"), -0.4).alias("every")), "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.1)) AS INT) AS n, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.3)) > 0 AS some, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > -0.4)) = len(embedding) AS every FROM embeddings")
-R.add("i257_bounds", lambda v: v.frame_info.where("frame_id between 1 and 50").select("frame_id", A.emg_bounds_udf()(F.col("time"), F.lit(2.0), F.lit(0.5)).alias("b")).select("frame_id", (F.col("b.lo") < F.col("time")).alias("below"), (F.col("b.hi") > F.col("time")).alias("above")), "SELECT frame_id, true AS below, true AS above FROM v_frame_info WHERE frame_id BETWEEN 1 AND 50", "frame_info")
+R.add("i257_bounds", lambda v: v.frame_info.where("frame_id between 1 and 50").select("frame_id", "time", A.emg_bounds_udf()(F.col("time"), F.lit(2.0), F.lit(0.5)).alias("b")).select("frame_id", (F.col("b.lo") < F.col("time")).alias("below"), (F.col("b.hi") > F.col("time")).alias("above")), "SELECT frame_id, true AS below, true AS above FROM v_frame_info WHERE frame_id BETWEEN 1 AND 50", "frame_info")
 R.add("i262_projectors", lambda v: v.frame_info.where("ms_type = 0").withColumn("a", (F.col("time") + F.lag("time").over(Window.orderBy("time"))) / 2).withColumn("b", (F.col("time") + F.lead("time").over(Window.orderBy("time"))) / 2).where("a is not null and b is not null").select("frame_id", r6(Y.normal_mass(F.col("a"), F.col("b"), 40.0, 6.0)).alias("mass")))
 R.add("i272_averagine_cosine", lambda v: v.table("peptides").where("monoisotopic_mass is not null").select("row_id", r6(H.cosine(Y.averagine_weights(F.col("monoisotopic_mass"), 6), Y.averagine_weights(F.col("monoisotopic_mass") + 200, 6))).alias("cosine")).where("cosine > 0.9").select("row_id"), "SELECT row_id FROM peptides WHERE monoisotopic_mass IS NOT NULL")
 R.add("i273_partial_isotopes", lambda v: v.table("peptides").where("monoisotopic_mass is not null").select("row_id", A.transmitted_isotopes(Y.averagine_weights(F.col("monoisotopic_mass") / 2, 4), Y.averagine_weights(F.col("monoisotopic_mass") / 2, 4), F.array(F.lit(0))).alias("w")).select("row_id", F.size(F.filter("w", lambda x: x > 0)).alias("n")), "SELECT row_id, CAST(1 AS INT) AS n FROM peptides WHERE monoisotopic_mass IS NOT NULL")
@@ -102,7 +102,7 @@ R.add("i322_dropout", lambda v: v.table("embeddings").select("vec_id", A.drop_sm
 R.add("i323_tensor_index", lambda v: v.peaks.select("frame_id", "scan", F.dense_rank().over(Window.partitionBy("frame_id").orderBy("scan")).alias("scan_index")).distinct(), "SELECT DISTINCT frame_id, scan, CAST(dense_rank() OVER (PARTITION BY frame_id ORDER BY scan) AS INT) AS scan_index FROM v_peaks", "peaks")
 R.add("i341_energy_sweep", lambda v: M.calibrate(v.table("pasefframemsmsinfo").where("collisionenergy is not null").withColumn("z", F.col("scannumbegin") % 3), [20.0, 30.0, 40.0, 50.0], lambda g: -F.abs(F.col("collisionenergy") - g), "z").select("z", "best"), "WITH g AS (SELECT scannumbegin % 3 AS z, e, avg(-abs(collisionenergy - e)) AS m FROM pasefframemsmsinfo, (SELECT unnest([20.0, 30.0, 40.0, 50.0]::DOUBLE[]) AS e) t WHERE collisionenergy IS NOT NULL GROUP BY ALL) SELECT z, arg_max(e, {'a': m, 'b': -e}) AS best FROM g GROUP BY z")
 R.add("i342_collate", lambda v: v.table("embeddings").select("vec_id", F.size(A.pad(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 10), 16)).alias("n"), F.size(F.filter(A.mask_by_length(F.transform("embedding", lambda x: x.cast("double")), F.lit(5), F.lit(2)), lambda x: x == -1)).alias("masked")), "SELECT vec_id, CAST(16 AS INT) AS n, CAST(44 AS INT) AS masked FROM embeddings")
-R.add("i363_frame_assembly", lambda v: M.render(v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("peptide_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).cast("int").alias("frame_id")).withColumn("abundance", F.lit(2.0)), v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("peptide_id"), F.col("row_id").alias("ion_id"), F.lit(1.0).alias("share")), v.table("peptides").select(F.col("row_id").alias("ion_id"), F.explode(F.array(F.lit(7), F.lit(8))).alias("scan"), F.lit(0.5).alias("abundance")), v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("ion_id"), F.col("monoisotopic_mass").alias("mz"), F.lit(4.0).alias("abundance")), decimals=0), "SELECT CAST(f AS INT) AS frame_id, CAST(s AS INT) AS scan, CAST(round(monoisotopic_mass) AS BIGINT) AS k, count(*) * 4.0::DOUBLE AS intensity FROM peptides, range(1, 4) a(f), range(7, 9) b(s) WHERE monoisotopic_mass IS NOT NULL GROUP BY f, s, CAST(round(monoisotopic_mass) AS BIGINT)")
+R.add("i363_frame_assembly", lambda v: M.render(v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("peptide_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("frame_id")).withColumn("abundance", F.lit(2.0)), v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("peptide_id"), F.col("row_id").alias("ion_id"), F.lit(1.0).alias("share")), v.table("peptides").select(F.col("row_id").alias("ion_id"), F.explode(F.array(F.lit(7), F.lit(8))).alias("scan"), F.lit(0.5).alias("abundance")), v.table("peptides").where("monoisotopic_mass is not null").select(F.col("row_id").alias("ion_id"), F.col("monoisotopic_mass").alias("mz"), F.lit(4.0).alias("abundance")), decimals=0), "SELECT CAST(f AS INT) AS frame_id, CAST(s AS INT) AS scan, CAST(round(monoisotopic_mass) AS BIGINT) AS k, count(*) * 4.0::DOUBLE AS intensity FROM peptides, range(1, 4) a(f), range(7, 9) b(s) WHERE monoisotopic_mass IS NOT NULL GROUP BY f, s, CAST(round(monoisotopic_mass) AS BIGINT)")
 R.add("i405_scan_slices", lambda v: M.scan_slices(v.peaks), "SELECT frame_id, scan, CAST(e - n AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM (SELECT frame_id, scan, n, sum(n) OVER (PARTITION BY frame_id ORDER BY scan) AS e FROM (SELECT frame_id, scan, count(*) AS n FROM v_peaks GROUP BY ALL) x) y", "peaks")
 R.add("i404_precursor_frames", lambda v: v.frame_info.join(v.dia_info, "frame_id", "left_anti").select("frame_id"), "SELECT frame_id FROM v_frame_info ANTI JOIN v_dia_info USING (frame_id)", "frame_info dia_info")
 R.add("i433_transmission_counts", lambda v: transmitted(v).where("p > 0.5 and window_group is not null").groupBy("tof").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("scan").alias("scans")))

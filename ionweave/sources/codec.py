@@ -59,6 +59,8 @@ def decode_frame(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (np.zeros(0, np.uint32),) * 3
     words = unpack_words(zstandard.ZstdDecompressor().decompressobj().decompress(bytes(blob[8:size])))
     n, pairs = int(words[0]), words[int(words[0]) :].reshape(-1, 2)
+    if not len(pairs):
+        return (np.zeros(0, np.uint32),) * 3
     counts = words[1:n].astype(np.int64) // 2
     counts = np.append(counts, len(pairs) - counts.sum())
     scan = np.repeat(np.arange(n, dtype=np.uint32), counts)

@@ -148,4 +148,4 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     used = packed.where("container is not null")
     per_item = used.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     a = used.agg(F.countDistinct("container").alias("n_containers"), F.count(F.lit(1)).alias("n_pieces"), F.sum("size").alias("total_size"))
-    return a.join(per_item.agg(F.count_if(F.col("n") > 1).alias("n_split")), how="cross").withColumn("fill", F.col("total_size") / (F.col("n_containers") * capacity))
+    return a.withColumn("n_split", per_item.agg(F.count_if(F.col("n") > 1)).scalar()).withColumn("fill", F.col("total_size") / (F.col("n_containers") * capacity))

@@ -29,7 +29,7 @@ TABLE_WORDS = 50_000
 #: Longer words are left to the tasks.
 TABLE_WORD_CHARS = 40
 #: Distinct rare words that a task remembers before it forgets them all.
-TASK_WORDS = 500_000
+TASK_WORDS = 200_000
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The public word pattern of byte_bpe_50k in the regular expressions of the JVM.

@@ -95,9 +95,9 @@ def scored(v):
 R.add("i107_best_by_score", lambda v: J.best_match(scored(v), ["window_group", *_MS2], F.desc("score"), F.asc("ms1_id")).groupBy("ms1_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT ms1_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY window_group, ms2_id, b_mz, b_rt_lo, b_im_lo, b_raw_sum ORDER BY {_R6('(jaccard + 0.25 * exp(-abs(ln(b_raw_sum / a_raw_sum)) / 1.5)) / 1.25')} DESC, ms1_id) AS r FROM ({_PAIRS}) p WHERE jaccard >= 0.5 AND a_raw_sum > 0 AND b_raw_sum > 0) x WHERE r = 1 GROUP BY ms1_id", "ms1 ms2")
 R.add("i109_reverse_map", lambda v: J.best_match(pairs(v), ["window_group", *_MS2], *_best()).groupBy("ms1_id").agg(F.size(F.collect_list("ms2_id")).alias("members")), f"SELECT ms1_id, CAST(count(*) AS INT) AS members FROM (SELECT *, row_number() OVER (PARTITION BY window_group, ms2_id, b_mz, b_rt_lo, b_im_lo, b_raw_sum ORDER BY jaccard DESC, im_overlap DESC, a_raw_sum DESC, ms1_id) AS r FROM ({_PAIRS}) p WHERE jaccard >= 0.5) x WHERE r = 1 GROUP BY ms1_id", "ms1 ms2")
 R.add("i224_pseudo_spectra", lambda v: J.best_match(J.best_match(pairs(v), ["window_group", *_MS2], *_best()).withColumn("g", F.col("ms1_id")), ["window_group", "g", "ms2_id"], F.desc("b_raw_sum"), F.asc("b_mz"), F.asc("b_rt_lo"), F.asc("b_im_lo")).withColumn("_r", F.row_number().over(Window.partitionBy("window_group", "ms1_id").orderBy(F.desc("b_raw_sum"), "b_mz", "ms2_id", "b_rt_lo", "b_im_lo"))).where("_r <= 5").groupBy("window_group", "ms1_id").agg(F.array_sort(F.collect_list("b_mz")).alias("mz")).select("window_group", "ms1_id", F.size("mz").alias("n"), F.get("mz", F.lit(0)).alias("first_mz")), f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY window_group, ms2_id, b_mz, b_rt_lo, b_im_lo, b_raw_sum ORDER BY jaccard DESC, im_overlap DESC, a_raw_sum DESC, ms1_id) AS r FROM ({_PAIRS}) p WHERE jaccard >= 0.5), c AS (SELECT *, row_number() OVER (PARTITION BY window_group, ms1_id, ms2_id ORDER BY b_raw_sum DESC, b_mz, b_rt_lo, b_im_lo) AS s FROM b WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY window_group, ms1_id ORDER BY b_raw_sum DESC, b_mz, ms2_id, b_rt_lo, b_im_lo) AS t FROM c WHERE s = 1) SELECT window_group, ms1_id, CAST(count(*) AS INT) AS n, min(b_mz) AS first_mz FROM t WHERE t <= 5 GROUP BY ALL", "ms1 ms2")
-R.add("i110_energy_key", lambda v: J.nearest_key(v.table("pasefframemsmsinfo").where("collisionenergy is not null").select("row_id", F.round(F.col("collisionenergy") * 10).cast("long").alias("ce"), (F.col("scannumbegin") % 4).alias("charge")), v.table("pasefframemsmsinfo").where("collisionenergy is not null and row_id % 7 = 0").select(F.round(F.col("collisionenergy") * 10).cast("long").alias("ce"), (F.col("scannumbegin") % 4).alias("charge"), "isolationmz").groupBy("ce", "charge").agg(F.min("isolationmz").alias("isolationmz")), "ce", ["charge"]).select("row_id", "ce", "matched_key", "isolationmz"), "WITH l AS (SELECT row_id, CAST(round(collisionenergy * 10) AS BIGINT) AS ce, scannumbegin % 4 AS charge FROM pasefframemsmsinfo WHERE collisionenergy IS NOT NULL), d AS (SELECT CAST(round(collisionenergy * 10) AS BIGINT) AS ce, scannumbegin % 4 AS charge, min(isolationmz) AS isolationmz FROM pasefframemsmsinfo WHERE collisionenergy IS NOT NULL AND row_id % 7 = 0 GROUP BY ALL), m AS (SELECT l.row_id, l.ce, d.ce AS matched_key, d.isolationmz, CASE d.ce - l.ce WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS t FROM l JOIN d ON l.charge = d.charge AND abs(d.ce - l.ce) <= 1) SELECT row_id, ce, arg_min(matched_key, t) AS matched_key, arg_min(isolationmz, t) AS isolationmz FROM m GROUP BY row_id, ce")
+R.add("i110_energy_key", lambda v: J.nearest_key(v.table("pasefframemsmsinfo").where("collisionenergy is not null").select("row_id", F.round(F.col("collisionenergy") * 10).cast("long").alias("ce"), (F.col("scannumbegin") % 4).alias("charge")), v.table("pasefframemsmsinfo").where("collisionenergy is not null").select((F.round(F.col("collisionenergy") * 10) + F.col("scannumend") % 3 - 1).cast("long").alias("ce"), (F.col("scannumbegin") % 4).alias("charge"), "isolationmz").groupBy("ce", "charge").agg(F.min("isolationmz").alias("isolationmz")), "ce", ["charge"]).select("row_id", "ce", "matched_key", "isolationmz"), "WITH l AS (SELECT row_id, CAST(round(collisionenergy * 10) AS BIGINT) AS ce, scannumbegin % 4 AS charge FROM pasefframemsmsinfo WHERE collisionenergy IS NOT NULL), d AS (SELECT CAST(round(collisionenergy * 10) + scannumend % 3 - 1 AS BIGINT) AS ce, scannumbegin % 4 AS charge, min(isolationmz) AS isolationmz FROM pasefframemsmsinfo WHERE collisionenergy IS NOT NULL GROUP BY ALL), m AS (SELECT l.row_id, l.ce, d.ce AS matched_key, d.isolationmz, CASE d.ce - l.ce WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS t FROM l JOIN d ON l.charge = d.charge AND abs(d.ce - l.ce) <= 1) SELECT row_id, ce, arg_min(matched_key, t) AS matched_key, arg_min(isolationmz, t) AS isolationmz FROM m GROUP BY row_id, ce")
 R.add("i111_prefix_exists", lambda v: v.truth.join(v.report.select("seq_id", "charge"), ["seq_id", "charge"], "left_semi").select("seq_id", "charge"), "SELECT seq_id, charge FROM v_truth SEMI JOIN v_report USING (seq_id, charge)", "truth report")
-R.add("i112_render_precursors", lambda v: v.peaks.where("frame_id < 10").select("frame_id", "tof", "scan", "intensity", "mz").join(v.truth.where("charge < 3").select(F.col("seq_id").cast("int").alias("tof"), "charge"), "tof").groupBy("frame_id", "scan", F.round("mz").cast("long").alias("k")).agg(F.sum(F.col("intensity") * F.col("charge")).alias("intensity")), "SELECT frame_id, scan, CAST(round(mz) AS BIGINT) AS k, sum(p.intensity * t.charge) AS intensity FROM v_peaks p JOIN v_truth t ON t.seq_id = p.tof AND t.charge < 3 WHERE frame_id < 10 GROUP BY frame_id, scan, CAST(round(mz) AS BIGINT)", "peaks truth")
+R.add("i112_render_precursors", lambda v: v.peaks.select("frame_id", "tof", "scan", "intensity", "mz").join(v.truth.select(F.col("seq_id").cast("int").alias("tof"), "charge"), "tof").groupBy("frame_id", "scan", F.round("mz").cast("long").alias("k")).agg(F.sum(F.col("intensity") * F.col("charge")).alias("intensity")), "SELECT frame_id, scan, CAST(round(mz) AS BIGINT) AS k, sum(p.intensity * t.charge) AS intensity FROM v_peaks p JOIN v_truth t ON t.seq_id = p.tof GROUP BY frame_id, scan, CAST(round(mz) AS BIGINT)", "peaks truth")
 R.add("i123_as_of", lambda v: J.as_of(v.traces.where("ms_level = 2").select("event_id", "trace_id", "ts"), v.traces.where("ms_level = 1").select("trace_id", "ts", "intensity").groupBy("trace_id", "ts").agg(F.max("intensity").alias("intensity")), "ts", ["trace_id"], ["intensity"], block=F.date_trunc("day", "ts")).select("event_id", "right_intensity", "right_ts"), "SELECT l.event_id, r.intensity AS right_intensity, r.ts AS right_ts FROM (SELECT * FROM v_traces WHERE ms_level = 2) l ASOF LEFT JOIN (SELECT trace_id, ts, max(intensity) AS intensity FROM v_traces WHERE ms_level = 1 GROUP BY ALL) r ON l.trace_id = r.trace_id AND l.ts >= r.ts", "traces")
 R.add("i123_nearest", lambda v: J.nearest(v.ms2.select("cluster_id", "window_group", "mz").withColumn("x", F.floor(F.col("mz") * 100).cast("long")).select("cluster_id", "window_group", "x"), v.ms1.withColumn("x", F.floor(F.col("mz") * 100).cast("long")).groupBy("window_group", "x").agg(F.min("cluster_id").alias("ms1_id")), "x", ["window_group"], ["ms1_id"], F.floor(F.col("x") / 1024)).select("window_group", "near_x", F.abs(F.col("near_x") - F.col("x")).alias("d")).groupBy("window_group").agg(F.sum("d").alias("d"), F.count("near_x").alias("n")), "WITH l AS (SELECT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms2), r AS (SELECT DISTINCT window_group, CAST(floor(mz * 100) AS BIGINT) AS x FROM v_ms1), a AS (SELECT l.window_group, l.x, r.x AS b FROM l ASOF LEFT JOIN r ON l.window_group = r.window_group AND l.x >= r.x), c AS (SELECT a.*, r.x AS f FROM a ASOF LEFT JOIN r ON a.window_group = r.window_group AND a.x <= r.x) SELECT window_group, CAST(sum(least(coalesce(x - b, 9223372036854775807), coalesce(f - x, 9223372036854775807))) AS BIGINT) AS d, count(coalesce(b, f)) AS n FROM c GROUP BY window_group", "ms1 ms2")
 
@@ -123,7 +123,7 @@ R.add("i158_pearson_traces", lambda v: v.traces.groupBy("trace_id", F.date_trunc
 _planes = H.hyperplanes(64, 8, 7)
 R.add("i331_sim_hash", lambda v: v.table("embeddings").select("vec_id", H.sim_hash(F.col("embedding"), _planes).alias("key")), "SELECT vec_id, CAST(" + " + ".join(f"CASE WHEN list_sum([CAST(x AS DOUBLE) * w FOR x, w IN zip]) > 0 THEN {1 << i} ELSE 0 END".replace("[CAST(x AS DOUBLE) * w FOR x, w IN zip]", "list_transform(range(1, 65), lambda j: CAST(embedding[j] AS DOUBLE) * " + str(p) + "[j])") for i, p in enumerate(_planes)) + " AS BIGINT) AS key FROM embeddings")
 R.add("i332_hash_tables", lambda v: H.sim_hash_tables(v.table("embeddings"), "vec_id", "embedding", 4, 6))
-R.add("i288_cosine", lambda v: v.table("embeddings").alias("a").join(v.table("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e")), F.col("q") == F.col("vec_id") % 5).select("vec_id", "q", F.round(H.cosine(F.col("embedding"), F.col("e")) * 1e4).cast("long").alias("c")), "SELECT a.vec_id, b.vec_id AS q, CAST(round(list_sum(list_transform(range(1, 65), lambda j: CAST(a.embedding[j] AS DOUBLE) * b.embedding[j])) / sqrt(list_sum(list_transform(range(1, 65), lambda j: CAST(a.embedding[j] AS DOUBLE) * a.embedding[j])) * list_sum(list_transform(range(1, 65), lambda j: CAST(b.embedding[j] AS DOUBLE) * b.embedding[j]))) * 1e4) AS BIGINT) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 5 AND b.vec_id < 5")
+R.add("i288_cosine", lambda v: v.table("embeddings").join(v.table("embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e")), F.col("q") == F.col("vec_id") + 1).select("vec_id", "q", F.round(H.cosine(F.col("embedding"), F.col("e")) * 1e4).cast("long").alias("c")), "SELECT a.vec_id, b.vec_id AS q, CAST(round(list_sum(list_transform(range(1, 65), lambda j: CAST(a.embedding[j] AS DOUBLE) * b.embedding[j])) / sqrt(list_sum(list_transform(range(1, 65), lambda j: CAST(a.embedding[j] AS DOUBLE) * a.embedding[j])) * list_sum(list_transform(range(1, 65), lambda j: CAST(b.embedding[j] AS DOUBLE) * b.embedding[j]))) * 1e4) AS BIGINT) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 R.add("i288_spectral_angle", lambda v: v.table("embeddings").select("vec_id", H.spectral_angle(F.col("embedding"), F.transform("embedding", lambda x: F.abs(x))).alias("angle")))
 R.add("i333_dbscan", lambda v: K.dbscan(v.table("embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")]), ["x", "y", "z"], 0.03, 5))
 R.add("i336_mixture", lambda v: (lambda m: m[0].transform(m[1]).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")))(K.gaussian_mixture(v.table("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)]), [f"x{i}" for i in range(4)], 3)))

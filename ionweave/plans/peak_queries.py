@@ -26,13 +26,13 @@ def r6(c):
 R.add("i001_frame_scan", lambda v: v.peaks.where("frame_id = 7").select("frame_id", "scan", "tof", "mz", "intensity"), "SELECT frame_id, scan, tof, mz, intensity FROM v_peaks WHERE frame_id = 7", "peaks")
 R.add("i004_slice_scan", lambda v: v.peaks.join(v.frame_info.where("time between 2 and 6").select("frame_id"), "frame_id", "left_semi").select("frame_id", "scan", "tof", "mz", "intensity"), "SELECT frame_id, scan, tof, mz, intensity FROM v_peaks WHERE frame_id IN (SELECT frame_id FROM v_frame_info WHERE time BETWEEN 2 AND 6)", "peaks frame_info")
 R.add("i007_layout", lambda v: v.frame_info.agg(F.count(F.lit(1)).alias("n_frames"), F.min("time").alias("first"), F.max("time").alias("last"), F.when(F.max((F.col("ms_type") == 9).cast("int")) == 1, "DIA").otherwise("DDA").alias("mode")), "SELECT count(*) AS n_frames, min(time) AS first, max(time) AS last, CASE WHEN max(CAST(ms_type = 9 AS INT)) = 1 THEN 'DIA' ELSE 'DDA' END AS mode FROM v_frame_info", "frame_info")
-R.add("i008_global_metadata", lambda v: v.table("nation").agg(*[F.max(F.when(F.col("n_nationkey") == k, F.col("n_name"))).alias(f"value_{k}") for k in range(3)]), "SELECT max(CASE WHEN n_nationkey = 0 THEN n_name END) AS value_0, max(CASE WHEN n_nationkey = 1 THEN n_name END) AS value_1, max(CASE WHEN n_nationkey = 2 THEN n_name END) AS value_2 FROM nation")
+R.add("i008_global_metadata", lambda v: v.table("nation").agg(*[F.max(F.when(F.col("n_nationkey") == k, F.col("n_name"))).alias(f"value_{k}") for k in range(25)]), "SELECT " + ", ".join(f"max(CASE WHEN n_nationkey = {k} THEN n_name END) AS value_{k}" for k in range(25)) + " FROM nation")
 R.add("i018_overlap_read", lambda v: v.ms1.where("rt_lo <= 120 and rt_hi >= 60"), "SELECT * FROM v_ms1 WHERE rt_lo <= 120 AND rt_hi >= 60", "ms1")
 R.add("i028_peaks_per_scan", lambda v: v.spark.range(512).select(F.col("id").cast("int").alias("scan")).join(v.peaks.groupBy("scan").agg(F.count(F.lit(1)).alias("n")), "scan", "left").na.fill(0, ["n"]), "SELECT CAST(s.scan AS INT) AS scan, count(p.scan) AS n FROM range(512) s(scan) LEFT JOIN v_peaks p ON p.scan = s.scan GROUP BY s.scan", "peaks")
 R.add("i026_encode_order", lambda v: v.peaks.groupBy("frame_id", "scan", "tof").agg(F.least(F.sum("intensity"), F.lit(4294967295.0)).alias("intensity")), "SELECT frame_id, scan, tof, least(sum(intensity), 4294967295.0) AS intensity FROM v_peaks GROUP BY ALL", "peaks")
 _step = lambda: F.col("tof") - F.coalesce(F.lag("tof").over(Window.partitionBy("frame_id", "scan").orderBy("tof")), F.lit(-1))
 R.add("i029_tof_delta", lambda v: v.peaks.select("frame_id", "scan", "tof").distinct().withColumn("step", _step()), "SELECT frame_id, scan, tof, tof - coalesce(lag(tof) OVER (PARTITION BY frame_id, scan ORDER BY tof), -1) AS step FROM (SELECT DISTINCT frame_id, scan, tof FROM v_peaks) x", "peaks")
-R.add("i025_scan_expansion", lambda v: v.peaks.where("frame_id < 3").groupBy("frame_id", "scan").agg(F.count(F.lit(1)).cast("int").alias("n")).select("frame_id", "scan", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("place")), "SELECT frame_id, scan, CAST(row_number() OVER (PARTITION BY frame_id, scan) AS INT) AS place FROM v_peaks WHERE frame_id < 3", "peaks")
+R.add("i025_scan_expansion", lambda v: v.peaks.groupBy("frame_id", "scan").agg(F.count(F.lit(1)).cast("int").alias("n")).select("frame_id", "scan", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("place")), "SELECT frame_id, scan, CAST(row_number() OVER (PARTITION BY frame_id, scan) AS INT) AS place FROM v_peaks", "peaks")
 R.add("i032_duplicate_frames", lambda v: v.table("frames").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT id, count(*) AS n FROM frames GROUP BY id HAVING count(*) > 1")
 R.add("i051_metadata_index", lambda v: v.peaks.agg(F.min("mz").alias("mz_lo"), F.max("mz").alias("mz_hi"), F.min("scan").alias("scan_lo"), F.max("scan").alias("scan_hi"), F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("total")), "SELECT min(mz) AS mz_lo, max(mz) AS mz_hi, min(scan) AS scan_lo, max(scan) AS scan_hi, count(*) AS n_peaks, sum(intensity) AS total FROM v_peaks", "peaks")
 
@@ -59,12 +59,12 @@ R.add("i079_il_key", lambda v: v.table("parse_diann_report").select("row_id", I.
 R.add("i125_to_resolution", lambda v: B.to_resolution(v.peaks, 1, "frame_id"), "SELECT frame_id, CAST(round(mz * 10.0) AS BIGINT) / 10.0 AS mz, sum(intensity) AS intensity FROM v_peaks GROUP BY frame_id, CAST(round(mz * 10.0) AS BIGINT)", "peaks")
 R.add("i126_indexed_to_resolution", lambda v: B.indexed_to_resolution(v.peaks, 0, "frame_id").withColumn("tof", r6("tof")), f"SELECT frame_id, CAST(round(mz) AS BIGINT) / 1.0 AS mz, sum(intensity) AS intensity, {_R6('avg(tof)')} AS tof FROM v_peaks GROUP BY frame_id, CAST(round(mz) AS BIGINT)", "peaks")
 R.add("i127_frame_to_resolution", lambda v: B.frame_to_resolution(v.peaks, 0, "frame_id").withColumn("mobility", r6("mobility")), f"SELECT frame_id, scan, CAST(round(mz) AS BIGINT) / 1.0 AS mz, sum(intensity) AS intensity, CAST(floor(avg(tof)) AS INT) AS tof, {_R6('avg(mobility)')} AS mobility FROM v_peaks GROUP BY frame_id, scan, CAST(round(mz) AS BIGINT)", "peaks")
-R.add("i130_union_sum", lambda v: B.union_sum([v.peaks.where("frame_id = 1"), v.peaks.where("frame_id = 2"), v.peaks.where("frame_id = 3")], decimals=2), "SELECT CAST(round(mz * 100.0) AS BIGINT) / 100.0 AS mz, sum(intensity) AS intensity FROM v_peaks WHERE frame_id IN (1, 2, 3) GROUP BY CAST(round(mz * 100.0) AS BIGINT)", "peaks")
+R.add("i130_union_sum", lambda v: B.union_sum([v.peaks.where("ms_type = 0"), v.peaks.where("ms_type = 8"), v.peaks.where("ms_type = 9")], decimals=2), "SELECT CAST(round(mz * 100.0) AS BIGINT) / 100.0 AS mz, sum(intensity) AS intensity FROM v_peaks GROUP BY CAST(round(mz * 100.0) AS BIGINT)", "peaks")
 R.add("i132_by_scan", lambda v: B.by_scan(v.peaks).select("frame_id", "scan", "mobility", F.size("peaks").alias("n")), "SELECT frame_id, scan, min(mobility) AS mobility, CAST(count(*) AS INT) AS n FROM v_peaks GROUP BY frame_id, scan", "peaks")
 R.add("i133_rebuild_frame", lambda v: B.rebuild_frame(v.peaks), "SELECT frame_id, scan, CAST(round(mz * 1000000.0) AS BIGINT) AS mz_key, sum(intensity) AS intensity, arg_max(tof, {'a': mz, 'b': tof}) AS tof, arg_min(mobility, {'a': mz, 'b': tof}) AS mobility FROM v_peaks GROUP BY frame_id, scan, CAST(round(mz * 1000000.0) AS BIGINT)", "peaks")
 R.add("i135_flatten", lambda v: B.flatten_by_tof(v.peaks, "frame_id").withColumn("mz", r6("mz")), f"SELECT frame_id, tof, {_R6('avg(mz)')} AS mz, sum(intensity) AS intensity FROM v_peaks GROUP BY frame_id, tof", "peaks")
-R.add("i136_fold_scans", lambda v: B.fold_scans(v.peaks.where("frame_id < 20"), 16, mean="true").withColumn("mobility", r6("mobility")), f"WITH s AS (SELECT frame_id, scan, min(mobility) AS m FROM v_peaks WHERE frame_id < 20 GROUP BY ALL), m AS (SELECT frame_id, scan // 16 AS fold, {_R6('avg(m)')} AS mobility FROM s GROUP BY ALL) SELECT p.frame_id, CAST(p.fold AS INT) AS fold, p.mz, p.intensity, m.mobility FROM (SELECT frame_id, scan // 16 AS fold, CAST(round(mz * 1000000.0) AS BIGINT) / 1000000.0 AS mz, sum(intensity) AS intensity FROM v_peaks WHERE frame_id < 20 GROUP BY ALL) p JOIN m USING (frame_id, fold)", "peaks")
-R.add("i136_fold_scans_pairwise", lambda v: B.fold_scans(v.peaks.where("frame_id < 20"), 16))
+R.add("i136_fold_scans", lambda v: B.fold_scans(v.peaks, 16, mean="true").withColumn("mobility", r6("mobility")), f"WITH s AS (SELECT frame_id, scan, min(mobility) AS m FROM v_peaks GROUP BY ALL), m AS (SELECT frame_id, scan // 16 AS fold, {_R6('avg(m)')} AS mobility FROM s GROUP BY ALL) SELECT p.frame_id, CAST(p.fold AS INT) AS fold, p.mz, p.intensity, m.mobility FROM (SELECT frame_id, scan // 16 AS fold, CAST(round(mz * 1000000.0) AS BIGINT) / 1000000.0 AS mz, sum(intensity) AS intensity FROM v_peaks GROUP BY ALL) p JOIN m USING (frame_id, fold)", "peaks")
+R.add("i136_fold_scans_pairwise", lambda v: B.fold_scans(v.peaks, 16))
 R.add("i137_scan_apex", lambda v: B.scan_apex(v.peaks, "frame_id"), "SELECT frame_id, arg_max(mobility, {'a': total, 'b': scan}) AS mobility, max(total) AS total FROM (SELECT frame_id, scan, sum(intensity) AS total, min(mobility) AS mobility FROM v_peaks GROUP BY ALL) s GROUP BY frame_id", "peaks")
 R.add("i138_weighted_mobility", lambda v: B.weighted_moments(v.peaks, "scan", "intensity", "frame_id").select("frame_id", "total", r6("mean").alias("mean"), r6("variance").alias("variance")), f"SELECT frame_id, sum(intensity) AS total, {_R6('sum(intensity * scan) / sum(intensity)')} AS mean, {_R6('sum(intensity * scan * scan) / sum(intensity) - (sum(intensity * scan) / sum(intensity)) * (sum(intensity * scan) / sum(intensity))')} AS variance FROM v_peaks GROUP BY frame_id", "peaks")
 R.add("i139_signal_moments", lambda v: B.weighted_moments(v.peaks, "scan", "intensity", "frame_id"))
@@ -74,7 +74,7 @@ R.add("i143_tof_axis", lambda v: B.tof_axis(v.peaks, 50), "SELECT CAST(min(tof)
 R.add("i144_tof_bins", lambda v: B.tof_bins(v.peaks, 500, "frame_id"), "SELECT frame_id, bin, n, intensity, CAST(coalesce(sum(n) OVER (PARTITION BY frame_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", (bin + 0.5) * 500 AS center FROM (SELECT frame_id, CAST(tof // 500 AS BIGINT) AS bin, count(*) AS n, sum(intensity) AS intensity FROM v_peaks GROUP BY ALL) x", "peaks")
 R.add("i145_box_sum", lambda v: I.range_filter(v.peaks, tof=(1000, 5000), scan=(100, 200)).agg(F.sum("intensity").alias("total")), "SELECT sum(intensity) AS total FROM v_peaks WHERE tof BETWEEN 1000 AND 5000 AND scan BETWEEN 100 AND 200", "peaks")
 R.add("i146_rt_marginal", lambda v: B.marginal(v.peaks.where("tof between 0 and 4000"), "frame_id", 0, 120), "SELECT CAST(f.frame_id AS INT) AS frame_id, coalesce(sum(p.intensity), 0) AS intensity FROM range(121) f(frame_id) LEFT JOIN v_peaks p ON p.frame_id = f.frame_id AND p.tof BETWEEN 0 AND 4000 GROUP BY f.frame_id", "peaks")
-R.add("i147_im_marginal", lambda v: B.marginal(v.peaks.where("frame_id between 3 and 9"), "scan", 0, 511), "SELECT CAST(f.scan AS INT) AS scan, coalesce(sum(p.intensity), 0) AS intensity FROM range(512) f(scan) LEFT JOIN v_peaks p ON p.scan = f.scan AND p.frame_id BETWEEN 3 AND 9 GROUP BY f.scan", "peaks")
+R.add("i147_im_marginal", lambda v: B.marginal(v.peaks, "scan", 0, 511), "SELECT CAST(f.scan AS INT) AS scan, coalesce(sum(p.intensity), 0) AS intensity FROM range(512) f(scan) LEFT JOIN v_peaks p ON p.scan = f.scan GROUP BY f.scan", "peaks")
 R.add("i150_tof_rt_grid", lambda v: B.grid(v.peaks, 1000), "SELECT CAST(tof // 1000 AS BIGINT) AS bin, frame_id, sum(intensity) AS intensity FROM v_peaks GROUP BY ALL", "peaks")
 R.add("i151_range_union", lambda v: W.islands(v.windows, "scan_begin", "scan_end", "window_group"), "SELECT window_group, min(scan_begin) AS scan_begin, max(scan_end) AS scan_end FROM (SELECT *, sum(brk) OVER (PARTITION BY window_group ORDER BY scan_begin, scan_end) AS i FROM (SELECT *, CASE WHEN scan_begin > max(scan_end) OVER (PARTITION BY window_group ORDER BY scan_begin, scan_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS brk FROM v_windows) x) y GROUP BY window_group, i", "windows")
 R.add("i153_nearest_rank", lambda v: B.nearest_rank_quantile(v.peaks, "mz", 0.9, "frame_id"), "SELECT frame_id, list_sort(list(mz))[CAST(floor((count(*) * 0.9 - 0.9) + 0.5) AS BIGINT) + 1] AS mz FROM v_peaks GROUP BY frame_id", "peaks")
@@ -83,7 +83,7 @@ R.add("i154_mad", lambda v: B.mad_noise(v.peaks, "intensity", "frame_id").withCo
 R.add("i155_difference_noise", lambda v: B.difference_noise(B.to_resolution(v.peaks, 0, "frame_id"), "intensity", ["mz"], "frame_id").withColumn("noise", r6("noise")), f"WITH b AS (SELECT frame_id, round(mz) AS mz, sum(intensity) AS i FROM v_peaks GROUP BY frame_id, round(mz)), d AS (SELECT frame_id, abs(i - lag(i) OVER (PARTITION BY frame_id ORDER BY mz)) AS d FROM b) SELECT frame_id, {_R6('list_sort(list(d))[count(*) // 2 + 1] / 1.4826')} AS noise FROM d WHERE d IS NOT NULL GROUP BY frame_id", "peaks")
 R.add("i157_threshold", lambda v: B.mad_noise(v.peaks, "intensity", "frame_id").select("frame_id", r6(B.threshold(F.col("noise"), fixed=20.0)).alias("fixed"), r6(B.threshold(F.col("noise"), factor=2.0)).alias("adaptive")))
 R.add("i160_tic", lambda v: v.frame_info.where("ms_type = 0").join(v.peaks.groupBy("frame_id").agg(F.sum("intensity").alias("tic")), "frame_id", "left").select("frame_id", r6(F.col("time") / 60).alias("minutes"), F.coalesce("tic", F.lit(0.0)).alias("tic")), f"SELECT f.frame_id, {_R6('any_value(time) / 60')} AS minutes, coalesce(sum(intensity), 0) AS tic FROM v_frame_info f LEFT JOIN v_peaks p USING (frame_id) WHERE f.ms_type = 0 GROUP BY f.frame_id", "peaks frame_info")
-R.add("i163_frame_add", lambda v: v.peaks.where("frame_id in (3, 4)").groupBy("scan", B.mz_key(6).alias("k")).agg(F.sum("intensity").alias("intensity"), F.avg("mobility").alias("mobility"), F.floor(F.avg("tof")).cast("int").alias("tof"), F.when(F.min("ms_type") == F.max("ms_type"), F.min("ms_type")).otherwise(-1).alias("ms_type")), "SELECT scan, CAST(round(mz * 1000000.0) AS BIGINT) AS k, sum(intensity) AS intensity, avg(mobility) AS mobility, CAST(floor(avg(tof)) AS INT) AS tof, CASE WHEN min(ms_type) = max(ms_type) THEN min(ms_type) ELSE -1 END AS ms_type FROM v_peaks WHERE frame_id IN (3, 4) GROUP BY ALL", "peaks")
+R.add("i163_frame_add", lambda v: v.peaks.groupBy(F.floor(F.col("frame_id") / 2).alias("pair"), "scan", B.mz_key(6).alias("k")).agg(F.sum("intensity").alias("intensity"), F.avg("mobility").alias("mobility"), F.floor(F.avg("tof")).cast("int").alias("tof"), F.when(F.min("ms_type") == F.max("ms_type"), F.min("ms_type")).otherwise(-1).alias("ms_type")), "SELECT CAST(frame_id // 2 AS BIGINT) AS pair, scan, CAST(round(mz * 1000000.0) AS BIGINT) AS k, sum(intensity) AS intensity, avg(mobility) AS mobility, CAST(floor(avg(tof)) AS INT) AS tof, CASE WHEN min(ms_type) = max(ms_type) THEN min(ms_type) ELSE -1 END AS ms_type FROM v_peaks GROUP BY CAST(frame_id // 2 AS BIGINT), scan, CAST(round(mz * 1000000.0) AS BIGINT)", "peaks")
 R.add("i185_cycle_length", lambda v: B.cycle_length(v.frame_info).select(r6("cycle").alias("cycle")), f"SELECT {_R6('avg(d)')} AS cycle FROM (SELECT time - lag(time) OVER (ORDER BY time) AS d FROM v_frame_info WHERE ms_type = 0) x", "frame_info")
 R.add("i186_mode", lambda v: B.mode_of(v.table("frames"), "numscans"), "SELECT numscans FROM (SELECT numscans, count(*) AS n FROM frames WHERE numscans > 0 GROUP BY numscans ORDER BY n DESC, numscans LIMIT 1) x")
 R.add("i187_cube", lambda v: v.report.cube("charge", "q").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level")), "SELECT charge, q, count(*) AS n, CAST(grouping_id(charge, q) AS INT) AS level FROM v_report GROUP BY CUBE (charge, q)", "report")
@@ -94,14 +94,14 @@ R.add("i188_sketch", lambda v: v.peaks.agg(F.approx_count_distinct("tof", 0.01).
 R.add("i189_value_windows", lambda v: W.value_windows(v.peaks, 50.0, 5, 30.0, "frame_id"), "SELECT frame_id, CAST(floor(mz / 50) AS BIGINT) AS \"window\", count(*) AS n, sum(intensity) AS intensity, min(mz) AS lo, max(mz) AS hi FROM v_peaks GROUP BY ALL HAVING count(*) >= 5 AND max(intensity) >= 30".replace("GROUP BY ALL", "GROUP BY frame_id, CAST(floor(mz / 50) AS BIGINT)"), "peaks")
 R.add("i190_overlapping_windows", lambda v: W.value_windows(v.peaks, 50.0, 5, 30.0, "frame_id", overlapping=True), "SELECT frame_id, \"window\", count(*) AS n, sum(intensity) AS intensity, min(mz) AS lo, max(mz) AS hi FROM (SELECT frame_id, mz, intensity, CAST(floor(mz / 50) AS BIGINT) AS \"window\" FROM v_peaks UNION ALL SELECT frame_id, mz, intensity, CAST(-floor((mz + 25) / 50) AS BIGINT) FROM v_peaks) x GROUP BY frame_id, \"window\" HAVING count(*) >= 5 AND max(intensity) >= 30", "peaks")
 R.add("i191_scan_windows", lambda v: W.value_windows(v.peaks, 200.0, 1, 0.0, "frame_id", "scan"), "SELECT frame_id, scan, CAST(floor(mz / 200) AS BIGINT) AS \"window\", count(*) AS n, sum(intensity) AS intensity, min(mz) AS lo, max(mz) AS hi FROM v_peaks GROUP BY frame_id, scan, CAST(floor(mz / 200) AS BIGINT)", "peaks")
-R.add("i193_dense_windows", lambda v: W.dense_windows(v.peaks.where("frame_id < 5"), 100.0, 0, "frame_id").select("frame_id", "window", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), "SELECT frame_id, \"window\", CAST(101 AS INT) AS n, sum(i) AS total FROM (SELECT frame_id, CAST(floor(mz / 100) AS BIGINT) AS \"window\", round(mz) - round(floor(mz / 100) * 100) AS c, arg_max(intensity, {'a': mz, 'b': tof}) AS i FROM v_peaks WHERE frame_id < 5 GROUP BY ALL) x GROUP BY frame_id, \"window\"", "peaks")
+R.add("i193_dense_windows", lambda v: W.dense_windows(v.peaks, 100.0, 0, "frame_id").select("frame_id", "window", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), "SELECT frame_id, \"window\", CAST(101 AS INT) AS n, sum(i) AS total FROM (SELECT frame_id, CAST(floor(mz / 100) AS BIGINT) AS \"window\", round(mz) - round(floor(mz / 100) * 100) AS c, arg_max(intensity, {'a': mz, 'b': tof}) AS i FROM v_peaks GROUP BY ALL) x GROUP BY frame_id, \"window\"", "peaks")
 R.add("i194_sliding_plan", lambda v: W.sliding_plan(v.frame_info, 20, 10).groupBy("plan").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"), F.count(F.lit(1)).alias("n")), "WITH f AS (SELECT frame_id, row_number() OVER (ORDER BY time, frame_id) - 1 AS pos FROM v_frame_info), n AS (SELECT greatest(0, CAST(ceil((count(*) - 20) / 10.0) AS BIGINT)) AS last FROM f), p AS (SELECT unnest(range(last + 1)) AS plan FROM n) SELECT CAST(plan AS BIGINT) AS plan, min(frame_id) AS lo, max(frame_id) AS hi, count(*) AS n FROM p JOIN f ON pos >= plan * 10 AND pos < plan * 10 + 20 GROUP BY plan", "frame_info")
 R.add("i195_centroid", lambda v: W.centroid(v.peaks, 0.1, ["tof", "scan", "intensity"], "frame_id").select("frame_id", r6("mz").alias("mz"), "intensity", "n"), f"SELECT frame_id, {_R6('sum(mz * intensity) / sum(intensity)')} AS mz, sum(intensity) AS intensity, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY frame_id ORDER BY mz, tof, scan, intensity) AS s FROM (SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY frame_id ORDER BY mz, tof, scan, intensity) > 0.1 THEN 1 ELSE 0 END AS brk FROM v_peaks) x) y GROUP BY frame_id, s", "peaks")
 R.add("i197_smooth", lambda v: W.smooth(v.peaks, 20, "frame_id", "scan").select("frame_id", "scan", "tof", "smoothed"), "SELECT frame_id, scan, tof, sum(intensity) OVER (PARTITION BY frame_id, scan ORDER BY tof RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS smoothed FROM v_peaks", "peaks")
 R.add("i198_local_maxima", lambda v: W.local_maxima(v.peaks, 200, "frame_id").select("frame_id", "scan", "tof", "intensity"), "SELECT frame_id, scan, tof, intensity FROM (SELECT *, max(intensity) OVER (PARTITION BY frame_id ORDER BY tof RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS b, max(intensity) OVER (PARTITION BY frame_id ORDER BY tof RANGE BETWEEN 1 FOLLOWING AND 200 FOLLOWING) AS a FROM v_peaks) x WHERE intensity > coalesce(b, -1) AND intensity >= coalesce(a, -1)", "peaks")
 R.add("i205_gaussian_smooth", lambda v: W.gaussian_smooth(B.marginal(v.peaks, "scan", 0, 511).withColumn("g", F.floor(F.col("scan") / 64)), "scan", 1.0, "g").select("scan", (F.round(F.col("smoothed") * 1e6) / 1e6).alias("smoothed")), None)
-R.add("i206_sparse_blur", lambda v: W.sparse_blur(v.peaks.where("frame_id < 5").groupBy("frame_id", F.floor(F.col("tof") / 100).alias("bin")).agg(F.sum("intensity").alias("intensity")), "bin", 1.0, "frame_id"))
-R.add("i207_moment_fit", lambda v: W.moment_fit(v.peaks.where("frame_id < 20").groupBy("frame_id", "scan").agg(F.sum("intensity").alias("intensity")), "scan", "frame_id"))
+R.add("i206_sparse_blur", lambda v: W.sparse_blur(v.peaks.groupBy("frame_id", F.floor(F.col("tof") / 100).alias("bin")).agg(F.sum("intensity").alias("intensity")), "bin", 1.0, "frame_id"))
+R.add("i207_moment_fit", lambda v: W.moment_fit(v.peaks.groupBy("frame_id", "scan").agg(F.sum("intensity").alias("intensity")), "scan", "frame_id"))
 R.add("i208_trapezoid", lambda v: W.trapezoid(v.peaks.groupBy("frame_id", "scan").agg(F.sum("intensity").alias("intensity")), "scan", "intensity", 99.5, 300.25, "frame_id").select("frame_id", r6("area").alias("area")), f"WITH s AS (SELECT frame_id, scan AS x, sum(intensity) AS y FROM v_peaks GROUP BY ALL), g AS (SELECT *, lead(x) OVER (PARTITION BY frame_id ORDER BY x) AS x1, lead(y) OVER (PARTITION BY frame_id ORDER BY x) AS y1 FROM s), c AS (SELECT *, greatest(x, 99.5) AS a, least(x1, 300.25) AS b FROM g WHERE x1 IS NOT NULL) SELECT frame_id, {_R6('sum((y + (y1 - y) * (a - x) / (x1 - x) + y + (y1 - y) * (b - x) / (x1 - x)) / 2 * (b - a))')} AS area FROM c WHERE b > a GROUP BY frame_id", "peaks")
 R.add("i209_apexes", lambda v: W.apexes(B.marginal(v.peaks, "scan", 0, 511).withColumn("g", F.floor(F.col("scan") / 512)), "scan", "g").select("scan", r6("apex").alias("apex")), f"WITH s AS (SELECT scan, sum(intensity) AS i FROM v_peaks GROUP BY scan), f AS (SELECT CAST(r.scan AS INT) AS scan, coalesce(i, 0) AS i FROM range(512) r(scan) LEFT JOIN s USING (scan)), n AS (SELECT *, lag(i) OVER (ORDER BY scan) AS l, lead(i) OVER (ORDER BY scan) AS r FROM f) SELECT scan, {_R6('scan + CASE WHEN abs(l - 2 * i + r) > 1e-12 THEN 0.5 * (l - r) / (l - 2 * i + r) ELSE 0 END')} AS apex FROM n WHERE i > l AND i >= r", "peaks")
 R.add("i210_interpolate", lambda v: W.interpolate_at(v.frame_info, "time", 12.5, "ms_type", order=["time", "frame_id"]), "WITH r AS (SELECT ms_type, time, row_number() OVER (PARTITION BY ms_type ORDER BY time, frame_id) - 1 AS i, count(*) OVER (PARTITION BY ms_type) AS n FROM v_frame_info), w AS (SELECT ms_type, time, greatest(0, 1 - abs(i - least(12.5, n - 1))) AS w FROM r) SELECT ms_type, sum(time * w) / sum(w) AS time FROM w GROUP BY ms_type", "frame_info")
@@ -121,9 +121,16 @@ R.add("i232_minimap", lambda v: K.minimap(v.peaks, ("mz", 0.0, 1200.0, 96), ("mo
 R.add("i233_volume", lambda v: K.volume_deposit(v.peaks, {"mz": (0.0, 1200.0, 16), "mobility": (0.0, 1.0, 8)}))
 
 # set operations
-R.add("i234_spectrum_add", lambda v: S.spectrum_add(v.peaks.where("frame_id = 1"), v.peaks.where("frame_id = 2")), "SELECT CAST(round(mz * 1000000.0) AS BIGINT) / 1000000.0 AS mz, sum(intensity) AS intensity FROM v_peaks WHERE frame_id IN (1, 2) GROUP BY CAST(round(mz * 1000000.0) AS BIGINT)", "peaks")
-R.add("i234_spectrum_add_strict", lambda v: S.spectrum_add(v.peaks.where("frame_id = 1"), v.peaks.where("frame_id = 2"), strict=True), "WITH a AS (SELECT CAST(round(mz * 1000000.0) AS BIGINT) AS k, arg_max(intensity, {'a': mz, 'b': intensity}) AS i FROM v_peaks WHERE frame_id = 1 GROUP BY 1) SELECT k / 1000000.0 AS mz, sum(i) AS intensity FROM (SELECT * FROM a UNION ALL SELECT CAST(round(mz * 1000000.0) AS BIGINT), intensity FROM v_peaks WHERE frame_id = 2) x GROUP BY k", "peaks")
-R.add("i235_spectrum_subtract", lambda v: S.spectrum_add(v.peaks.where("frame_id = 1"), v.peaks.where("frame_id = 2"), sign=-1), "SELECT CAST(round(mz * 1000000.0) AS BIGINT) / 1000000.0 AS mz, sum(CASE frame_id WHEN 1 THEN intensity ELSE -intensity END) AS intensity FROM v_peaks WHERE frame_id IN (1, 2) GROUP BY CAST(round(mz * 1000000.0) AS BIGINT)", "peaks")
+def _halves(v):
+    """Survey and fragment spectra of each cycle of three frames."""
+    p = v.peaks.withColumn("cycle", F.floor(F.col("frame_id") / 3))
+    return p.where("ms_type = 0"), p.where("ms_type <> 0")
+
+
+_KEY = "CAST(round(mz * 1000000.0) AS BIGINT)"
+R.add("i234_spectrum_add", lambda v: S.spectrum_add(*_halves(v), "cycle"), f"SELECT CAST(frame_id // 3 AS BIGINT) AS cycle, {_KEY} / 1000000.0 AS mz, sum(intensity) AS intensity FROM v_peaks GROUP BY CAST(frame_id // 3 AS BIGINT), {_KEY}", "peaks")
+R.add("i234_spectrum_add_strict", lambda v: S.spectrum_add(*_halves(v), "cycle", strict=True), f"WITH a AS (SELECT frame_id // 3 AS c, {_KEY} AS k, arg_max(intensity, {{'a': mz, 'b': intensity}}) AS i FROM v_peaks WHERE ms_type = 0 GROUP BY 1, 2) SELECT CAST(c AS BIGINT) AS cycle, k / 1000000.0 AS mz, sum(i) AS intensity FROM (SELECT * FROM a UNION ALL SELECT frame_id // 3, {_KEY}, intensity FROM v_peaks WHERE ms_type <> 0) x GROUP BY c, k", "peaks")
+R.add("i235_spectrum_subtract", lambda v: S.spectrum_add(*_halves(v), "cycle", sign=-1), f"SELECT CAST(frame_id // 3 AS BIGINT) AS cycle, {_KEY} / 1000000.0 AS mz, sum(CASE ms_type WHEN 0 THEN intensity ELSE -intensity END) AS intensity FROM v_peaks GROUP BY CAST(frame_id // 3 AS BIGINT), {_KEY}", "peaks")
 R.add("i236_set_algebra", lambda v: S.confusion(v.truth, v.report, ["seq_id", "charge"]), "SELECT seq_id, charge, CASE WHEN max(t) = 1 AND max(f) = 1 THEN 'TP' WHEN max(f) = 1 THEN 'FP' ELSE 'FN' END AS kind FROM (SELECT seq_id, charge, 1 AS t, 0 AS f FROM v_truth UNION ALL SELECT seq_id, charge, 0, 1 FROM v_report) x GROUP BY ALL", "truth report")
 R.add("i237_overlap", lambda v: S.overlap(v.truth, v.report, ["seq_id", "charge"]), "WITH t AS (SELECT DISTINCT seq_id, charge FROM v_truth), r AS (SELECT DISTINCT seq_id, charge FROM v_report), n AS (SELECT (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM r)) AS n_both, (SELECT count(*) FROM t) AS a, (SELECT count(*) FROM r) AS b) SELECT n_both, a - n_both AS n_a, b - n_both AS n_b, n_both / (a + b - n_both) AS jaccard FROM n", "truth report")
 R.add("i240_distinct", lambda v: v.report.dropDuplicates(["seq_id", "charge"]).select("seq_id", "charge"), "SELECT DISTINCT seq_id, charge FROM v_report", "report")

@@ -133,7 +133,7 @@ R.add("i220_deisotope", lambda v: G.deisotope(v.peaks.select("frame_id", "mz", "
 R.add("i199_pick_im", lambda v: G.pick_peaks(v.peaks.groupBy("frame_id", "scan").agg(F.sum("intensity").alias("intensity")), ["frame_id"], "scan", 40.0, min_distance=3.0))
 R.add("i200_pick_rt", lambda v: G.pick_peaks(v.peaks.groupBy(F.floor(F.col("tof") / 2000).alias("bin"), "frame_id").agg(F.sum("intensity").alias("intensity")), ["bin"], "frame_id", 20.0, min_distance=2.0, min_width=1.0))
 R.add("i214_stitch", lambda v: G.stitch(v.ms1.select("window_group", F.col("cluster_id").alias("id"), F.col("rt_lo").alias("lo"), F.col("rt_hi").alias("hi"), F.col("raw_sum").alias("intensity")), ["window_group"], 1, 12))
-R.add("i343_features", lambda v: G.isotope_chains(v.ms1.select("window_group", "cluster_id", "mz", "raw_sum", "rt_lo", "rt_hi", "im_lo", "im_hi"), ["window_group"]).groupBy("window_group", "feature", "charge").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+R.add("i343_features", lambda v: G.isotope_chains(v.ms1.select("window_group", "cluster_id", "mz", "raw_sum", "rt_lo", "rt_hi", "im_lo", "im_hi"), ["window_group"]).groupBy("window_group", "feature", "charge").agg(F.count(F.lit(1)).alias("n")))
 R.add("i344_dda_schedule", lambda v: G.schedule(v.peaks.where("ms_type = 0").groupBy("frame_id", F.col("tof").alias("ion")).agg(F.max("intensity").alias("intensity"), F.min("scan").alias("scan")).withColumn("run", F.lit(1)), "run"))
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -173,36 +173,52 @@ class Scheduler:
 
     def __init__(self, slots: int, per_slot: int, exclusion: int, margin: int):
         self.slots, self.per_slot, self.exclusion, self.margin, self.until = slots, per_slot, exclusion, margin, {}
+        self.open(-1)
 
-    def frame(self, frame_id: int, ions: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-        """(slot, ion) chosen from (ion, scan, intensity)."""
-        chosen, used = [], [[] for _ in range(self.slots)]
-        for ion, scan, _ in sorted(ions, key=lambda x: (-x[2], x[0])):
-            if self.until.get(ion, -1) >= frame_id:
-                continue
-            for slot, taken in enumerate(used):
+    def open(self, frame_id: int) -> None:
+        """Begins a frame: its slots are empty, and ions whose exclusion has ended are forgotten."""
+        self.at, self.left, self.used = frame_id, self.slots * self.per_slot, [[] for _ in range(self.slots)]
+        self.until = {i: u for i, u in self.until.items() if u >= frame_id}
+
+    def take(self, ion: int, scan: int) -> int | None:
+        """The slot of the frame's next ion by intensity, if it gets one."""
+        if self.left and ion not in self.until:
+            for slot, taken in enumerate(self.used):
                 if len(taken) < self.per_slot and all(abs(scan - s) > self.margin for s in taken):
                     taken.append(scan)
-                    chosen.append((slot, ion))
-                    self.until[ion] = frame_id + self.exclusion
-                    break
-        return chosen
+                    self.left -= 1
+                    self.until[ion] = self.at + self.exclusion
+                    return slot
+        return None
+
+    def frame(self, frame_id: int, ions: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+        """(slot, ion) chosen from (ion, scan, intensity)."""
+        self.open(frame_id)
+        return [(slot, ion) for ion, scan, _ in sorted(ions, key=lambda x: (-x[2], x[0])) if (slot := self.take(ion, scan)) is not None]
 
 
-def schedule(df: DataFrame, run_key: str, slots: int = 2, per_slot: int = 4, exclusion: int = 25, margin: int = 25, candidates: int = 200) -> DataFrame:
-    """``run, frame_id, slot, ion``: each run is one ordered history and one group. Of each frame only the ``candidates`` most intense
-    ions can be chosen, which bounds the group by the number of frames; that cap is part of the operator."""
-    w = Window.partitionBy(run_key, "frame_id").orderBy(F.desc("intensity"), "ion")
-    top = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates).drop("_r")
+def schedule(df: DataFrame, run_key: str, slots: int = 7, per_slot: int = 15, exclusion: int = 25, margin: int = 25) -> DataFrame:
+    """``run, frame_id, slot, ion``: each run is one ordered history in one task. All ions of a frame are walked by falling intensity
+    until its slots are full. A run comes as a sorted stream of Arrow batches, so a task holds one batch, one frame's slots and
+    the ions under exclusion, however long the run is."""
     kind = dict(df.dtypes)
 
-    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, rows = Scheduler(slots, per_slot, exclusion, margin), []
-        for frame_id, part in pdf.sort_values("frame_id", kind="stable").groupby("frame_id", sort=True):
-            rows += [(key[0], frame_id, slot, ion) for slot, ion in s.frame(frame_id, list(part[["ion", "scan", "intensity"]].itertuples(index=False, name=None)))]
-        return pd.DataFrame(rows, columns=[run_key, "frame_id", "slot", "ion"])
-
-    return top.groupBy(run_key).applyInPandas(go, f"{run_key} {kind[run_key]}, frame_id {kind['frame_id']}, slot int, ion {kind['ion']}")
+    def go(frames):
+        s, at = None, None
+        for pdf in frames:
+            rows = []
+            for run, frame_id, ion, scan in pdf[[run_key, "frame_id", "ion", "scan"]].itertuples(index=False, name=None):
+                if s is None or run != at[0]:
+                    s, at = Scheduler(slots, per_slot, exclusion, margin), (run, None)
+                if frame_id != at[1]:
+                    s.open(frame_id)
+                    at = (run, frame_id)
+                if s.left and (slot := s.take(ion, scan)) is not None:
+                    rows.append((run, frame_id, slot, ion))
+            yield pd.DataFrame(rows, columns=[run_key, "frame_id", "slot", "ion"])
+
+    ordered = df.select(run_key, "frame_id", "ion", "scan", "intensity").repartition(run_key).sortWithinPartitions(run_key, "frame_id", F.desc("intensity"), "ion")
+    return ordered.mapInPandas(go, f"{run_key} {kind[run_key]}, frame_id {kind['frame_id']}, slot int, ion {kind['ion']}")
 
 
 #: Isotope masses and abundances of the elements of peptides.

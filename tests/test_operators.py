@@ -194,6 +194,23 @@ def test_scheduler_excludes_and_avoids_collisions():
     assert s.frame(7, [(1, 100, 9.0)]) == [(0, 1)]
 
 
+def test_schedule_walks_all_ions_of_a_frame(spark):
+    rows = [(r, f, i, 100 if i < 300 else 100 + 60 * (i - 299), float(1000 - i)) for r in (1, 2) for f in (3, 6) for i in range(304)]
+    df = spark.createDataFrame(rows, "run int, frame_id int, ion int, scan int, intensity double")
+    want, until = [], {}
+    for r, f in ((1, 3), (1, 6), (2, 3), (2, 6)):
+        used = [[], []]
+        for _, _, i, scan, _ in sorted((x for x in rows if x[:2] == (r, f)), key=lambda x: -x[4]):
+            slot = next((k for k, u in enumerate(used) if len(u) < 4 and all(abs(scan - s) > 25 for s in u)), None)
+            if slot is not None and until.get((r, i), -1) < f:
+                used[slot].append(scan)
+                until[r, i] = f + 25
+                want.append((r, f, slot, i))
+    assert (1, 3, 0, 300) in want and pairs_of(G.schedule(df, "run", slots=2, per_slot=4), "run", "frame_id", "slot", "ion") == sorted(want)
+    wide = spark.createDataFrame([(1, 3, i, 30 * i, 1.0) for i in range(200)], "run int, frame_id int, ion int, scan int, intensity double")
+    assert G.schedule(wide, "run").count() == 7 * 15
+
+
 def test_isotope_chain(spark):
     rows = [(1, 1, 500.0, 10.0), (1, 2, 500.5017, 8.0), (1, 3, 501.0034, 4.0), (1, 4, 700.0, 5.0)]
     df = spark.createDataFrame([(g, i, m, r, 1, 5, 1, 5) for g, i, m, r in rows], "g int, cluster_id long, mz double, raw_sum double, rt_lo int, rt_hi int, im_lo int, im_hi int")

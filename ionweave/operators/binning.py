@@ -89,9 +89,11 @@ def weighted_moments(df: DataFrame, x: str, w: str, *keys: str) -> DataFrame:
     return s.where("w > 0").select(*keys, F.col("w").alias("total"), m.alias("mean"), var.alias("variance"), F.when(var > 1e-12, third / F.pow(var, F.lit(1.5))).otherwise(0.0).alias("skewness"))
 
 
-def plane(df: DataFrame, chunk: int, n_chunks: int) -> DataFrame:
-    """Detector bands: population mean and deviation of m/z and intensity per (band, frame, scan); indices beyond the bands drop."""
-    b = df.withColumn("band", F.floor(F.col("tof") / chunk).cast("int")).where(F.col("band") < n_chunks)
+def plane(df: DataFrame, chunk: int | None, n_chunks: int) -> DataFrame:
+    """Detector bands: population mean and deviation of m/z and intensity per (band, frame, scan). Without ``chunk`` the bands divide
+    the data's whole axis and every peak falls into one; with it, indices beyond the bands drop."""
+    width = F.lit(chunk) if chunk else df.agg(F.ceil((F.max("tof") + 1) / F.lit(n_chunks))).scalar()
+    b = df.withColumn("band", F.floor(F.col("tof") / width).cast("int")).where(F.col("band") < n_chunks)
     stats = b.groupBy("band").agg(F.avg("mz").alias("mz_mean"), F.stddev_pop("mz").alias("mz_std"))
     cells = b.groupBy("band", "frame_id", "scan").agg(F.sum("intensity").alias("intensity"))
     return cells.join(F.broadcast(stats), "band")  # one row per band, n_chunks at most

@@ -69,6 +69,7 @@ R.add("i137_scan_apex", lambda v: B.scan_apex(v.peaks, "frame_id"), "SELECT fram
 R.add("i138_weighted_mobility", lambda v: B.weighted_moments(v.peaks, "scan", "intensity", "frame_id").select("frame_id", "total", r6("mean").alias("mean"), r6("variance").alias("variance")), f"SELECT frame_id, sum(intensity) AS total, {_R6('sum(intensity * scan) / sum(intensity)')} AS mean, {_R6('sum(intensity * scan * scan) / sum(intensity) - (sum(intensity * scan) / sum(intensity)) * (sum(intensity * scan) / sum(intensity))')} AS variance FROM v_peaks GROUP BY frame_id", "peaks")
 R.add("i139_signal_moments", lambda v: B.weighted_moments(v.peaks, "scan", "intensity", "frame_id"))
 R.add("i141_plane", lambda v: B.plane(v.peaks, 2000, 8).select("band", "frame_id", "scan", "intensity", r6("mz_mean").alias("mz_mean"), r6("mz_std").alias("mz_std")), f"WITH b AS (SELECT *, CAST(tof // 2000 AS INT) AS band FROM v_peaks WHERE tof < 16000), s AS (SELECT band, {_R6('avg(mz)')} AS mz_mean, {_R6('stddev_pop(mz)')} AS mz_std FROM b GROUP BY band) SELECT c.*, mz_mean, mz_std FROM (SELECT band, frame_id, scan, sum(intensity) AS intensity FROM b GROUP BY ALL) c JOIN s USING (band)", "peaks")
+R.add("i141_plane_whole", lambda v: B.plane(v.peaks, None, 8).select("band", "frame_id", "scan", "intensity", r6("mz_mean").alias("mz_mean"), r6("mz_std").alias("mz_std")), f"WITH b AS (SELECT *, CAST(tof // (SELECT CAST(ceil((max(tof) + 1) / 8) AS INT) FROM v_peaks) AS INT) AS band FROM v_peaks), s AS (SELECT band, {_R6('avg(mz)')} AS mz_mean, {_R6('stddev_pop(mz)')} AS mz_std FROM b GROUP BY band) SELECT c.*, mz_mean, mz_std FROM (SELECT band, frame_id, scan, sum(intensity) AS intensity FROM b GROUP BY ALL) c JOIN s USING (band)", "peaks")
 R.add("i142_inverted_index", lambda v: B.inverted_index(v.peaks, 0).select("bin", F.size("postings").alias("n"), F.get("postings", F.lit(0))["frame_id"].alias("first_frame")), "SELECT CAST(round(mz) AS BIGINT) AS bin, CAST(count(*) AS INT) AS n, min(frame_id) AS first_frame FROM v_peaks GROUP BY CAST(round(mz) AS BIGINT)", "peaks")
 R.add("i143_tof_axis", lambda v: B.tof_axis(v.peaks, 50), "SELECT CAST(min(tof) // 50 * 50 AS BIGINT) AS lo, CAST((max(tof) // 50 + 1) * 50 AS BIGINT) AS hi, CAST(max(tof) // 50 + 1 - min(tof) // 50 AS BIGINT) AS n_bins FROM v_peaks", "peaks")
 R.add("i144_tof_bins", lambda v: B.tof_bins(v.peaks, 500, "frame_id"), "SELECT frame_id, bin, n, intensity, CAST(coalesce(sum(n) OVER (PARTITION BY frame_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", (bin + 0.5) * 500 AS center FROM (SELECT frame_id, CAST(tof // 500 AS BIGINT) AS bin, count(*) AS n, sum(intensity) AS intensity FROM v_peaks GROUP BY ALL) x", "peaks")

@@ -40,6 +40,12 @@ def test_quantise(spark):
     assert pairs_of(B.to_resolution(p, 2), "mz", "intensity") == [(100.12, 30.0), (100.13, 30.0)]
 
 
+def test_plane_bands_hold_the_whole_axis(spark):
+    rows = [(1, 5, t, float(t), 1.0) for t in (0, 15_999, 16_000, 149_999)]
+    got = B.plane(spark.createDataFrame(rows, "frame_id int, scan int, tof int, mz double, intensity double"), None, 8)
+    assert pairs_of(got, "band", "intensity") == [(0, 3.0), (7, 1.0)]
+
+
 def test_value_windows(spark):
     p = peaks(spark, [(100, 10), (101, 20), (102.5, 30), (103, 40)])
     got = {r["window"]: r["n"] for r in W.value_windows(p, 1.0, 1, 10.0).collect()}

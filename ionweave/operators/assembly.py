@@ -61,9 +61,8 @@ def evaluate_clusters(peaks: DataFrame, clusters: DataFrame, width: float = 16.0
     dims = [(("frame_id", "_f1"), ("frame_lo", "frame_hi"), width), (("scan", "_s1"), ("scan_lo", "scan_hi"), width)]
     hit = J.bucketed_box_join(p, clusters, dims, residual=F.col("tof").between(F.col("tof_lo"), F.col("tof_hi")))
     w = F.col("intensity")
-    per_frame = Window.partitionBy("cluster_id", "frame_id")
-    hit = hit.withColumn("_fs", F.sum("intensity").over(per_frame))
-    return hit.groupBy("cluster_id").agg(F.sum(w).alias("raw_sum"), F.count(F.lit(1)).alias("n"), (F.sum(w * F.col("scan")) / F.sum(w)).alias("im_mu"), (F.sum(w * F.col("frame_id")) / F.sum(w)).alias("rt_mu"), F.max_by("frame_id", F.struct(F.col("_fs"), (-F.col("frame_id")).alias("f"))).alias("apex_frame"))
+    per_frame = hit.groupBy("cluster_id", "frame_id").agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_n"), F.sum(w * F.col("scan")).alias("_s"))
+    return per_frame.groupBy("cluster_id").agg(F.sum("_w").alias("raw_sum"), F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_w")).alias("im_mu"), (F.sum(F.col("_w") * F.col("frame_id")) / F.sum("_w")).alias("rt_mu"), F.max_by("frame_id", F.struct(F.col("_w"), (-F.col("frame_id")).alias("f"))).alias("apex_frame"))
 
 
 def dia_index(info: DataFrame, windows: DataFrame) -> DataFrame:

@@ -88,6 +88,15 @@ R.add("i161_cluster_statistics", lambda v: v.ms1.agg(F.count(F.lit(1)).alias("n"
 R.add("i177_length_bins", lambda v: v.table("parse_diann_report").where("sequence is not null").select(F.when(F.length("sequence") <= 10, "7-10").when(F.length("sequence") <= 15, "11-15").when(F.length("sequence") <= 20, "16-20").when(F.length("sequence") <= 25, "21-25").otherwise("26-30").alias("bin"), (F.col("q_value") <= 0.01).cast("int").alias("ok")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").cast("long").alias("identified")), "SELECT CASE WHEN length(sequence) <= 10 THEN '7-10' WHEN length(sequence) <= 15 THEN '11-15' WHEN length(sequence) <= 20 THEN '16-20' WHEN length(sequence) <= 25 THEN '21-25' ELSE '26-30' END AS bin, count(*) AS n, CAST(sum(CAST(q_value <= 0.01 AS INT)) AS BIGINT) AS identified FROM parse_diann_report WHERE sequence IS NOT NULL GROUP BY bin")
 R.add("i179_recall_quartiles", lambda v: E.rank_bucket(v.truth, "intensity", 4, ["seq_id"]).join(v.report.select("seq_id", "charge").distinct().withColumn("f", F.lit(1)), ["seq_id", "charge"], "left").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("found")), "WITH b AS (SELECT seq_id, charge, CAST(greatest(1, ceil(4 * (r - 1) / greatest(n - 1, 1))) AS INT) AS bucket FROM (SELECT *, row_number() OVER (ORDER BY intensity, seq_id) AS r, count(*) OVER () AS n FROM v_truth) x) SELECT bucket, count(*) AS n, count(r.seq_id) AS found FROM b LEFT JOIN (SELECT DISTINCT seq_id, charge FROM v_report) r USING (seq_id, charge) GROUP BY bucket", "truth report")
 R.add("i211_evaluate_clusters", lambda v: M.evaluate_clusters(v.peaks, v.ms1.select("cluster_id", (F.col("rt_lo") % 90).alias("frame_lo"), (F.col("rt_lo") % 90 + 8).alias("frame_hi"), F.col("im_lo").alias("scan_lo"), F.col("im_hi").alias("scan_hi"), F.lit(0).alias("tof_lo"), F.lit(20000).alias("tof_hi"))).select("cluster_id", "raw_sum", "n", r6("im_mu").alias("im_mu"), "apex_frame"), f"WITH c AS (SELECT cluster_id, rt_lo % 90 AS f0, rt_lo % 90 + 8 AS f1, im_lo, im_hi FROM v_ms1), h AS (SELECT cluster_id, frame_id, scan, intensity, sum(intensity) OVER (PARTITION BY cluster_id, frame_id) AS fs FROM c JOIN v_peaks p ON p.frame_id BETWEEN f0 AND f1 AND p.scan BETWEEN im_lo AND im_hi AND tof <= 20000) SELECT cluster_id, sum(intensity) AS raw_sum, count(*) AS n, {_R6('sum(intensity * scan) / sum(intensity)')} AS im_mu, arg_max(frame_id, {{'a': fs, 'b': -frame_id}}) AS apex_frame FROM h GROUP BY cluster_id", "peaks ms1")
+
+def _boxes(v):
+    """MS1 clusters as boxes over all frames and the whole tof axis of the data."""
+    frames, tof = v.frame_info.agg(F.count(F.lit(1))).scalar(), v.peaks.agg(F.struct(F.min("tof").alias("lo"), F.max("tof").alias("hi"))).scalar()
+    first = v.peaks.agg(F.min("frame_id")).scalar()
+    return v.ms1.withColumn("frame_lo", (F.col("cluster_id") % frames + first).cast("int")).select("cluster_id", "frame_lo", (F.col("frame_lo") + 8).alias("frame_hi"), F.col("im_lo").alias("scan_lo"), F.col("im_hi").alias("scan_hi"), tof["lo"].alias("tof_lo"), tof["hi"].alias("tof_hi"))
+
+
+R.add("i211_evaluate_clusters_whole", lambda v: M.evaluate_clusters(v.peaks, _boxes(v)).select("cluster_id", "raw_sum", "n", r6("im_mu").alias("im_mu"), "apex_frame"), f"WITH c AS (SELECT cluster_id, cluster_id % n + f AS f0, cluster_id % n + f + 8 AS f1, im_lo, im_hi FROM v_ms1, (SELECT count(*) AS n FROM v_frame_info), (SELECT min(frame_id) AS f FROM v_peaks)), h AS (SELECT cluster_id, frame_id, scan, intensity, sum(intensity) OVER (PARTITION BY cluster_id, frame_id) AS fs FROM c JOIN v_peaks p ON p.frame_id BETWEEN f0 AND f1 AND p.scan BETWEEN im_lo AND im_hi) SELECT cluster_id, sum(intensity) AS raw_sum, count(*) AS n, {_R6('sum(intensity * scan) / sum(intensity)')} AS im_mu, arg_max(frame_id, {{'a': fs, 'b': -frame_id}}) AS apex_frame FROM h GROUP BY cluster_id", "peaks ms1 frame_info")
 R.add("i218_stable_ids", lambda v: v.ms1.select("cluster_id", F.xxhash64("window_group", "rt_lo", "rt_hi", "im_lo", "im_hi", "mz").alias("stable_id")))
 R.add("i228_sorted_hits", lambda v: pairs(v).groupBy("ms1_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("jaccard")).alias("o"), "ms2_id"))).alias("h")).select("ms1_id", F.size("h").alias("n"), (-F.get("h", F.lit(0))["o"]).alias("best")))
 R.add("i239_union", lambda v: v.table("peptides").select("sequence", "protein").unionByName(v.table("findings").select("sequence", "protein")).groupBy("protein").agg(F.count(F.lit(1)).alias("n")), "SELECT protein, count(*) AS n FROM (SELECT protein FROM peptides UNION ALL SELECT protein FROM findings) x GROUP BY protein")

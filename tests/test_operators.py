@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ionweave.functions import arrays as A
 from ionweave.functions import chemistry as C
 from ionweave.functions import physics as Y
@@ -298,6 +299,16 @@ def test_target_decoy(spark):
     assert pairs_of(M.target_decoy(df, "spec", "s", "m"), "spec", "m", "q") == [(1, 1, 0.0), (2, 3, 0.0), (3, 4, pytest.approx(1 / 3)), (4, 5, pytest.approx(1 / 3))]
 
 
+def test_cluster_boxes_reach_all_peaks(spark, tmp_path):
+    f = lambda rows, cols, name: spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / f"{name}.parquet"))
+    f([(s, 5, t, 100.0, 1.0) for s, t in ((3, 10), (150, 149_999), (2500, 9))], "l_suppkey long, l_partkey long, l_orderkey long, l_extendedprice double, l_quantity double", "lineitem")
+    f([(i,) for i in range(1, 2501)], "s_suppkey long", "supplier")
+    f([(i, 0, 500.0) for i in range(1, 2501)], "o_orderkey long, o_custkey long, o_totalprice double", "orders")
+    got = entry.queries()["i211_evaluate_clusters_whole"](spark, str(tmp_path))
+    assert {r["apex_frame"] for r in got.collect()} == {3, 150, 2500}
+    assert got.agg(F.sum("n")).first()[0] == 1 + 9 + 9  # boxes that hold frames 3, 150 and 2500
+
+
 def test_empty_inputs(spark):
     p = spark.createDataFrame([], "frame_id int, scan int, tof int, mz double, intensity double, mobility double")
     for out in (B.to_resolution(p, 1, "frame_id"), W.centroid(p, 0.1, ["tof"], "frame_id"), W.value_windows(p, 1.0, 1, 0.0), G.deisotope(p, ["frame_id"]), T.top_spectrum(p, 3, "frame_id"), B.upper_median(p, "mz"), M.scan_slices(p)):

@@ -7,6 +7,8 @@ instrument and not from the amount of data.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -232,20 +234,33 @@ ISOTOPES = {
 
 
 def convolve(a: list, b: list, tolerance: float, threshold: float, most: int) -> list:
-    """Product of two distributions; masses within the tolerance merge into the first of them, rare ones drop, the most abundant stay."""
-    out: list[list[float]] = []
-    for ma, pa in a:
-        for mb, pb in b:
-            m, p = ma + mb, pa * pb
-            if p >= threshold:
-                for e in out:
-                    if abs(e[0] - m) < tolerance:
-                        e[1] += p
-                        break
-                else:
-                    out.append([m, p])
-    out.sort(key=lambda e: -e[1])
-    return sorted((tuple(e) for e in out[:most]), key=lambda e: e[0])
+    """Product of two distributions; masses within the tolerance merge into the first of them, rare ones drop, the most abundant stay.
+
+    Products are cut where sorted masses leave a gap of the tolerance, which no merge crosses. A part narrower than the
+    tolerance merges into its first product; only wider ones are walked one by one.
+    """
+    a, b = np.asarray(a, dtype=float).reshape(-1, 2), np.asarray(b, dtype=float).reshape(-1, 2)
+    m, p = (a[:, None, 0] + b[None, :, 0]).ravel(), (a[:, None, 1] * b[None, :, 1]).ravel()
+    m, p = m[p >= threshold], p[p >= threshold]
+    if not len(m):
+        return []
+    order = np.argsort(m, kind="stable")
+    s = m[order]
+    starts = np.concatenate(([0], np.nonzero(np.diff(s) >= tolerance)[0] + 1))
+    ends = np.concatenate((starts[1:], [len(s)]))
+    first = np.empty(len(m), dtype=int)  # of each product the one that it merges into
+    first[order] = np.repeat(np.minimum.reduceat(order, starts), ends - starts)
+    for i in np.nonzero(s[ends - 1] - s[starts] >= tolerance)[0]:
+        heads: list[int] = []
+        for j in np.sort(order[starts[i] : ends[i]]):
+            first[j] = next((h for h in heads if abs(m[h] - m[j]) < tolerance), j)
+            if first[j] == j:
+                heads.append(j)
+    total = np.bincount(first, weights=p)
+    heads = np.unique(first)
+    heads = heads[np.argsort(-total[heads], kind="stable")][:most]
+    heads = heads[np.lexsort((total[heads], m[heads]))]
+    return list(zip(m[heads].tolist(), total[heads].tolist()))
 
 
 def convolve_power(dist: list, n: int, tolerance: float, threshold: float, most: int) -> list:
@@ -260,16 +275,23 @@ def convolve_power(dist: list, n: int, tolerance: float, threshold: float, most:
     return result
 
 
-def isotope_distribution(counts: dict[str, int], tolerance: float = 1e-2, threshold: float = 1e-9, most: int = 20) -> list[tuple[float, float]]:
+@lru_cache(maxsize=10_000)
+def element_power(element: str, n: int, most: int) -> tuple:
+    """Distribution of n atoms of an element; finer than that of compositions, so that little is merged or lost before it."""
+    return tuple(convolve_power(ISOTOPES[element], n, 1e-6, 1e-12, most))
+
+
+def isotope_distribution(counts: dict[str, int], tolerance: float = 1e-3, threshold: float = 1e-9, most: int = 200) -> list[tuple[float, float]]:
     """Distribution of a composition, elements in alphabetical order; unknown elements are refused."""
     out = [(0.0, 1.0)]
     for e in sorted(counts):
-        out = convolve(out, convolve_power(ISOTOPES[e], counts[e], tolerance, threshold, most), tolerance, threshold, most)
+        out = convolve(out, element_power(e, counts[e], most), tolerance, threshold, most)
     return out
 
 
 def isotope_spectra(df: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """``key, peak, mass, abundance`` per composition ``key, counts map``; each distinct composition is computed once a batch."""
+    """``key, peak, mass, abundance`` per composition ``key, counts map``; each distinct composition is computed once a batch.
+    The ``most`` abundant peaks of the finished distribution are reported, by mass."""
     kind = dict(df.dtypes)[key]
 
     def run(frames):
@@ -281,7 +303,7 @@ def isotope_spectra(df: DataFrame, key: str, most: int = 8) -> DataFrame:
                 if comp not in cache:
                     if len(cache) > 100_000:
                         cache.clear()
-                    cache[comp] = isotope_distribution(dict(comp), most=most)
+                    cache[comp] = sorted(sorted(isotope_distribution(dict(comp)), key=lambda e: -e[1])[:most])
                 rows += [(k, i, m, p) for i, (m, p) in enumerate(cache[comp])]
             yield pd.DataFrame(rows, columns=[key, "peak", "mass", "abundance"])
 

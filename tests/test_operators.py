@@ -188,6 +188,46 @@ def test_isotope_distributions():
     assert [x for p in power for x in p] == pytest.approx([x for p in direct for x in p])
 
 
+def plain_convolve(a, b, tolerance, threshold, most):
+    out = []
+    for ma, pa in a:
+        for mb, pb in b:
+            if pa * pb >= threshold:
+                near = next((e for e in out if abs(e[0] - ma - mb) < tolerance), None)
+                if near:
+                    near[1] += pa * pb
+                else:
+                    out.append([ma + mb, pa * pb])
+    return sorted(map(tuple, sorted(out, key=lambda e: -e[1])[:most]))
+
+
+def test_convolution_equals_the_plain_walk():
+    rng = np.random.default_rng(4)
+    for tolerance in (1e-6, 1e-3, 5e-3, 0.3):
+        a, b = ([(float(x), float(y)) for x, y in zip(rng.integers(0, 6, 30) + rng.normal(0, 2e-3, 30), rng.random(30))] for _ in range(2))
+        got, want = G.convolve(a, b, tolerance, 0.01, 40), plain_convolve(a, b, tolerance, 0.01, 40)
+        assert len(got) == len(want) and [x for e in got for x in e] == pytest.approx([x for e in want for x in e], abs=1e-12)
+
+
+def test_reported_peaks_are_those_of_the_whole_distribution(spark):
+    counts = {"C": 147, "H": 232, "N": 40, "O": 46, "S": 1}
+    whole = G.isotope_distribution(counts)
+    assert sum(p for _, p in whole) == pytest.approx(1.0, abs=1e-3)
+    nominal = np.array([1.0])
+    for e, n in counts.items():
+        one = np.zeros(5)
+        for m, p in G.ISOTOPES[e]:
+            one[round(m - G.ISOTOPES[e][0][0])] += p
+        for _ in range(n):
+            nominal = np.convolve(nominal, one)[:12]
+    lightest = whole[0][0]
+    for k in range(6):
+        assert sum(p for m, p in whole if round(m - lightest) == k) == pytest.approx(nominal[k], abs=1e-3)
+    df = spark.createDataFrame([("x", counts)], "k string, counts map<string,int>")
+    got = [(r["mass"], r["abundance"]) for r in G.isotope_spectra(df, "k", 5).orderBy("peak").collect()]
+    assert got == sorted(sorted(whole, key=lambda e: -e[1])[:5])
+
+
 def test_prominence_and_suppression():
     found = G.prominences(np.array([0, 1, 0, 3, 1, 2, 0.0]))
     assert [(i, p) for i, p, _, _ in found] == [(1, 1.0), (3, 3.0), (5, 1.0)]

@@ -94,6 +94,7 @@ R.add("i310_length", lambda v: _seq(v).select("row_id", C.residue_count(F.col("s
 R.add("i311_list_strings", lambda v: v.table("nation").select("n_nationkey", F.array_join(formats.parse_list(F.concat(F.lit("['"), "n_name", F.lit("', 'x']"))), ";").alias("joined")), "SELECT n_nationkey, n_name || ';x' AS joined FROM nation")
 R.add("i312_model_dialects", lambda v: _seq(v).select("row_id", C.model_dialect(F.col("sequence"), "mass").alias("m"), C.model_dialect(F.col("sequence"), "none").alias("bare")).select("row_id", "bare", F.regexp_count("m", F.lit(r"\[\+")).alias("n")), f"SELECT row_id, {_STRIP} AS bare, CAST(len(regexp_extract_all(s, 'UNIMOD')) AS INT) AS n FROM {_SEQ}")
 R.add("i313_encode", lambda v: _seq(v).select("row_id", C.encode_tokens(F.col("sequence"), {r: i + 2 for i, r in enumerate(P.RESIDUES)}, 12).alias("ids")), f"SELECT row_id, list_transform(range(1, 13), lambda i: CASE WHEN i > len(t) THEN 0 WHEN length(t[i]) > 1 THEN 1 ELSE CAST(strpos('{P.RESIDUES}', t[i]) + 1 AS INT) END)::INT[] AS ids FROM (SELECT row_id, regexp_extract_all(s, '[A-Z](?:\\[UNIMOD:[0-9]+\\])*') AS t FROM {_SEQ}) x")
+R.add("i313_encode_whole", lambda v: _seq(v).select("row_id", C.encode_tokens(F.col("sequence"), {r: i + 2 for i, r in enumerate(P.RESIDUES)}, 30).alias("ids")), f"SELECT row_id, list_transform(range(1, 31), lambda i: CASE WHEN i > len(t) THEN 0 WHEN length(t[i]) > 1 THEN 1 ELSE CAST(strpos('{P.RESIDUES}', t[i]) + 1 AS INT) END)::INT[] AS ids FROM (SELECT row_id, regexp_extract_all(s, '[A-Z](?:\\[UNIMOD:[0-9]+\\])*') AS t FROM {_SEQ}) x")
 R.add("i314_sanitise", lambda v: v.table("precursors").select("row_id", F.when(~F.isnan("intensity"), F.col("intensity")).alias("intensity"), F.coalesce("monoisotopicmz", "largestpeakmz", "averagemz").alias("mz")), "SELECT row_id, CASE WHEN NOT isnan(intensity) THEN intensity END AS intensity, coalesce(monoisotopicmz, largestpeakmz, averagemz) AS mz FROM precursors")
 
 # arrays, json

@@ -177,6 +177,14 @@ def test_chemistry(spark):
     assert keys == {"LCK|1:4"}
 
 
+def test_encoding_keeps_the_tail_of_long_sequences(spark, tmp_path):
+    long = "ACDEFGHIKLMNPQRSTVWYACDEFGHIKL"
+    spark.createDataFrame([(1, long), (2, long[:-1] + "M"), (3, "AC(UniMod:4)")], "row_id long, sequence_modified string").write.parquet(str(tmp_path / "parse_diann_report.parquet"))
+    got = {r["row_id"]: r["ids"] for r in entry.queries()["i313_encode_whole"](spark, str(tmp_path)).collect()}
+    assert len(got[1]) == 30 and 0 not in got[1] and got[1][:29] == got[2][:29] and got[1][29] != got[2][29]
+    assert got[3][1:] == [1] + [0] * 28
+
+
 def test_isotope_distributions():
     water = G.isotope_distribution({"H": 2, "O": 1})
     assert water[0][0] == pytest.approx(18.0105646863, abs=1e-6) and sum(p for _, p in water) == pytest.approx(1.0, abs=1e-3)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.functions.physics import ISOTOPE_SPACING
+from ionweave.functions.physics import AVERAGINE, ISOTOPE_SPACING, MASS_PROTON
 
 
 def isotope_marks(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: int = 4, isotopes: int = 3) -> np.ndarray:
@@ -104,11 +104,21 @@ def cut_by_reach(df: DataFrame, axis: str, reach: float, keys: list[str], ties:
     return df.withColumn("_n", F.coalesce((F.col(axis) - F.lag(axis).over(w) > reach).cast("int"), F.lit(0))).withColumn("part", F.sum("_n").over(w)).drop("_n")
 
 
-def isotope_chains(df: DataFrame, keys: list[str], ppm: float = 10.0, absolute: float = 0.005, max_charge: int = 5, min_overlap: float = 0.3, ident: str = "cluster_id") -> DataFrame:
+def follows(mass: float, place: int, before: float, now: float) -> bool:
+    """Whether a raw sum moves as the averagine weight from ``place - 1`` to ``place`` does: up or down by 5 %. Places from the eighth on count as that; nearly
+    equal weights ask for nothing."""
+    ratio = (AVERAGINE[0] * mass + AVERAGINE[1]) / min(place, 7)  # of neighbouring Poisson weights
+    if ratio > 1 + 1e-3:
+        return max(now, 0.0) >= max(before, 0.0) * 1.05
+    return ratio >= 1 - 1e-3 or max(now, 0.0) <= max(before, 0.0) * 0.95
+
+
+def isotope_chains(df: DataFrame, keys: list[str], ppm: float = 10.0, absolute: float = 0.005, max_charge: int = 5, min_overlap: float = 0.3, ident: str = "cluster_id", envelope: bool = True, max_members: int | None = None) -> DataFrame:
     """Features: chains of clusters an isotope spacing apart, ``keys, feature, charge, place, cluster_id``.
 
     Seeds by descending raw_sum; charges 1 to ``max_charge``, the first best length wins; a chain is extended upwards and downwards in m/z while
-    a free cluster lies within the tolerance with enough overlap in rt and scan, and each cluster belongs to one chain.
+    a free cluster lies within the tolerance with enough overlap in rt and scan, and each cluster belongs to one chain. With ``envelope`` a direction ends where the next raw_sum does
+    not rise or fall as the averagine weights at the seed's mass do, counted from the seed both ways; ``max_members`` limits a chain.
     Parts of the m/z axis further apart than one spacing are independent and are handled apart.
     """
     parts = cut_by_reach(df, "mz", ISOTOPE_SPACING + 0.05, keys, [ident])
@@ -131,6 +141,15 @@ def isotope_chains(df: DataFrame, keys: list[str], ppm: float = 10.0, absolute:
             fit = [j for j in range(a, b) if free[j] and j != i and share(rt[i], rt[j]) >= min_overlap and share(im[i], im[j]) >= min_overlap]
             return min(fit, key=lambda j: (abs(mz[j] - target), -raw[j], j)) if fit else None
 
+        def extend(chain: list, seed: int, z: int, sign: int) -> None:
+            mass, seen, at = (mz[seed] - MASS_PROTON) * z, 1, seed
+            while max_members is None or len(chain) < max_members:
+                j = step(at, mz[at] + sign * ISOTOPE_SPACING / z)
+                if j is None or j in chain or (envelope and not follows(mass, seen, raw[at], raw[j])):
+                    return
+                chain.insert(len(chain) if sign > 0 else 0, j)
+                at, seen = j, seen + 1
+
         rows = []
         for seed in sorted(range(len(mz)), key=lambda j: (-raw[j], ids[j])):
             if not free[seed]:
@@ -138,10 +157,8 @@ def isotope_chains(df: DataFrame, keys: list[str], ppm: float = 10.0, absolute:
             best, best_z = [seed], 0
             for z in range(1, max_charge + 1):
                 chain = [seed]
-                while (j := step(chain[-1], mz[chain[-1]] + ISOTOPE_SPACING / z)) is not None and j not in chain:
-                    chain.append(j)
-                while (j := step(chain[0], mz[chain[0]] - ISOTOPE_SPACING / z)) is not None and j not in chain:
-                    chain.insert(0, j)
+                extend(chain, seed, z, 1)
+                extend(chain, seed, z, -1)
                 if len(chain) > len(best):
                     best, best_z = chain, z
             free[best] = False

@@ -273,6 +273,42 @@ def test_isotope_chain(spark):
     assert got == [(1, 2, 0, 1), (1, 2, 1, 2), (1, 2, 2, 3), (4, 0, 0, 4)]
 
 
+def chains_of(spark, rows, **kw):
+    df = spark.createDataFrame([(1, i, float(m), float(r), 1, 5, 1, 5) for i, m, r in rows], "g int, cluster_id long, mz double, raw_sum double, rt_lo int, rt_hi int, im_lo int, im_hi int")
+    out = {}
+    for r in G.isotope_chains(df, ["g"], max_charge=1, **kw).orderBy("place").collect():
+        out.setdefault(r["feature"], []).append(r["cluster_id"])
+    return out
+
+
+def test_isotope_chain_stops_against_the_envelope(spark):
+    up = [(i, 500 + i * Y.ISOTOPE_SPACING, r) for i, r in enumerate((100, 60, 58, 20))]  # 58 does not fall by 5 %
+    assert chains_of(spark, up, envelope=False) == {0: [0, 1, 2, 3]}
+    assert chains_of(spark, up) == {0: [0, 1], 2: [2, 3]}
+    down = [(i, 500 + i * Y.ISOTOPE_SPACING, r) for i, r in enumerate((58, 60, 100))]
+    assert chains_of(spark, down) == {0: [0], 1: [1, 2]}
+    assert chains_of(spark, up, envelope=False, max_members=2) == {0: [0, 1], 2: [2, 3]}
+    rnd = random.Random(5)
+    for _ in range(3):
+        rows = [(i, 500 + i * Y.ISOTOPE_SPACING, rnd.randrange(1, 100) + i / 100) for i in range(12)]
+        raw, free, want = [r for _, _, r in rows], set(range(12)), {}
+        for seed in sorted(free, key=lambda i: -raw[i]):
+            if seed in free:
+                chain = [seed]
+                for way in (1, -1):
+                    at, place = seed, 1
+                    while at + way in free:
+                        lam, k = 0.000594 * (rows[seed][1] - 1.0072765) - 0.03091, min(place, 7)
+                        w = [math.exp(-lam) * lam**n / math.factorial(n) for n in (k - 1, k)]
+                        if w[1] > w[0] * 1.001 and raw[at + way] < raw[at] * 1.05 or w[1] < w[0] * 0.999 and raw[at + way] > raw[at] * 0.95:
+                            break
+                        at, place = at + way, place + 1
+                        chain.append(at)
+                free -= set(chain)
+                want[min(chain)] = sorted(chain)
+        assert chains_of(spark, rows) == want
+
+
 def test_components_and_dbscan(spark):
     nodes = spark.range(12)
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (7, 6), (6, 5), (9, 9)], "a long, b long")

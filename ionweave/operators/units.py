@@ -120,7 +120,7 @@ def assign_units(values: DataFrame, sources: DataFrame, notes: DataFrame, max_bi
     segment = F.try_element_at(F.filter("segments", lambda a: a.from_bin <= at_bin), F.lit(-1)).unit_segment
     y = y.withColumn("segment", F.when(bare & (F.size(F.coalesce("segments", F.array())) > 0), segment))
     agreed = F.when(F.array_contains("fits", F.col("segment")), F.col("segment"))  # the segment's unit where it stands the exact check
-    unit = F.when(F.col("unit").isNotNull(), F.col("unit")).when(F.col("value").isNotNull(), F.coalesce("noted", F.when(F.size("fits") > 1, agreed), "only", "own"))
+    unit = F.when(F.col("unit").isNotNull(), F.col("unit")).when(F.col("value").isNotNull(), F.coalesce("noted", agreed, "only", "own"))
     rule = F.when(F.col("unit").isNotNull(), "text").when(F.col("value").isNull(), F.lit(None)).when(F.col("noted").isNotNull(), "note").when(F.col("segment") == F.col("unit_code"), "segment").when(F.col("only").isNotNull(), "range").otherwise("own")
     y = y.withColumn("unit_code", unit).withColumn("rule", rule)
     return y.select("history", "row_id", "source_id", "loaded_at", "own", "value", "unit_code", "rule", F.coalesce("seconds", seconds_of(F.col("value"), F.col("unit_code"))).alias("seconds"))

@@ -75,6 +75,12 @@ def test_segments_decide_between_units_that_both_fit(spark):
     assert both and all(got[i][1] == "segment" for i in both)
 
 
+def test_the_range_confirms_or_replaces_the_segment(spark):
+    rows = [(i, 1, i * 0.1, 900.0 + i, None) for i in range(100)] + [(100, 1, 5.05, 20.0, None)]
+    got = assign(spark, rows, [(1, 600, 1800)], [], max_bins=1)
+    assert got[100][:2] == ("min", "range") and all(got[i][:2] == ("s", "segment") for i in range(100))
+
+
 def test_empty(spark):
     assert assign(spark, [], [(1, 1, 2)], []) == {}
     assert assign(spark, [(1, 1, 1, 5.0, None)], [], []) == {1: ("s", "segment", 5.0)}

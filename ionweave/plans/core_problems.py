@@ -150,5 +150,16 @@ z AS (SELECT w.*, CASE WHEN clock THEN 'clock' WHEN u IN ('s', 'sec', 'seconds',
   FROM w LEFT JOIN sources s USING (source_id))
 SELECT table_name, row_id, unit_code FROM z WHERE unit_code <> own"""
 
+_VALUE = """'(?:"(?:[^"]|"")*"|[^"\r\n' || delim || ']*)'"""
+_SEQ = R.SEQUENCE_PATTERN.replace("'", "''")
+P3_FOUND_SQL = f"""WITH h AS (SELECT file_id, delim, list_transform(string_split(lower(header_line), delim), lambda x: trim(x)) AS names FROM findings_files),
+r AS (SELECT line_id, delim, names, raw_line, regexp_full_match(raw_line, {_VALUE} || '(?:[' || delim || ']' || {_VALUE} || ')*') AS sound,
+    regexp_extract_all(delim || raw_line, '[' || delim || '](' || {_VALUE} || ')', 1) AS v FROM findings_raw LEFT JOIN h USING (file_id)),
+u AS (SELECT *, list_transform(v, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS w FROM r),
+c AS (SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN sound IS NULL OR len(v) <> len(names) THEN 'columns'
+    WHEN NOT regexp_full_match(coalesce(w[list_position(names, 'sequence')], ''), '{_SEQ}') THEN 'sequence'
+    WHEN list_contains(names, 'charge') AND NOT regexp_full_match(w[list_position(names, 'charge')], '[1-6]') THEN 'charge' END AS reason FROM u)
+SELECT line_id, reason FROM c WHERE reason IS NOT NULL"""
+
 QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_seconds": p4_seconds}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p4_found": P4_FOUND_SQL}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL}

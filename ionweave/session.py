@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,13 +34,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (as in tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("ionweave.shared.dir", None)
+    """This application's own folder below the one that all executors share, ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder is taken on a local master; on a cluster, where each machine would have
+    its own, that is refused. The folder is deleted when the application ends, or by ``forget``.
+    """
+    named = spark.conf.get("ionweave.shared.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ionweave-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="ionweave-")
+            spark.sparkContext.setCheckpointDir(base)
+        named = f"{base.rstrip('/')}/ionweave-{spark.sparkContext.applicationId}"
         spark.conf.set("ionweave.shared.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+        atexit.register(forget, spark)
+    return named
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that ``materialise`` has written for this application; what was built on them cannot be read any more."""
+    try:
+        named = spark.conf.get("ionweave.shared.dir", None)
+        if named:
+            path = spark._jvm.org.apache.hadoop.fs.Path(named)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            spark.conf.unset("ionweave.shared.dir")
+    except Exception:  # the session has ended: the folder stays for whoever cleans the shared one
+        return
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -5,9 +5,10 @@ object), the tags of each path (file, field) are fused to the set of alternative
 files of a series are compared path by path. Conflicting alternatives become typed branches of one field plus a
 canonical text that all branches convert to.
 
-Scale: the comparison of schemas works on (file, field) aggregates. Renames are found without forming pairs of
-records or fields: each column that is gone or new is reduced, on the records in both files, to an order-free
-fingerprint, and equal fingerprints are joined.
+Scale: records meet once, by series and record number, to learn which of them the files before and after have too;
+everything else is one aggregation per path with fixed-width states (a bit per tag, counts and order-free fingerprints), so
+no pairs of records or fields are formed. Renames are equal fingerprints, on the records in both files, of a column that is
+gone and one that is new.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionweave.session import materialise
-
 TAGS = ("integer", "decimal", "boolean", "text", "array", "object")
 #: Texts that stand for a missing value.
 MISSING = ("", "NA")
@@ -49,65 +48,97 @@ def _variant_tag(kind: Column, text: Column) -> Column:
     )
 
 
-def tagged_values(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """``file_id, line_no, record_no, name, tag, value`` of every field of every record; tag and value null if missing.
+def _records(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows with their file's format and header; ``v`` is the parsed record of a json file."""
+    f = files.select("file_id", F.lower("file_format").alias("file_format"), "header_line")
+    r = rows.select("file_id", "line_no", "record_no", "payload").join(f, "file_id", "left")
+    v = F.when(F.col("file_format") == "json", F.try_parse_json("payload"))
+    return r.withColumn("v", v)
+
+
+def _readable() -> Column:
+    """Whether a row gives fields: a json object, or a line of a file that has a header."""
+    return F.when(F.col("file_format") == "json", F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")).otherwise(F.col("file_format").isNotNull() & F.col("header_line").isNotNull())
 
-    JSON records that do not parse, and rows of unknown files, give nothing. A delimited line with fewer values than
-    its header leaves the rest missing; values beyond the header are left out.
+
+def unread(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``file_id, line_no, record_no, reason`` of what ``tagged_values`` cannot take over.
+
+    ``file`` (the row's file is unknown), ``header`` (its file has none), ``json`` (no JSON object), ``surplus`` (more
+    values than the header has names; the values up to there are taken) and ``short`` (fewer; the rest counts as missing).
     """
-    f = files.select("file_id", F.lower("file_format").alias("file_format"), "header_line")
-    r = rows.select("file_id", "line_no", "record_no", "payload").join(f, "file_id")
-    json = r.where("file_format = 'json'").select("file_id", "line_no", "record_no", F.try_parse_json("payload").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    each = json.lateralJoin(_explode_variant(json)).select("file_id", "line_no", "record_no", F.col("key").alias("name"), F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
-    each = each.withColumn("tag", _variant_tag(F.col("kind"), F.col("text"))).select("file_id", "line_no", "record_no", "name", "tag", F.when(F.col("tag").isNotNull(), F.col("text")).alias("value"))
-    lines = r.where("file_format <> 'json' and header_line is not null").select("file_id", "line_no", "record_no", F.posexplode(F.split("header_line", "\t", -1)).alias("at", "name"), F.split(F.coalesce("payload", F.lit("")), "\t", -1).alias("values"))
+    r = _records(files, rows)
+    extra = F.size(F.split(F.coalesce("payload", F.lit("")), "\t", -1)) - F.size(F.split("header_line", "\t", -1))
+    reason = (
+        F.when(F.col("file_format").isNull(), "file")
+        .when(~F.coalesce(_readable(), F.lit(False)), F.when(F.col("file_format") == "json", "json").otherwise("header"))
+        .when((F.col("file_format") != "json") & (extra > 0), "surplus")
+        .when((F.col("file_format") != "json") & (extra < 0), "short")
+    )
+    return r.select("file_id", "line_no", "record_no", reason.alias("reason")).where("reason is not null")
+
+
+def tagged_values(files: DataFrame, rows: DataFrame, neighbours: bool = True) -> DataFrame:
+    """``file_id, line_no, record_no, name, tag, value, in_prev, in_next`` of every field of every record.
+
+    Tag and value are null if missing. ``in_prev`` and ``in_next`` tell whether the file before and the one after in the
+    series have the record too; of repeated lines of one record in a file the first one carries them. They are left out
+    without ``neighbours``. A record without fields gives one row without name. What cannot be read is listed by ``unread``.
+    """
+    r = _records(files, rows).where(_readable())
+    marks = ["in_prev", "in_next"] if neighbours else []
+    if neighbours:
+        order = Window.partitionBy("export_table", "producer").orderBy("written_at", "file_id")
+        turn = files.select("file_id", "export_table", "producer", F.row_number().over(order).alias("turn"))
+        r = r.join(turn, "file_id")
+        # rows without a record number meet nobody and are spread
+        apart = F.when(F.col("record_no").isNull(), F.xxhash64("file_id", "line_no")).otherwise(0).alias("apart")
+        r = r.select("*", apart)
+        key = ["export_table", "producer", "record_no", "apart"]
+        w = Window.partitionBy(*key).orderBy("turn", "line_no")
+        run = Window.partitionBy(*key).orderBy("turn")
+        known = F.col("record_no").isNotNull()
+        r = r.withColumn("first", known & (F.coalesce(F.lag("turn").over(w), F.lit(0)) < F.col("turn")))
+        before, after = F.count(F.lit(1)).over(run.rangeBetween(-1, -1)) > 0, F.count(F.lit(1)).over(run.rangeBetween(1, 1)) > 0
+        r = r.withColumn("in_prev", F.col("first") & before).withColumn("in_next", F.col("first") & after)
+    keep = ["file_id", "line_no", "record_no", *marks]
+    json = r.where("file_format = 'json'").select(*keep, "v")
+    each = json.lateralJoin(_explode_variant(json)).select(*keep, F.col("key").alias("name"), F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
+    each = each.withColumn("tag", _variant_tag(F.col("kind"), F.col("text")))
+    lines = r.where("file_format <> 'json'").select(*keep, F.posexplode(F.split("header_line", "\t", -1)).alias("at", "name"), F.split(F.coalesce("payload", F.lit("")), "\t", -1).alias("values"))
     flat = lines.withColumn("text", F.get("values", F.col("at"))).withColumn("tag", literal_tag(F.col("text")))
-    flat = flat.select("file_id", "line_no", "record_no", "name", "tag", F.when(F.col("tag").isNotNull(), F.col("text")).alias("value"))
-    return each.unionByName(flat)
+    out = ["file_id", "line_no", "record_no", "name", "tag", F.when(F.col("tag").isNotNull(), F.col("text")).alias("value"), *marks]
+    return each.select(*out).unionByName(flat.select(*out))
 
 
 def _explode_variant(df: DataFrame) -> DataFrame:
-    return df.sparkSession.tvf.variant_explode(F.col("v").outer())
+    return df.sparkSession.tvf.variant_explode_outer(F.col("v").outer())
 
 
-def fuse(tagged: DataFrame) -> DataFrame:
-    """Per path ``file_id, name`` the sorted alternatives, their fused tag and the number of values.
+def _fused_name(mask: Column) -> Column:
+    """Alternatives of a bit mask as one text: integer and decimal are decimal, other mixtures are written with ``|``."""
+    parts = []
+    for t in sorted(TAGS):
+        has = mask.bitwiseAND(F.lit(1 << TAGS.index(t))) != 0
+        parts.append(F.when(has & (mask.bitwiseAND(F.lit(2)) == 0) if t == "integer" else has, F.lit(t)))
+    return F.nullif(F.concat_ws("|", *parts), F.lit(""))
 
-    Integer and decimal fuse to decimal; other mixtures stay a union, written with ``|``. No value: null.
-    """
-    g = tagged.groupBy("file_id", "name").agg(F.array_sort(F.collect_set("tag")).alias("alternatives"), F.count("value").alias("n_values"))
-    a = F.when(F.array_contains("alternatives", "decimal"), F.array_except("alternatives", F.array(F.lit("integer")))).otherwise(F.col("alternatives"))
-    return g.withColumn("fused", F.nullif(F.array_join(a, "|"), F.lit("")))
 
-
-def series(files: DataFrame) -> DataFrame:
-    """``file_id, export_table, prev_id`` by the series (table, producer) in order of time, then file id."""
-    order = Window.partitionBy("export_table", "producer").orderBy("written_at", "file_id")
-    return files.select("file_id", "export_table", "producer", "written_at").withColumn("prev_id", F.lag("file_id").over(order)).select("file_id", "export_table", "prev_id")
+def _mask() -> Column:
+    bit = F.lit(0)
+    for k, t in enumerate(TAGS):
+        bit = F.when(F.col("tag") == t, 1 << k).otherwise(bit)
+    return F.coalesce(F.bit_or(bit.cast("int")), F.lit(0))
 
 
-def renames(tagged: DataFrame, pairs: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """``file_id, old_name, new_name`` of columns whose values are equal on the records in both files.
+def fuse(tagged: DataFrame) -> DataFrame:
+    """Per path ``file_id, name`` the sorted alternatives, their fused tag and the number of values.
 
-    ``pairs`` has ``file_id, prev_id``; ``gone`` and ``new`` have ``file_id, name``. Missing values equal missing
-    ones. Columns with the same values as several others are matched in the order of their names. Two files without a
-    common record rename nothing. Repeated lines of one record count as one.
+    Integer and decimal fuse to decimal; other mixtures stay a union, written with ``|``. No value: null.
     """
-    both = gone.select("file_id").distinct().join(new.select("file_id").distinct(), "file_id").join(pairs, "file_id")
-    wanted = gone.join(both, "file_id").select(F.col("prev_id").alias("at_id"), F.col("file_id").alias("pair_id"), "name", F.lit("old").alias("side"))
-    wanted = wanted.unionByName(new.join(both, "file_id").select(F.col("file_id").alias("at_id"), F.col("file_id").alias("pair_id"), "name", F.lit("new").alias("side")))
-    rows = tagged.select("file_id", "record_no").where("record_no is not null").distinct()
-    sides = both.select(F.col("file_id").alias("pair_id"), F.explode(F.array(F.struct(F.col("file_id").alias("at_id"), F.lit(1).alias("now")), F.struct(F.col("prev_id").alias("at_id"), F.lit(0).alias("now")))).alias("x")).select("pair_id", "x.at_id", "x.now")
-    shared = rows.join(sides, F.col("file_id") == F.col("at_id")).groupBy("pair_id", "record_no").agg(F.countDistinct("now").alias("n")).where("n = 2").select("pair_id", "record_no")
-    values = tagged.where("value is not null and record_no is not null").withColumnRenamed("file_id", "at_id").join(wanted, ["at_id", "name"]).groupBy("pair_id", "record_no", "side", "name").agg(F.min("value").alias("value"))
-    values = values.join(shared, ["pair_id", "record_no"], "left_semi")
-    prints = values.groupBy("pair_id", "side", "name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("record_no", "value")).alias("h"), F.bit_xor(F.xxhash64("value", "record_no", F.lit(1))).alias("h2"))
-    prints = wanted.join(shared.select("pair_id").distinct(), "pair_id", "left_semi").join(prints, ["pair_id", "side", "name"], "left").na.fill(0, ["n", "h", "h2"])
-    same = Window.partitionBy("pair_id", "side", "n", "h", "h2").orderBy("name")
-    prints = prints.withColumn("turn", F.row_number().over(same))
-    keys = ["pair_id", "n", "h", "h2", "turn"]
-    old = prints.where("side = 'old'").select(*keys, F.col("name").alias("old_name"))
-    return old.join(prints.where("side = 'new'").select(*keys, F.col("name").alias("new_name")), keys).select(F.col("pair_id").alias("file_id"), "old_name", "new_name")
+    g = tagged.where("name is not null").groupBy("file_id", "name").agg(_mask().alias("mask"), F.count("value").alias("n_values"))
+    alternatives = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << TAGS.index(t))) != 0, F.lit(t)) for t in sorted(TAGS)]))
+    return g.select("file_id", "name", alternatives.alias("alternatives"), "n_values", _fused_name(F.col("mask")).alias("fused"))
 
 
 def changes(files: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -115,69 +146,110 @@ def changes(files: DataFrame, tagged: DataFrame) -> DataFrame:
 
     ``renamed`` (old_name set), ``added``, ``removed`` and ``retyped``. The first file of a series has no changes, nor
     has a file that is empty or follows an empty one any changes but added or removed fields. Names are compared exactly.
+    A rename needs equal values, missing ones included, on at least one record in both files; columns with the same values as
+    several others are matched in the order of their names. Values are compared by two fingerprints of 64 bits and their number.
     """
-    pairs = materialise(series(files).where("prev_id is not null").select("file_id", "prev_id"), "pairs")
-    paths = fuse(tagged)
-    now = pairs.join(paths, "file_id").select("file_id", "name", F.col("fused").alias("new_type"), F.lit(True).alias("has_new"))
-    before = pairs.join(paths.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "name", F.col("fused").alias("old_type"), F.lit(True).alias("has_old"))
-    both = materialise(now.join(before, ["file_id", "name"], "full"), "paths")  # read by the kinds, by both sides of the renames and their pairs
-    gone, new = both.where("has_new is null").select("file_id", "name"), both.where("has_old is null").select("file_id", "name")
-    moved = materialise(renames(tagged, pairs, gone, new), "renames")
-    taken = moved.select("file_id", F.col("old_name").alias("name"), F.lit("removed").alias("kind")).unionByName(moved.select("file_id", F.col("new_name").alias("name"), F.lit("added").alias("kind")))
-    kind = F.when(F.col("has_new").isNull(), "removed").when(F.col("has_old").isNull(), "added").when(F.col("old_type") != F.col("new_type"), "retyped")
-    plain = both.withColumn("kind", kind).where("kind is not null").join(taken, ["file_id", "name", "kind"], "left_anti")
-    plain = plain.select("file_id", F.col("kind").alias("change_kind"), F.col("name").alias("field_name"), F.lit(None).cast("string").alias("old_name"), "old_type", "new_type")
-    return plain.unionByName(moved.select("file_id", F.lit("renamed").alias("change_kind"), F.col("new_name").alias("field_name"), "old_name", F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type")))
-
-
-def canonical_names(names: list[tuple[str, int]], moved: list[tuple[str, str]], known: list[str]) -> dict[str, str]:
-    """One canonical name for each group of names joined by renames or by equal letters and digits.
-
-    A group takes the known column in it, else its most frequent name. ``names`` are (name, files that have it).
+    order = Window.partitionBy("export_table", "producer").orderBy("written_at", "file_id")
+    pairs = files.select("file_id", F.lag("file_id").over(order).alias("prev_id"), F.lead("file_id").over(order).alias("next_id"))
+    aggs = [_mask().alias("mask")]
+    for side in ("prev", "next"):
+        here = F.col(f"in_{side}")
+        given = here & F.col("value").isNotNull()
+        h, h2 = F.xxhash64("record_no", "value"), F.xxhash64("value", "record_no", F.lit(1))
+        aggs += [F.count_if(here).alias(f"c_{side}"), F.count_if(given).alias(f"n_{side}"), F.coalesce(F.bit_xor(F.when(given, h)), F.lit(0)).alias(f"h_{side}"), F.coalesce(F.bit_xor(F.when(given, h2)), F.lit(0)).alias(f"g_{side}")]
+    paths = tagged.where("name is not null").groupBy("file_id", "name").agg(*aggs).join(pairs, "file_id")
+    # every path twice: as the new side of its own file and as the old side of the next one
+    sides = F.array(
+        F.struct(F.when(F.col("prev_id").isNotNull(), F.col("file_id")).alias("pair"), F.lit(True).alias("new"), *[F.col(f"{x}_prev").alias(x) for x in "cnhg"]),
+        F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("new"), *[F.col(f"{x}_next").alias(x) for x in "cnhg"]),
+    )
+    both = paths.select("name", "mask", F.inline(sides)).where("pair is not null").repartition("pair")  # at most MAX_FIELDS names a pair; all that follows stays in place
+    state = F.struct("mask", "c", "n", "h", "g")
+    path = both.groupBy("pair", "name").agg(F.max(F.when(F.col("new"), state)).alias("now"), F.max(F.when(~F.col("new"), state)).alias("old"))
+    whole = Window.partitionBy("pair")
+    shared = (F.max("now.c").over(whole) > 0) & (F.max("old.c").over(whole) > 0)
+    path = path.withColumn("moving", shared & (F.col("now").isNull() | F.col("old").isNull())).withColumn("side", F.col("now").isNull()).withColumn("fp", F.coalesce("now", "old"))
+    alike = ["pair", "moving", "fp.n", "fp.h", "fp.g", "side"]
+    path = path.withColumn("turn", F.row_number().over(Window.partitionBy(*alike).orderBy("name")))
+    met = Window.partitionBy("pair", "moving", "fp.n", "fp.h", "fp.g", "turn")
+    gone, come = F.max(F.when(F.col("moving") & F.col("side"), F.col("name"))).over(met), F.max(F.when(F.col("moving") & ~F.col("side"), F.col("name"))).over(met)
+    path = path.withColumn("gone", gone).withColumn("moved", F.col("moving") & gone.isNotNull() & come.isNotNull())
+    path = path.withColumn("new_type", _fused_name(F.col("now.mask"))).withColumn("old_type", _fused_name(F.col("old.mask")))
+    kind = (
+        F.when(F.col("moved"), F.when(F.col("old").isNull(), "renamed"))
+        .when(F.col("now").isNull(), "removed").when(F.col("old").isNull(), "added")
+        .when(F.nullif("new_type", F.lit("")) != F.nullif("old_type", F.lit("")), "retyped")
+    )
+    return path.withColumn("kind", kind).where("kind is not null").select(F.col("pair").alias("file_id"), F.col("kind").alias("change_kind"), F.col("name").alias("field_name"), F.when(F.col("kind") == "renamed", F.col("gone")).alias("old_name"), F.when(F.col("old").isNotNull(), F.col("old_type")).alias("old_type"), F.when(F.col("now").isNotNull(), F.col("new_type")).alias("new_type"))
+
+
+def canonical_names(names: list[tuple[str, str, int]], moved: list[tuple[str, str, str]], known: list[str]) -> dict[tuple[str, str], str]:
+    """The canonical name of each (producer, name). ``names`` are (producer, name, files that have it), ``moved`` (producer, old, new).
+
+    Names of one producer that renames or equal letters and digits join form a group; what one producer calls a field says
+    nothing about another's. A group takes the known column in it; one that has several known columns is not joined beyond equal letters. A
+    group without any takes its most frequent name, by which groups of several producers meet.
     """
     if len(names) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} field names")
-    parent: dict[str, str] = {}
 
-    def root(x: str) -> str:
+    def plain(x: str) -> str:
+        return "".join(c for c in x.lower() if c.isalnum()) or x
+
+    column = {plain(k): k for k in reversed(known)}
+    parent: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def root(x: tuple[str, str]) -> tuple[str, str]:
         parent.setdefault(x, x)
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    plain = {}
-    for n in [*known, *(n for n, _ in names)]:
-        key = "".join(c for c in n.lower() if c.isalnum())
-        parent[root(n)] = root(plain.setdefault(key, n))
-    for a, b in moved:
-        parent[root(a)] = root(b)
-    groups: dict[str, list[tuple[int, int, str]]] = {}
-    rank = {k: i for i, k in enumerate(known)}
-    for n, count in [*((k, 0) for k in known), *names]:
-        groups.setdefault(root(n), []).append((0 if n in rank else 1, rank.get(n, -count), n))
-    return {n: min(g)[2] for g in groups.values() for _, _, n in g}
+    for p, n, _ in names:
+        root((p, plain(n)))
+    for p, a, b in moved:
+        parent[root((p, plain(a)))] = root((p, plain(b)))
+    groups: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for p, n, count in names:
+        groups.setdefault(root((p, plain(n))), []).append((-count, n))
+    out: dict[tuple[str, str], str] = {}
+    for (p, _), g in groups.items():
+        own = {column[plain(n)] for _, n in g if plain(n) in column}
+        common = min(g)[1]
+        for _, n in g:
+            out[p, n] = column.get(plain(n)) or (own.copy().pop() if len(own) == 1 else n if own else common)
+    return out
 
 
 def fused_table(files: DataFrame, tagged: DataFrame, moved: DataFrame, export_table: str, known: dict[str, str]) -> DataFrame:
     """All records of one export table as one table: ``file_id, line_no, record_no`` and a struct per canonical field.
 
     Each struct has the alternative that occurred (``tag``), its typed branches (``as_integer``, ``as_decimal``,
-    ``as_boolean``, ``as_text``, ``as_nested``) and the canonical text. ``known`` gives the expected columns; fields
-    beyond them follow in order of name. Only field names come to the driver.
+    ``as_boolean``, ``as_text``, ``as_nested``), the canonical text and ``others``: where several columns of one record
+    are the same field, name and text of all but the first by name, the field's own name before all. ``known`` gives the
+    expected columns; fields beyond them follow in order of name. Records whose values are all missing are kept. Only field names come to the driver.
     """
-    own = files.where(F.col("export_table") == export_table).select("file_id")
-    mine = tagged.join(own, "file_id", "left_semi")
-    names = [tuple(r) for r in mine.groupBy("name").agg(F.countDistinct("file_id").alias("n")).limit(MAX_FIELDS + 1).collect()]
-    links = [tuple(r) for r in moved.join(own, "file_id", "left_semi").select("old_name", "new_name").distinct().limit(MAX_FIELDS + 1).collect()]
+    own = files.where(F.col("export_table") == export_table).select("file_id", F.coalesce("producer", F.lit("")).alias("producer"))
+    mine = tagged.join(own, "file_id")
+    names = [tuple(r) for r in mine.where("name is not null").groupBy("producer", "name").agg(F.count_distinct("file_id").alias("n")).limit(MAX_FIELDS + 1).collect()]
+    links = [tuple(r) for r in moved.join(own, "file_id").select("producer", "old_name", "new_name").distinct().limit(MAX_FIELDS + 1).collect()]
     to = canonical_names(names, links, list(known))
-    fields = [*known, *sorted({c for n, c in to.items() if c not in known})]
-    table = mine.sparkSession.createDataFrame([(n, to[n]) for n, _ in names] or [("", "")], "name string, field string")
-    x = mine.join(F.broadcast(table), "name")  # at most MAX_FIELDS names
+    fields = [*known, *sorted(set(to.values()) - set(known))]
+    table = mine.sparkSession.createDataFrame([(p, n, c) for (p, n), c in to.items()] or [("", "", "")], "producer string, name string, field string")
+    x = mine.join(F.broadcast(table), ["producer", "name"], "left")  # at most MAX_FIELDS names
     v, tag = F.col("value"), F.col("tag")
     branch = F.struct(
-        tag.alias("tag"),
+        (F.col("name") != F.col("field")).alias("other"), "name", tag.alias("tag"),
         F.when(tag == "integer", v.try_cast("long")).alias("as_integer"), F.when(tag.isin("integer", "decimal"), v.try_cast("double")).alias("as_decimal"),
         F.when(tag == "boolean", F.lower(v) == "true").alias("as_boolean"), F.when(tag == "text", v).alias("as_text"), F.when(tag.isin("array", "object"), v).alias("as_nested"),
         F.when(tag == "boolean", F.lower(v)).otherwise(v).alias("canonical"),
     )
-    return x.where("tag is not null").withColumn("b", branch).groupBy("file_id", "line_no", "record_no").pivot("field", fields).agg(F.min("b"))
+    wide = x.withColumn("b", F.when(tag.isNotNull(), branch)).groupBy("file_id", "line_no", "record_no").pivot("field", fields).agg(F.array_sort(F.collect_list("b")))
+    parts = ("tag", "as_integer", "as_decimal", "as_boolean", "as_text", "as_nested", "canonical")
+
+    def first(field: str) -> Column:
+        b = F.get(F.col(f"`{field}`"), F.lit(0))
+        others = F.transform(F.slice(F.col(f"`{field}`"), 2, MAX_FIELDS), lambda o: F.struct(o["name"].alias("name"), o["canonical"].alias("canonical")))
+        return F.when(b.isNotNull(), F.struct(*[b[p].alias(p) for p in parts], others.alias("others"))).alias(field)
+
+    return wide.select("file_id", "line_no", "record_no", *[first(f) for f in fields])

@@ -27,7 +27,7 @@ EXPORT_COLUMNS = {
 
 def _exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files, rows = read(spark, sf_dir, "export_files"), read(spark, sf_dir, "export_rows")
-    return files, materialise(D.tagged_values(files, rows), "tagged")  # read by the schemas, the renames and the table
+    return files, D.tagged_values(files, rows)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,16 @@ def p1_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     files, tagged = _exports(spark, sf_dir)
+    tagged = materialise(tagged, "tagged")  # read by the names, the renames and the table
     moved = D.changes(files, tagged).where("change_kind = 'renamed'").select("file_id", "old_name", F.col("field_name").alias("new_name"))
     return D.fused_table(files, tagged, moved, table, EXPORT_COLUMNS[table])
 
 
+def p1_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the exports that cannot be taken over as they are."""
+    return D.unread(read(spark, sf_dir, "export_files"), read(spark, sf_dir, "export_rows"))
+
+
 def p1_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, "parse_diann_report")
 
@@ -161,5 +167,5 @@ c AS (SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN sound IS NULL OR l
     WHEN list_contains(names, 'charge') AND NOT regexp_full_match(w[list_position(names, 'charge')], '[1-6]') THEN 'charge' END AS reason FROM u)
 SELECT line_id, reason FROM c WHERE reason IS NOT NULL"""
 
-QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_seconds": p4_seconds}
+QUERIES = {"p1_found": p1_found, "p1_schemas": p1_schemas, "p1_unread": p1_unread, "p1_reports": p1_reports, "p1_peptides": p1_peptides, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_seconds": p4_seconds}
 ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL}

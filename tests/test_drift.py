@@ -70,3 +70,20 @@ def test_fused_tags(spark):
     files, rows = tables(spark, {"p": ("json", [{1: {"a": 1, "b": 1, "c": None}, 2: {"a": 2.5, "b": "x", "c": ""}}])})
     fused = {r["name"]: r["fused"] for r in D.fuse(D.tagged_values(files, rows)).collect()}
     assert fused == {"a": "decimal", "b": "integer|text", "c": None}
+
+
+def test_nothing_is_lost_silently(spark):
+    files, rows = tables(spark, {"p": ("json", [{1: {"Seq": "AA", "seq": "CC"}, 2: "{broken", 3: {"seq": None}, 4: {}}]), "q": ("tsv", [("seq\tn", {5: "DD\t1\tmore", 6: "EE"})])})
+    rows = rows.unionByName(spark.createDataFrame([(99, 0, 7, "x", "x")], ROWS))
+    assert sorted((r["record_no"], r["reason"]) for r in D.unread(files, rows).collect()) == [(2, "json"), (5, "surplus"), (6, "short"), (7, "file")]
+    tagged = D.tagged_values(files, rows)
+    none = spark.createDataFrame([], "file_id long, old_name string, new_name string")
+    t = {r["record_no"]: r["seq"] for r in D.fused_table(files, tagged, none, "peptides", {"seq": "string"}).collect()}
+    assert set(t) == {1, 3, 4, 5, 6} and t[3] is None and t[4] is None
+    assert t[1]["canonical"] == "CC" and [tuple(o) for o in t[1]["others"]] == [("Seq", "AA")]
+
+
+def test_a_producers_renames_are_its_own():
+    names = [("a", "rt", 1), ("a", "time", 1), ("b", "mz", 1), ("b", "time", 1), ("c", "Extra", 2), ("d", "extra", 1), ("e", "rt", 1), ("e", "x", 1), ("e", "mz", 1)]
+    got = D.canonical_names(names, [("a", "rt", "time"), ("b", "mz", "time"), ("e", "rt", "x"), ("e", "x", "mz")], ["rt", "mz"])
+    assert got["a", "time"] == "rt" and got["b", "time"] == "mz" and got["e", "rt"] == "rt" and got["e", "mz"] == "mz" and got["e", "x"] == "x"

@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.quantities import FACTORS, seconds_of
@@ -118,14 +118,17 @@ def assign_units(values: DataFrame, sources: DataFrame, notes: DataFrame, max_bi
     binned = x.where(bare & F.col("x").isNotNull() & F.col("at").isNotNull() & F.col("source_id").isNotNull()).join(hint(spans), ["history", "source_id"])
     stats = binned.groupBy("history", "source_id", F.floor((F.col("at") - F.col("at0")) / F.col("width")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.first("centre").alias("centre"), F.first("own0").alias("own"))
     segments = materialise(stats.groupBy("history", "source_id").applyInPandas(_segmenter(search), SEGMENTS), "segments")
-    per = segments.groupBy("history", "source_id").agg(F.array_sort(F.collect_list(F.struct("from_bin", "unit_segment"))).alias("segments"))
+    turns = segments.withColumn("before", F.lag("unit_segment").over(Window.partitionBy("history", "source_id").orderBy("from_bin")))
+    turns = turns.where("before is null or before <> unit_segment")  # only where the unit changes
+    per = turns.groupBy("history", "source_id").agg(F.array_sort(F.collect_list(F.struct("from_bin", "unit_segment"))).alias("segments"))
     placed = spans.join(per, ["history", "source_id"], "left").select("history", "source_id", "at0", "width", "segments")
     if few and segments.limit(MAX_SEGMENTS + 1).count() <= MAX_SEGMENTS:
         placed = F.broadcast(placed)
     y = x.join(placed, ["history", "source_id"], "left")
     at_bin = F.floor((F.col("at") - F.col("at0")) / F.col("width"))
     segment = F.try_element_at(F.filter("segments", lambda a: a.from_bin <= at_bin), F.lit(-1)).unit_segment
-    y = y.withColumn("segment", F.when(bare & F.col("noted").isNull() & (F.size(F.coalesce("segments", F.array())) > 0), segment))
+    segment = F.when(bare & F.col("noted").isNull() & (F.size(F.coalesce("segments", F.array())) > 0), segment)
+    y = y.select("*", F.inline(F.array(F.struct(segment.alias("segment"))))).drop("segments")  # a generated row: looked up once a value, not once a use
     # the exact check: the segment's unit must put the value into the range of the source; only where it does not are the others tried
     factor = F.coalesce(*[F.when(F.col("segment") == u, F.lit(f)) for u, f in FACTORS.items()])
     holds = F.col("segment").isNotNull() & (F.col("low").isNull() | F.col("high").isNull() | ((F.col("value") * factor >= F.col("low")) & (F.col("value") * factor <= F.col("high"))))

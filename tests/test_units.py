@@ -79,8 +79,8 @@ def test_one_segment_instead_of_the_search_gives_other_rows(spark):
     rows = [(i, 1, i * 0.1, 900.0 + i, None) for i in range(200)] + [(200 + i, 1, 20 + i * 0.1, 61.0 + i / 10, None) for i in range(100)]
     want = {i: ("s", "segment") if i < 200 else ("min", "segment") for i in range(300)}
     args = (rows, [(1, 60, 10800)], [])
-    assert {k: v[:2] for k, v in assign(spark, *args, max_bins=64).items()} == want
-    assert {k: v[:2] for k, v in assign(spark, *args, max_bins=64, search=lambda *_: [0]).items()} != want
+    assert {k: v[:2] for k, v in assign(spark, *args).items()} == want
+    assert {k: v[:2] for k, v in assign(spark, *args, search=lambda *_: [0]).items()} != want
 
 
 def test_the_range_confirms_or_replaces_the_segment(spark):

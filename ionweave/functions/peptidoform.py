@@ -15,6 +15,8 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 #: A loadable sequence: 1 to 30 residues, each with at most one tag.
 SEQUENCE_PATTERN = rf"(?:[{RESIDUES}](?:\[UNIMOD:[0-9]+\])?){{1,30}}"
 _CANONICAL = rf"\A(?:[{RESIDUES}](?:\[UNIMOD:[0-9]+\])?)+\z"
+#: Canonical, with ids as the rewriting leaves them (no leading zeros).
+_PLAIN = rf"\A(?:[{RESIDUES}](?:\[UNIMOD:(?:0|[1-9][0-9]*)\])?)+\z"
 #: A modification table longer than this is refused: it is turned into expressions, not joined.
 MAX_MODS = 2000
 
@@ -45,7 +47,8 @@ def canonical(sequence: Column, mods: list[tuple[int, str, str, float]]) -> Colu
     """Canonical peptidoform of any supported notation, null where the text is none.
 
     Tags may be an id (``(UniMod:4)``), a name with or without its sites (``[Phospho (STY)]``) or a mass shift
-    rounded to any number of decimals, which then is looked up among the modifications of that residue.
+    rounded to any number of decimals, which then is looked up among the modifications of that residue. A text that is
+    canonical as it stands is taken as such before anything is rewritten.
     """
     s = bare(sequence)
     s = F.regexp_replace(s, r"(?i)[\[(]UNIMOD:0*([0-9]+)[\])]", "[UNIMOD:$1]")
@@ -55,7 +58,7 @@ def canonical(sequence: Column, mods: list[tuple[int, str, str, float]]) -> Colu
         if residues and delta is not None:
             sign = r"\+?" if delta >= 0 else "-"
             s = F.regexp_replace(s, rf"([{residues}])[\[(]{sign}(?:{_mass_texts(delta)})[\])]", f"$1[UNIMOD:{number}]")
-    return F.when(s.rlike(_CANONICAL), s)
+    return F.when(sequence.rlike(_PLAIN), sequence).when(s.rlike(_CANONICAL), s)
 
 
 def written_charge(sequence: Column, charge: Column) -> Column:

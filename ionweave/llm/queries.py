@@ -20,7 +20,8 @@ def findings_survivors(spark: SparkSession, sf_dir: str, policy: str = "record")
     mods = P.mod_rows(read(spark, sf_dir, "mods"))
     trust = read(spark, sf_dir, "sources").select("source_id", "trust")
     f = read(spark, sf_dir, "findings").select("finding_id", "acq_id", "source_id", "sequence", "charge", "intensity", "rt", "loaded_at")
-    f = f.withColumn("form", P.canonical(F.col("sequence"), mods)).withColumn("z", P.written_charge(F.col("sequence"), F.col("charge")))
+    key = F.struct(P.canonical(F.col("sequence"), mods).alias("form"), P.written_charge(F.col("sequence"), F.col("charge")).alias("z"))
+    f = f.select("*", F.inline(F.array(key)))  # a generated row, which keeps the optimizer from parsing again for each use
     f = f.join(F.broadcast(trust), "source_id", "left")  # sources is a fixed table of 48 rows
     number = F.regexp_extract(F.col("rt"), r"[0-9][0-9.,:]*", 0)
     fields = {

@@ -17,6 +17,7 @@ import base64
 import importlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionweave.session import materialise
+
 #: Most frequent distinct words that are encoded once for all tasks.
 TABLE_WORDS = 50_000
 #: Longer words are left to the tasks.
@@ -62,10 +65,39 @@ def unassigned(text: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", size: int = TABLE_WORDS) -> list[str]:
-    """The ``size`` most frequent words, ties in order of the word; bounded, so they may go to the driver."""
+    """The ``size`` most frequent words, ties in order of the word.
+
+    Counts are put into narrow classes, and the table takes all words of the highest classes that together fit. The class that
+    no longer fits is sorted by range and read from its beginning, one partition after the other. So the driver receives the classes (at most
+    64 a doubling of the count) and about the table's words, not a table's worth of candidates from every partition.
+    """
     each = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = each.where((F.col("n") > 1) & (F.length("w") <= TABLE_WORD_CHARS)).orderBy(F.desc("n"), "w").limit(size)
-    return [r[0] for r in top.collect()]
+    each = each.where((F.col("n") > 1) & (F.length("w") <= TABLE_WORD_CHARS)).withColumn("class", F.floor(F.log2("n") * 64).cast("int"))
+    each = materialise(each, "words")  # read for the classes and for the words
+    above, cut, room = None, None, size
+    for c, n in sorted(((r["class"], r["count"]) for r in each.groupBy("class").count().collect()), reverse=True):
+        if n > room:
+            cut = c
+            break
+        above, room = c, room - n
+    top = [] if above is None else each.where(F.col("class") >= above).select("n", "w").collect()
+    out = [r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))]
+    if cut is not None and room:
+        tail = each.where(F.col("class") == cut).sort(F.desc("n"), "w").select("w").mapInArrow(_first(room), "w string")
+        out += [r["w"] for r in islice(tail.toLocalIterator(), room)]
+    return out
+
+
+def _first(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = limit
+        for b in batches:
+            yield b.slice(0, left)
+            left -= min(left, b.num_rows)
+            if not left:
+                return
+
+    return run
 
 
 class WordTable:

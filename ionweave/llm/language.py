@@ -166,7 +166,7 @@ def _count(rows: Iterable[tuple[str, str]]) -> pd.DataFrame:
     """``lang, kind, feature, n`` of sentences with a language."""
     each: Counter = Counter()
     for lang, s in rows:
-        each.update((lang, w[:60]) for w in words(s))
+        each.update((lang, w) for w in words(s))
     c: Counter = Counter()
     for (lang, w), k in each.items():
         c[lang, "w", w] += k
@@ -205,9 +205,10 @@ def _model(counts: DataFrame) -> Model:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """A model from about ``train_docs`` documents whose label names a language; the whole text of each is used."""
-    named = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), label_code(F.col(label)).alias("code")).where("code is not null and text is not null")
-    share = min(1.0, train_docs / max(1, named.select("k").count()))
-    sample = named.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("code", "text")
+    named = label_code(F.col(label)).isNotNull()
+    share = min(1.0, train_docs / max(1, docs.where(named).select(key).count()))  # reads ids and labels only
+    chosen = docs.where(named & (F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
+    sample = materialise(chosen.where(F.col(text).isNotNull()).select(label_code(F.col(label)).alias("code"), F.col(text).alias("text")), "sample")  # of a bounded size; both counts read it
     schema = "lang string, kind string, feature string, n long"
     first = _model(sample.mapInPandas(_counter(None), schema))
     spark = docs.sparkSession

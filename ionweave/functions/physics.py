@@ -91,16 +91,36 @@ def one_over_k0_to_scan(k0: Column, dv_start: float, slope: float, ttrans: float
     return F.greatest(F.round((v - dv_start) / slope + ttrans + ndelay), F.lit(0.0)).cast("long")
 
 
-def erf(x: Column) -> Column:
-    """Error function by a rational approximation with an error of about 1e-7."""
+def _erf_tail(x: Column) -> tuple[Column, Column]:
+    """``t`` and the polynomial of the approximation: for positive x, erfc(x) is ``t exp(p - x²)``."""
     t = 1.0 / (1.0 + 0.5 * F.abs(x))
     p = F.lit(ERF[-1])
     for c in reversed(ERF[:-1]):
         p = c + t * p
+    return t, p
+
+
+def erf(x: Column) -> Column:
+    """Error function by a rational approximation with an error of about 1e-7."""
+    t, p = _erf_tail(x)
     tau = t * F.exp(-x * x + p)
     return F.when(x >= 0, 1.0 - tau).otherwise(tau - 1.0)
 
 
+def erfc(x: Column) -> Column:
+    """Complement of ``erf``, without cancellation where it is small."""
+    t, p = _erf_tail(x)
+    tau = t * F.exp(-x * x + p)
+    return F.when(x >= 0, tau).otherwise(2.0 - tau)
+
+
+def erfcx(x: Column) -> Column:
+    """``exp(x²) erfc(x)``; of moderate size for any positive x."""
+    t, p = _erf_tail(x)
+    tau = t * F.exp(p)
+    return F.when(x >= 0, tau).otherwise(2.0 * F.exp(x * x) - tau)
+
+
 def normal_cdf(x: Column, mean: Column | float, std: Column | float) -> Column:
     return 0.5 * (1.0 + erf((x - mean) / std / math.sqrt(2.0)))
 
@@ -121,7 +141,7 @@ def exponential_pdf(x: Column, rate: Column | float) -> Column:
 def emg_pdf(x: Column, mu: Column | float, sigma: Column | float, lam: Column | float) -> Column:
     """Exponentially modified Gaussian."""
     mu, sigma, lam = lit(mu), lit(sigma), lit(lam)
-    return lam / 2 * F.exp(lam / 2 * (2 * mu + lam * sigma * sigma - 2 * x)) * (1.0 - erf((mu + lam * sigma * sigma - x) / (math.sqrt(2.0) * sigma)))
+    return lam / 2 * F.exp(lam / 2 * (2 * mu + lam * sigma * sigma - 2 * x)) * erfc((mu + lam * sigma * sigma - x) / (math.sqrt(2.0) * sigma))
 
 
 def emg_mass(lo: Column, hi: Column, mu: Column, sigma: Column, lam: Column, steps: int = 1000) -> Column:

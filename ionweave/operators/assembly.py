@@ -84,19 +84,19 @@ def merge_fragments(df: DataFrame, ppm: float, *keys: str) -> DataFrame:
     """Fragments whose m/z lie within a tolerance of their neighbour become one peak; a tolerance not above 0 keeps all."""
     if ppm <= 0:
         return df.select(*keys, "mz", "intensity")
-    return W.gap_sessions(df, "mz", F.col("mz") * ppm * 1e-6, ["intensity"], *keys).groupBy(*keys, "session").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("intensity")).drop("session")
+    return W.gap_sessions(df, "mz", F.col("mz") * ppm * 1e-6, ["intensity"], *keys, block=16.0).groupBy(*keys, "session").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("intensity")).drop("session")
 
 
 def target_decoy(psms: DataFrame, spectrum: str, score: str, ident: str) -> DataFrame:
     """Target-decoy competition: the best match of each spectrum, and q-values by score over all of them.
 
-    Counts per score value are accumulated, so no task holds all matches.
+    Counts per score value are accumulated within blocks of scores, so no task holds all matches.
     """
     best = psms.groupBy(spectrum).agg(F.max_by(F.struct("decoy", F.col(score).alias("s"), F.col(ident).alias("m")), F.struct(F.col(score).alias("s"), (-F.col(ident)).alias("i"))).alias("b")).select(spectrum, "b.*")
     per = best.groupBy("s").agg(F.count_if("decoy").alias("d"), F.count_if(~F.col("decoy")).alias("t"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    fdr = per.withColumn("f", F.least(F.lit(1.0), F.sum("d").over(w) / F.greatest(F.sum("t").over(w), F.lit(1))))
-    q = fdr.withColumn("q", F.min("f").over(Window.orderBy(F.asc("s")).rowsBetween(Window.unboundedPreceding, 0))).select("s", "q")
+    sums = W.running(per, "s", {"_d": ("sum", "d"), "_t": ("sum", "t")}, descending=True)
+    fdr = sums.select("s", F.least(F.lit(1.0), F.col("_d") / F.greatest("_t", F.lit(1))).alias("f"))
+    q = W.running(fdr, "s", {"q": ("min", "f")}).select("s", "q")
     return best.join(q, "s").select(spectrum, F.col("m").alias(ident), "decoy", F.col("s").alias(score), "q")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.operators.windows import running
+
 
 def mz_key(resolution: int, mz: str = "mz") -> Column:
     """Integer bin of an m/z at so many decimals, halves away from zero."""
@@ -136,10 +138,7 @@ def rank_value(df: DataFrame, value: str, at: Column, *keys: str) -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     if not keys:
-        bucket = F.floor(F.col("v") / F.lit(1.0))
-        part = counts.withColumn("b", bucket).groupBy("b").agg(F.sum("c").alias("cb"))
-        before = part.withColumn("lo", F.coalesce(F.sum("cb").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "lo")
-        run = counts.withColumn("b", bucket).join(before, "b").withColumn("hi", F.col("lo") + F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        run = running(counts, "v", {"hi": ("sum", "c")})
         run = run.withColumn("n", counts.agg(F.sum("c")).scalar())
     else:
         w = Window.partitionBy(*keys)

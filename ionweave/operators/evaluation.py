@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionweave.operators.windows import exact_quantiles, running
+
 
 def match_results(truth: DataFrame, report: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matched pairs, truth without report, report without truth. The report is first made unique by key (lowest q, then highest intensity)."""
@@ -36,14 +40,22 @@ def rank_bucket(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame
 def correlation(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Pearson, mean and median absolute difference, n; correlations only from three pairs."""
     d = F.abs(F.col(a) - F.col(b))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr(a, b)).alias("pearson"), F.avg(d).alias("mae"), F.percentile(d, F.lit(0.5)).alias("median_error"))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr(a, b)).alias("pearson"), F.avg(d).alias("mae"))
+    return _with_median(g, df, d, "median_error", *keys)
+
+
+def _with_median(g: DataFrame, df: DataFrame, value: Column, name: str, *keys: str) -> DataFrame:
+    """Adds the median of a value to aggregates of the same keys, which may be null."""
+    m = exact_quantiles(df.select(F.struct(*keys).alias("_k"), value.alias("_x")), F.col("_x"), (0.5,), "_k") if keys else None
+    if m is None:
+        return g.withColumn(name, exact_quantiles(df, value, (0.5,)).scalar())
+    return g.withColumn("_k", F.struct(*keys)).join(m.withColumnRenamed("v0", name), "_k", "left").drop("_k")
 
 
 def average_ranks(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
     """Mid-ranks by value counts: rows of one value share the mean of their ranks."""
-    c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn(name, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    c = running(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), value, {"_hi": ("sum", "_c")}, *keys)
+    c = c.select(*keys, value, (F.col("_hi") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(c, [*keys, value])
 
 
@@ -53,7 +65,8 @@ def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 def mass_accuracy(df: DataFrame, observed: str, expected: str, *keys: str) -> DataFrame:
     ppm = (F.col(observed) - F.col(expected)) / F.col(expected) * 1e6
-    return df.groupBy(*keys).agg(F.avg(ppm).alias("mean_ppm"), F.percentile(ppm, F.lit(0.5)).alias("median_ppm"), F.stddev_pop(ppm).alias("std_ppm"), F.avg(F.abs(ppm)).alias("mae_ppm"), F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(*keys).agg(F.avg(ppm).alias("mean_ppm"), F.stddev_pop(ppm).alias("std_ppm"), F.avg(F.abs(ppm)).alias("mae_ppm"), F.count(F.lit(1)).alias("n"))
+    return _with_median(g, df, ppm, "median_ppm", *keys)
 
 
 def deduplicate(df: DataFrame, keys: list[str], means: list[str]) -> DataFrame:
@@ -62,6 +75,21 @@ def deduplicate(df: DataFrame, keys: list[str], means: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(total.alias("intensity"), *[F.when(total > 0, F.sum(F.col(m) * F.col("intensity")) / F.nullif(total, F.lit(0.0))).otherwise(F.avg(m)).alias(m) for m in means], F.count(F.lit(1)).alias("n_rows"))
 
 
+def localisation(truth: DataFrame, found: DataFrame, by: str, bare: Callable[[Column], Column], form: str = "sequence", charge: str = "charge") -> DataFrame:
+    """``by, truth, identified, localised, accuracy``: of the true modified forms those reported with any placement, and those with the true one.
+
+    ``bare`` gives the residues of a form. ``found`` has ``by`` (a tool); forms are compared per charge, each true form counts once.
+    """
+    t = truth.select(F.col(form).alias("_f"), F.col(charge).alias("_z")).where("_f is not null and _z is not null").distinct()
+    t = t.withColumn("_b", bare(F.col("_f")))
+    f = found.select(by, F.col(form).alias("_f"), F.col(charge).alias("_z")).where("_f is not null and _z is not null").distinct().withColumn("_b", bare(F.col("_f")))
+    loose = t.join(f.select(by, "_b", "_z").distinct(), ["_b", "_z"]).groupBy(by).agg(F.count(F.lit(1)).alias("identified"))
+    exact = t.join(f.select(by, "_f", "_z"), ["_f", "_z"]).groupBy(by).agg(F.count(F.lit(1)).alias("localised"))
+    n = t.agg(F.count(F.lit(1))).scalar()
+    out = found.select(by).distinct().join(loose, by, "left").join(exact, by, "left").na.fill(0, ["identified", "localised"])
+    return out.select(by, n.alias("truth"), "identified", "localised", F.coalesce(F.col("localised") / F.nullif("identified", F.lit(0)), F.lit(0.0)).alias("accuracy"))
+
+
 def relative_abundance(df: DataFrame, group: str) -> DataFrame:
     """Share of each row in its group's intensity, 1 where the group has none. Joined to the sums: groups stay unordered."""
     t = df.groupBy(group).agg(F.sum("intensity").alias("_t"))
@@ -71,7 +99,7 @@ def relative_abundance(df: DataFrame, group: str) -> DataFrame:
 def events_from_totals(df: DataFrame, group: str, scale: float) -> DataFrame:
     """Summed intensity to whole events by the median of the sums, at least one."""
     t = df.groupBy(group).agg(F.sum("intensity").alias("total"))
-    median = t.agg(F.percentile("total", F.lit(0.5))).scalar()
+    median = exact_quantiles(t, F.col("total"), (0.5,)).scalar()
     return t.withColumn("_m", median).select(group, "total", F.greatest(F.lit(1), (F.col("total") / F.col("_m") * scale).cast("long")).alias("events"))
 
 
@@ -109,5 +137,9 @@ def equal_width(df: DataFrame, value: str, width: float) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str], qs: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Quantiles of each column in long form."""
-    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in columns])
-    return q.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.column", F.posexplode("x.v").alias("i", "value")).select("column", F.array(*map(F.lit, qs))[F.col("i")].alias("q"), "value")
+    out = None
+    for c in columns:
+        v = exact_quantiles(df, F.col(c), qs)
+        rows = v.select(F.lit(c).alias("column"), F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"v{i}").cast("double").alias("value")) for i, q in enumerate(qs)])))
+        out = rows if out is None else out.unionByName(rows)
+    return out

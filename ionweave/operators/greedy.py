@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionweave.functions.physics import AVERAGINE, ISOTOPE_SPACING, MASS_PROTON
+from ionweave.operators.windows import gap_sessions
 
 
 def isotope_marks(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: int = 4, isotopes: int = 3) -> np.ndarray:
@@ -100,8 +101,7 @@ def pick_peaks(df: DataFrame, keys: list[str], axis: str, min_prominence: float,
 
 def cut_by_reach(df: DataFrame, axis: str, reach: float, keys: list[str], ties: list[str]) -> DataFrame:
     """Adds ``part``: rows of one part are linked by steps of at most ``reach``; no algorithm that looks no further crosses parts."""
-    w = Window.partitionBy(*keys).orderBy(axis, *ties)
-    return df.withColumn("_n", F.coalesce((F.col(axis) - F.lag(axis).over(w) > reach).cast("int"), F.lit(0))).withColumn("part", F.sum("_n").over(w)).drop("_n")
+    return gap_sessions(df, axis, reach, ties, *keys, block=64 * reach).withColumnRenamed("session", "part")
 
 
 def follows(mass: float, place: int, before: float, now: float) -> bool:

@@ -37,11 +37,70 @@ def dense_windows(df: DataFrame, length: float, resolution: int, *keys: str) ->
     return m.select(*keys, "window", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
 
 
-def gap_sessions(df: DataFrame, value: str, gap: Column | float, ties: list[str], *keys: str) -> DataFrame:
-    """Adds ``session``: a new one begins where the distance to the preceding value exceeds ``gap``."""
+def value_blocks(df: DataFrame, value: str, *keys: str, n: int = 256) -> DataFrame:
+    """Adds ``_b``, the number of the approximate quantile range that a value lies in, per key; equal values share one."""
+    e = F.percentile_approx(value, [i / n for i in range(1, n)], 1000)
+    x = df.join(df.groupBy(*keys).agg(e.alias("_e")), list(keys)) if keys else df.withColumn("_e", df.agg(e).scalar())
+    return x.withColumn("_b", F.size(F.filter("_e", lambda t: t < F.col(value)))).drop("_e")
+
+
+def running(df: DataFrame, value: str, results: dict[str, tuple[str, str]], *keys: str, descending: bool = False, n: int = 256) -> DataFrame:
+    """Running ``sum`` or ``min`` of columns in the order of a value that is unique per key: ``results`` maps a new name to (kind, column).
+
+    The order is taken within blocks of values, and what the blocks before hold is carried over, so no task orders a whole key.
+    """
+    kind = {"sum": F.sum, "min": F.min}
+    way = F.desc if descending else F.asc
+    x = value_blocks(df, value, *keys, n=n)
+    per = x.groupBy(*keys, "_b").agg(*[kind[k](c).alias(f"_t_{r}") for r, (k, c) in results.items()])
+    before = Window.partitionBy(*keys).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most n rows a key
+    per = per.select(*keys, "_b", *[kind[k](f"_t_{r}").over(before).alias(f"_o_{r}") for r, (k, _) in results.items()])
+    inside = Window.partitionBy(*keys, "_b").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(per, [*keys, "_b"])
+    for r, (k, c) in results.items():
+        here = kind[k](c).over(inside)
+        x = x.withColumn(r, here + F.coalesce(f"_o_{r}", F.lit(0)) if k == "sum" else F.least(here, F.col(f"_o_{r}")))
+    return x.drop("_b", *[f"_o_{r}" for r in results])
+
+
+def exact_quantiles(df: DataFrame, value: Column, qs: tuple[float, ...], *keys: str) -> DataFrame:
+    """``keys, v0, v1, ...``: interpolated quantiles of the non-null values, as exact as sorting gives them, from counts per value."""
+    c = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    x = running(c, "_v", {"_hi": ("sum", "_c")}, *keys)
+    x = x.join(c.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys)) if keys else x.withColumn("_n", c.agg(F.sum("_c")).scalar())
+    out = []
+    for i, q in enumerate(qs):
+        at = F.lit(q) * (F.col("_n") - 1)
+        low, high = F.min(F.when(F.col("_hi") > F.floor(at), F.col("_v"))), F.min(F.when(F.col("_hi") > F.ceil(at), F.col("_v")))
+        share = F.first(at - F.floor(at))
+        out.append(F.when(low == high, low).otherwise((1 - share) * low + share * high).alias(f"v{i}"))
+    return x.groupBy(*keys).agg(*out)
+
+
+def neighbours(df: DataFrame, on: str, block: Column, *keys: str) -> DataFrame:
+    """Adds ``before`` and ``after``, the nearest other places on an axis of unique values; ordered within blocks, whose ends are carried over."""
+    x = df.withColumn("_b", block)
+    inside, across = Window.partitionBy(*keys, "_b").orderBy(on), Window.partitionBy(*keys).orderBy("_b")
+    ends = x.groupBy(*keys, "_b").agg(F.min(on).alias("_lo"), F.max(on).alias("_hi")).select(*keys, "_b", F.lag("_hi").over(across).alias("_p"), F.lead("_lo").over(across).alias("_q"))
+    x = x.withColumn("_l", F.lag(on).over(inside)).withColumn("_r", F.lead(on).over(inside)).join(ends, [*keys, "_b"])
+    return x.withColumn("before", F.coalesce("_l", "_p")).withColumn("after", F.coalesce("_r", "_q")).drop("_b", "_l", "_r", "_p", "_q")
+
+
+def gap_sessions(df: DataFrame, value: str, gap: Column | float, ties: list[str], *keys: str, block: float | None = None) -> DataFrame:
+    """Adds ``session``: a new one begins where the distance to the preceding value exceeds ``gap``.
+
+    With ``block`` a key's axis is ordered in pieces of that length; the last value and the number of sessions before each piece are carried over.
+    """
     order = Window.partitionBy(*keys).orderBy(value, *ties)
-    new = F.coalesce((F.col(value) - F.lag(value).over(order) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(order)).drop("_new")
+    if block is None:
+        new = F.coalesce((F.col(value) - F.lag(value).over(order) > gap).cast("int"), F.lit(0))
+        return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(order)).drop("_new")
+    x = df.withColumn("_b", F.floor(F.col(value) / block))
+    across, inside = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy(value, *ties)
+    ends = x.groupBy(*keys, "_b").agg(F.max(value).alias("_e")).select(*keys, "_b", F.lag("_e").over(across).alias("_p"))
+    x = x.withColumn("_l", F.lag(value).over(inside)).join(ends, [*keys, "_b"]).withColumn("_new", F.coalesce((F.col(value) - F.coalesce("_l", "_p") > gap).cast("int"), F.lit(0)))
+    starts = x.groupBy(*keys, "_b").agg(F.sum("_new").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    return x.join(starts, [*keys, "_b"]).withColumn("session", F.sum("_new").over(inside) + F.col("_o")).drop("_b", "_l", "_p", "_new", "_o")
 
 
 def centroid(df: DataFrame, gap: float, ties: list[str], *keys: str, normalise: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from ionweave.operators import binning as B
 from ionweave.operators import evaluation as E
 from ionweave.operators import hashing as H
 from ionweave.operators import ranking as K
+from ionweave.operators import windows as W
 from ionweave.plans.match_queries import pairs, settings, transmitted
 from ionweave.plans.peak_queries import _R6, r6
 from ionweave.plans.registry import Registry
@@ -102,7 +103,7 @@ R.add("i228_sorted_hits", lambda v: pairs(v).groupBy("ms1_id").agg(F.array_sort(
 R.add("i239_union", lambda v: v.table("peptides").select("sequence", "protein").unionByName(v.table("findings").select("sequence", "protein")).groupBy("protein").agg(F.count(F.lit(1)).alias("n")), "SELECT protein, count(*) AS n FROM (SELECT protein FROM peptides UNION ALL SELECT protein FROM findings) x GROUP BY protein")
 R.add("i242_transmission_sets", lambda v: v.table("embeddings").select("vec_id", F.size(A.transmitted_set(F.col("embedding"), 0.1)).alias("n"), A.any_transmitted(F.col("embedding"), 0.3).alias("some"), A.all_transmitted(F.col("embedding"), -0.4).alias("every")), "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.1)) AS INT) AS n, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.3)) > 0 AS some, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > -0.4)) = len(embedding) AS every FROM embeddings")
 R.add("i257_bounds", lambda v: v.frame_info.select("frame_id", "time", A.emg_bounds_udf()(F.col("time"), F.lit(2.0), F.lit(0.5)).alias("b")).select("frame_id", (F.col("b.lo") < F.col("time")).alias("below"), (F.col("b.hi") > F.col("time")).alias("above")), "SELECT frame_id, true AS below, true AS above FROM v_frame_info", "frame_info")
-R.add("i262_projectors", lambda v: v.frame_info.where("ms_type = 0").withColumn("a", (F.col("time") + F.lag("time").over(Window.orderBy("time"))) / 2).withColumn("b", (F.col("time") + F.lead("time").over(Window.orderBy("time"))) / 2).where("a is not null and b is not null").select("frame_id", r6(Y.normal_mass(F.col("a"), F.col("b"), 40.0, 6.0)).alias("mass")))
+R.add("i262_projectors", lambda v: W.neighbours(v.frame_info.where("ms_type = 0"), "time", F.floor(F.col("time") / 64)).where("before is not null and after is not null").select("frame_id", r6(Y.normal_mass((F.col("time") + F.col("before")) / 2, (F.col("time") + F.col("after")) / 2, 40.0, 6.0)).alias("mass")))
 R.add("i272_averagine_cosine", lambda v: v.table("peptides").where("monoisotopic_mass is not null").select("row_id", r6(H.cosine(Y.averagine_weights(F.col("monoisotopic_mass"), 6), Y.averagine_weights(F.col("monoisotopic_mass") + 200, 6))).alias("cosine")).where("cosine > 0.9").select("row_id"), "SELECT row_id FROM peptides WHERE monoisotopic_mass IS NOT NULL")
 R.add("i273_partial_isotopes", lambda v: v.table("peptides").where("monoisotopic_mass is not null").select("row_id", A.transmitted_isotopes(Y.averagine_weights(F.col("monoisotopic_mass") / 2, 4), Y.averagine_weights(F.col("monoisotopic_mass") / 2, 4), F.array(F.lit(0))).alias("w")).select("row_id", F.size(F.filter("w", lambda x: x > 0)).alias("n")), "SELECT row_id, CAST(1 AS INT) AS n FROM peptides WHERE monoisotopic_mass IS NOT NULL")
 R.add("i281_linear_map", lambda v: v.peaks.join(v.peaks.groupBy("frame_id").agg(F.min("mz").alias("lo"), F.max("mz").alias("hi")), "frame_id").select("frame_id", "tof", "scan", r6(Y.linear_map(F.col("mz"), F.col("lo"), F.col("hi"), 0.0, 10.0)).alias("x")), f"SELECT frame_id, tof, scan, {_R6('(mz - min(mz) OVER w) / nullif(max(mz) OVER w - min(mz) OVER w, 0) * 10')} AS x FROM v_peaks WINDOW w AS (PARTITION BY frame_id)", "peaks")

@@ -94,6 +94,53 @@ def lzf_decompress(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzf_store(data: bytes) -> bytes:
+    """The older block form without back references: literal runs of at most 32 bytes."""
+    return b"".join(bytes([len(data[i : i + 32]) - 1]) + data[i : i + 32] for i in range(0, len(data), 32))
+
+
+def encode_stream(tof: np.ndarray, intensity: np.ndarray) -> bytes:
+    """A scan of the older form: intensities as they stand, before each a negative jump unless it follows the one before by one index."""
+    step = np.diff(np.asarray(tof, np.int64), prepend=0)
+    words = np.column_stack((-step, np.asarray(intensity, np.int64))).ravel()
+    keep = np.ones(len(words), bool)
+    keep[::2] = step != 1
+    return words[keep].astype("<i4").tobytes()
+
+
+def decode_stream(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """tof and intensity of a scan of the older form: a negative word moves the index on, an intensity right after another one by one."""
+    v = np.frombuffer(raw, "<i4").astype(np.int64)
+    peak = v >= 0
+    follows = np.concatenate(([True], peak[:-1])) if len(v) else peak
+    at = np.cumsum(np.where(peak, follows, -v))
+    return at[peak], v[peak]
+
+
+def encode_older(peaks: DataFrame) -> DataFrame:
+    """``frame_id, scan, size, blob`` of every scan with peaks in the older form; indices begin at 1."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        scan, tof, intensity = sum_and_sort(pdf["scan"].to_numpy(), pdf["tof"].to_numpy(), pdf["intensity"].to_numpy())
+        cuts = np.flatnonzero(np.diff(scan)) + 1
+        streams = [encode_stream(t, i) for t, i in zip(np.split(tof, cuts), np.split(intensity, cuts))]
+        return pd.DataFrame({"frame_id": key[0], "scan": scan[np.concatenate(([0], cuts)).astype(int)].astype(np.int32), "size": [len(x) for x in streams], "blob": [lzf_store(x) for x in streams]})
+
+    return peaks.select("frame_id", "scan", "tof", "intensity").groupBy("frame_id").applyInPandas(run, "frame_id int, scan int, size int, blob binary")
+
+
+def decode_older(scans: DataFrame) -> DataFrame:
+    """``frame_id, scan, tof, intensity`` of scans in the older form."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = [decode_stream(lzf_decompress(b, n)) for b, n in zip(pdf["blob"], pdf["size"])]
+            n = [len(t) for t, _ in parts]
+            yield pd.DataFrame({"frame_id": np.repeat(pdf["frame_id"].to_numpy(np.int32), n), "scan": np.repeat(pdf["scan"].to_numpy(np.int32), n), "tof": np.concatenate([t for t, _ in parts] or [np.zeros(0)]).astype(np.int32), "intensity": np.concatenate([i for _, i in parts] or [np.zeros(0)]).astype(float)})
+
+    return scans.select("frame_id", "scan", "size", "blob").mapInPandas(run, "frame_id int, scan int, tof int, intensity double")
+
+
 def encode(peaks: DataFrame, n_scans: int, level: int = 1) -> DataFrame:
     """``frame_id, num_peaks, blob`` per frame; a frame is one acquisition step and fits a task."""
 

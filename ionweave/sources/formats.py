@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import base64
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ionweave.functions import chemistry as C
 
@@ -93,6 +98,58 @@ def mzml_spectra(peaks: DataFrame, key: str = "spec_id") -> DataFrame:
     return g.select(key, F.concat(F.lit('<spectrum index="'), F.col(key).cast("string"), F.lit('" defaultArrayLength="'), F.size("p").cast("string"), F.lit('"><binaryDataArrayList count="2">'), array("m/z array", "mz"), array("intensity array", "intensity"), F.lit("</binaryDataArrayList></spectrum>")).alias("xml"))
 
 
+#: The accessions of the mzML vocabulary that are written.
+MZML = {"m/z array": "MS:1000514", "intensity array": "MS:1000515", "64-bit float": "MS:1000523", "no compression": "MS:1000576", "ms level": "MS:1000511", "centroid spectrum": "MS:1000127", "scan start time": "MS:1000016"}
+_MZML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0"><cvList count="1"><cv id="MS" fullName="PSI-MS" URI="https://purl.obolibrary.org/obo/ms.obo"/></cvList><fileDescription><fileContent><cvParam cvRef="MS" accession="MS:1000127" name="centroid spectrum"/></fileContent></fileDescription><softwareList count="1"><software id="ionweave" version="1"/></softwareList><instrumentConfigurationList count="1"><instrumentConfiguration id="IC"/></instrumentConfigurationList><dataProcessingList count="1"><dataProcessing id="DP"><processingMethod order="0" softwareRef="ionweave"/></dataProcessing></dataProcessingList><run id="run" defaultInstrumentConfigurationRef="IC">'
+
+
+@F.pandas_udf(StringType())
+def float64_base64(values: pd.Series) -> pd.Series:
+    """Arrays as little-endian 64-bit floats in base64."""
+    return values.map(lambda v: base64.b64encode(np.asarray(v, "<f8").tobytes()).decode("ascii"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def base64_float64(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: np.frombuffer(base64.b64decode(t), "<f8"))
+
+
+def _term(name: str, value: Column | str = "", unit: str = "") -> Column:
+    value = F.lit(value) if isinstance(value, str) else value.cast("string")
+    return F.concat(F.lit(f'<cvParam cvRef="MS" accession="{MZML[name]}" name="{name}" value="'), value, F.lit(f'"{unit}/>'))
+
+
+def write_mzml(peaks: DataFrame, path: str, per_file: int = 10_000, key: str = "frame_id") -> None:
+    """Spectra as mzML documents, each with at most ``per_file`` neighbouring keys, in folders ``part=N``: every task writes whole documents.
+
+    ``peaks``: key (integer), ms_level, rt (seconds), mz, intensity; m/z ascends within a spectrum. Null m/z or intensities are left out.
+    """
+    s = peaks.where("mz is not null and intensity is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"), F.min("ms_level").alias("l"), F.min("rt").alias("rt"))
+    s = s.withColumn("part", F.floor(F.col(key) / per_file))
+    ordinal = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    s = s.withColumn("i", ordinal).withColumn("mz64", float64_base64(F.col("p.mz").cast("array<double>"))).withColumn("int64", float64_base64(F.col("p.intensity").cast("array<double>")))
+    array = lambda name, c: F.concat(F.lit('<binaryDataArray encodedLength="'), F.length(c).cast("string"), F.lit('">'), _term("64-bit float"), _term("no compression"), _term(name), F.lit("<binary>"), F.col(c), F.lit("</binary></binaryDataArray>"))
+    unit = ' unitCvRef="UO" unitAccession="UO:0000010" unitName="second"'
+    xml = F.concat(
+        F.lit('<spectrum index="'), F.col("i").cast("string"), F.lit('" id="scan='), F.col(key).cast("string"), F.lit('" defaultArrayLength="'), F.size("p").cast("string"), F.lit('">'), _term("ms level", F.col("l")), _term("centroid spectrum"),
+        F.lit('<scanList count="1"><scan>'), _term("scan start time", F.col("rt"), unit), F.lit('</scan></scanList><binaryDataArrayList count="2">'), array("m/z array", "mz64"), array("intensity array", "int64"), F.lit("</binaryDataArrayList></spectrum>"),
+    )
+    n = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    head = n.select("part", F.lit(-1).alias("i"), F.concat(F.lit(_MZML_HEAD + '<spectrumList count="'), F.col("n").cast("string"), F.lit('" defaultDataProcessingRef="DP">')).alias("value"))
+    foot = n.select("part", F.lit(2**31 - 1).alias("i"), F.lit("</spectrumList></run></mzML>").alias("value"))
+    lines = s.select("part", "i", xml.alias("value")).unionByName(head).unionByName(foot)
+    lines.repartition("part").sortWithinPartitions("part", "i").select("part", "value").write.partitionBy("part").text(path)
+
+
+def read_mzml(spark: SparkSession, path: str) -> DataFrame:
+    """``id, ms_level, rt, mz, intensity``, one row a peak, of documents in the form that ``write_mzml`` gives (one spectrum a line)."""
+    x = spark.read.text(path).where(F.col("value").startswith("<spectrum "))
+    value = lambda name: F.regexp_extract("value", rf'name="{name}" value="([^"]*)"', 1)
+    data = F.regexp_extract_all("value", F.lit("<binary>([^<]*)</binary>"), F.lit(1))
+    y = x.select(F.regexp_extract("value", r'id="scan=(\d+)"', 1).cast("long").alias("id"), value("ms level").cast("int").alias("ms_level"), value("scan start time").cast("double").alias("rt"), base64_float64(data[0]).alias("m"), base64_float64(data[1]).alias("i"))
+    return y.select("id", "ms_level", "rt", F.explode(F.arrays_zip("m", "i")).alias("p")).select("id", "ms_level", "rt", F.col("p.m").alias("mz"), F.col("p.i").alias("intensity"))
+
+
 def pin_rows(psms: DataFrame, features: list[str]) -> DataFrame:
     """Rescoring table: identifier, label 1 or -1, features, peptide, proteins."""
     return psms.select(F.col("spec_idx").alias("SpecId"), F.when(F.col("decoy"), -1).otherwise(1).alias("Label"), *features, F.col("sequence").alias("Peptide"), F.col("proteins").alias("Proteins"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ def superpose(frames: DataFrame, reference: DataFrame, decimals: int = 6) -> Dat
     return frames.select(*cols).unionByName(reference.select(*cols)).groupBy("frame_id", "scan", mz_key(decimals).alias("k")).agg(F.sum("intensity").alias("intensity"))
 
 
+def overlay(frames: DataFrame, pools: dict[int, DataFrame], decimals: int = 6) -> DataFrame:
+    """Noise by frame type: each frame of a type that has a pool gets the pool's peaks of its id added."""
+    types = frames.select("frame_id", "ms_type").distinct()
+    noise = [p.select("frame_id", "scan", "mz", "intensity").join(types.where(F.col("ms_type") == t).select("frame_id"), "frame_id", "left_semi") for t, p in pools.items()]
+    return superpose(frames, reduce(DataFrame.unionByName, noise), decimals) if noise else superpose(frames, frames.limit(0), decimals)
+
+
 def extract(peaks: DataFrame, targets: DataFrame, mz_ppm: float, width: float = 1.0) -> DataFrame:
     """Peaks within a tolerance of each target's m/z: ``target_id`` with the peak's columns. ``targets``: target_id, target_mz."""
     t = targets.withColumn("_lo", F.col("target_mz") * (1 - mz_ppm * 1e-6)).withColumn("_hi", F.col("target_mz") * (1 + mz_ppm * 1e-6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def mz_noise(df: DataFrame, ppm: float, kind: str, seed: int, *keys: str) -> Dat
     return df.withColumn("mz", F.col("mz") * (1 + e * 1e-6))
 
 
+def detector_noise(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Intensities with counting noise (normal, of the square root's size), not below 0."""
+    return custom_noise(df, lambda i: F.lit(0.0), F.sqrt, seed, *keys)
+
+
+def custom_noise(df: DataFrame, mean: Callable[[Column], Column], std: Callable[[Column], Column], seed: int, *keys: str) -> DataFrame:
+    """Intensities with normal noise whose mean and deviation are functions of the intensity, not below 0."""
+    i = F.col("intensity")
+    return df.withColumn("intensity", F.greatest(F.lit(0.0), i + mean(i) + std(i) * gaussian(seed, *keys)))
+
+
 def demo_points(spark: SparkSession, n: int, blobs: int, seed: int) -> DataFrame:
     """Seeded blobs of points ``id, x, y, z, intensity``."""
     p = spark.range(n).withColumn("b", F.col("id") % blobs)

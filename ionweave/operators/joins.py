@@ -6,6 +6,8 @@ kept only in the later of both first buckets, so it comes out once without a dis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,11 @@ def logistic_window(mz: Column, center: Column, width: Column, k: float = 15.0,
     return up - down
 
 
+def transmit_with(df: DataFrame, probability: Callable[[Column], Column], least: float = 0.0) -> DataFrame:
+    """Peaks times their probability of transmission, any function of m/z; those not above ``least`` are lost."""
+    return df.withColumn("_p", probability(F.col("mz"))).where(F.col("_p") > least).withColumn("intensity", F.col("intensity") * F.col("_p")).drop("_p")
+
+
 def jaccard(lo1: str, hi1: str, lo2: str, hi2: str) -> Column:
     """Overlap over union of inclusive integer intervals."""
     inter = F.greatest(F.least(F.col(hi1), F.col(hi2)) - F.greatest(F.col(lo1), F.col(lo2)) + 1, F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,19 @@ def minimap(df: DataFrame, a: tuple[str, float, float, int], b: tuple[str, float
     return df.groupBy(cell(F.col(a[0]), *a[1:]).alias("x"), cell(F.col(b[0]), *b[1:]).alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum("intensity").alias("intensity"))
 
 
+def nice_step(span: Column, parts: int) -> Column:
+    """The least of 1, 2, 5 or 10 times a power of ten that cuts a span into at most ``parts``; null for no span."""
+    raw = F.when(span > 0, span / parts)
+    base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    r = raw / base
+    return base * F.when(r <= 1, 1.0).when(r <= 2, 2.0).when(r <= 5, 5.0).otherwise(10.0)
+
+
+def register(spark: SparkSession, name: str, arguments: str, result: str, body: str) -> None:
+    """An expression as a function for SQL text; it is expanded into the plan and optimised like any other."""
+    spark.sql(f"create or replace temporary function {name}({arguments}) returns {result} return {body}")
+
+
 def volume_deposit(df: DataFrame, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     """Trilinear scatter of intensity onto a grid: each point gives to the corners of its cell by nearness."""
     at = {a: (F.col(a) - lo) / (hi - lo) * (n - 1) for a, (lo, hi, n) in axes.items()}

@@ -4,7 +4,7 @@ and a file of frame blobs."""
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -65,6 +65,12 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def write_with(df: DataFrame, writer: Callable[[DataFrame], None]) -> DataFrame:
+    """Hands a table to a writer and goes on with it."""
+    writer(df)
+    return df
+
+
 def read_database_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A metadata table of an acquisition database: small next to its peaks, read once on the driver."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:

@@ -25,7 +25,7 @@ OPEN = 64
 #: Partitions of leftovers that one task merges.
 FAN_IN = 32
 #: Items per partition of the first round.
-ITEMS_PER_PARTITION = 200_000
+ITEMS_PER_PARTITION = 20_000
 
 _OUT = "item long, piece int, start long, size long, container string, closed boolean, load long"
 
@@ -62,16 +62,17 @@ class Packer:
 
 def _pack(capacity: int, open_limit: int, last: bool):
     """Packs units (one or more rows with a common ``unit``) that arrive unit by unit."""
+    names = [c.split()[0] for c in _OUT.split(", ")]
 
-    def emit(members: list, label: str, closed: bool) -> dict:
+    def emit(out: list, members: list, label: str, closed: bool) -> None:
         rows = [r for unit in members for r in unit]
         load = sum(r[3] for r in rows)
-        return {"item": [r[0] for r in rows], "piece": [r[1] for r in rows], "start": [r[2] for r in rows], "size": [r[3] for r in rows], "container": label, "closed": closed, "load": load}
+        out += [(*r, label, closed, load) for r in rows]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, count, part, held, unit = Packer(capacity, open_limit), 0, None, [], None
 
-        def close(members: list | None) -> Iterator[dict]:
+        def close(out: list, members: list | None) -> None:
             nonlocal count
             group: list = []
             for m in [*(members or []), None]:
@@ -79,29 +80,29 @@ def _pack(capacity: int, open_limit: int, last: bool):
                     group.append(m)
                 elif group:
                     count += 1
-                    yield emit(group, f"{part}-{count}", True)
+                    emit(out, group, f"{part}-{count}", True)
                     group = []
 
+        out: list[tuple] = []
         for pdf in frames:
-            out: list[dict] = []
             for p, u, item, piece, start, size in zip(pdf["part"].tolist(), pdf["unit"].tolist(), pdf["item"].tolist(), pdf["piece"].tolist(), pdf["start"].tolist(), pdf["size"].tolist()):
                 if part is None:
                     part = p
                 if u != unit and held:
-                    out += close(packer.put(sum(r[3] for r in held), held))
+                    close(out, packer.put(sum(r[3] for r in held), held))
                     held = []
                 unit = u
                 held.append((item, piece, start, size))
             if out:
-                yield pd.concat([pd.DataFrame(x) for x in out])
-        out = []
+                yield pd.DataFrame(out, columns=names)
+                out = []
         if held:
-            out += close(packer.put(sum(r[3] for r in held), held))
+            close(out, packer.put(sum(r[3] for r in held), held))
         for members in packer.rest():
             count += 1
-            out.append(emit(members, f"{part}-{count}", last))
+            emit(out, members, f"{part}-{count}", last)
         if out:
-            yield pd.concat([pd.DataFrame(x) for x in out])
+            yield pd.DataFrame(out, columns=names)
 
     return run
 

@@ -97,7 +97,12 @@ def _pair_rows(v):
     return C.pair_features(p)
 
 
-R.add("i276_geometric_score", lambda v: _pair_rows(v).select("ms1_id", "ms2_id", r6("jaccard_rt").alias("jaccard_rt"), r6("shape").alias("shape"), r6(C.geometric_score(F.col("a_raw_sum"))).alias("score")))
+_GEO = """WITH p AS (SELECT a.cluster_id AS ms1_id, b.cluster_id AS ms2_id, a.raw_sum, a.rt_lo AS l1, a.rt_hi AS h1, b.rt_lo AS l2, b.rt_hi AS h2, abs((a.rt_lo + a.rt_hi) / 2 - (b.rt_lo + b.rt_hi) / 2) AS d, abs((a.im_lo + a.im_hi) / 2 - (b.im_lo + b.im_hi) / 2) AS e,
+  greatest((a.rt_hi - a.rt_lo) / 6, 0.05) AS s1, greatest((b.rt_hi - b.rt_lo) / 6, 0.05) AS s2, greatest((a.im_hi - a.im_lo) / 6, 0.5) AS i1, greatest((b.im_hi - b.im_lo) / 6, 0.5) AS i2, greatest(least(a.im_hi, b.im_hi) - greatest(a.im_lo, b.im_lo) + 1, 0) AS o, greatest(a.im_hi, b.im_hi) - least(a.im_lo, b.im_lo) + 1 AS u,
+  (least(a.rt_hi, b.rt_hi) - greatest(a.rt_lo, b.rt_lo) + 1) / ((a.rt_hi - a.rt_lo + 1) + (b.rt_hi - b.rt_lo + 1) - (least(a.rt_hi, b.rt_hi) - greatest(a.rt_lo, b.rt_lo) + 1)) AS j
+  FROM v_ms1 a JOIN v_ms2 b ON a.window_group = b.window_group AND a.rt_lo <= b.rt_hi AND b.rt_lo <= a.rt_hi AND least(a.im_hi, b.im_hi) - greatest(a.im_lo, b.im_lo) + 1 >= 6),
+q AS (SELECT *, greatest(least(h1, h2) - greatest(l1, l2), 0) / (greatest(h1, h2) - least(l1, l2)) AS jac, exp(-0.5 * (d * d / (0.5 * (s1 * s1 + s2 * s2)) + e * e / (0.5 * (i1 * i1 + i2 * i2)))) AS shape FROM p WHERE j >= 0.5)"""
+R.add("i276_geometric_score", lambda v: _pair_rows(v).select("ms1_id", "ms2_id", r6("jaccard_rt").alias("jaccard_rt"), r6("shape").alias("shape"), r6(C.geometric_score(F.col("a_raw_sum"))).alias("score")), f"{_GEO} SELECT ms1_id, ms2_id, {_R6('jac')} AS jaccard_rt, {_R6('shape')} AS shape, {_R6('jac + shape + 0.75 * exp(-d / 0.75) + 0.75 * exp(-e / 3) + 0.5 * o / u + 0.25 * ln(1 + raw_sum)')} AS score FROM q", "ms1 ms2")
 _EMB = "e AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS p, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 

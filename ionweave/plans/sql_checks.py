@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ionweave.functions import chemistry as C
 from ionweave.functions import physics as Y
-from ionweave.plans import chem_queries, core_problems, match_queries, more_queries, peak_queries
+from ionweave.plans import chem_queries, core_problems, match_queries, more_queries, peak_queries, stream_queries
 from ionweave.plans.cluster_queries import _erfc_sql
 from ionweave.plans.match_queries import _PAIRS, _WIN
 from ionweave.plans.peak_queries import _R6
@@ -90,3 +90,16 @@ t AS (SELECT line_id, file_id, {', '.join(f"w[list_position(names, '{c}')] AS {c
 SELECT line_id, file_id, protein, sequence, TRY_CAST(charge AS INT) AS charge, TRY_CAST(intensity AS DOUBLE) AS intensity, TRY_CAST(rt AS DOUBLE) AS rt, TRY_CAST(im AS DOUBLE) AS im, intensity AS intensity_text, rt AS rt_text FROM t""")
 _loaded = QUERIES["p3_loaded"]
 QUERIES["p3_loaded"] = lambda spark, sf_dir: _loaded(spark, sf_dir).drop("extra")  # a map, which no two engines print alike
+
+# folds, reachability and exclusion, one step a round
+_STITCH = """WITH RECURSIVE o AS (SELECT window_group, rt_lo AS lo, rt_hi AS hi, raw_sum AS v, row_number() OVER (PARTITION BY window_group ORDER BY rt_lo, rt_hi, cluster_id) AS k FROM v_ms1),
+f AS (SELECT window_group, k, lo, hi, 1 AS n, v, 1 AS part FROM o WHERE k = 1
+  UNION ALL SELECT o.window_group, o.k, CASE WHEN joined THEN f.lo ELSE o.lo END, CASE WHEN joined THEN greatest(f.hi, o.hi) ELSE o.hi END, CASE WHEN joined THEN f.n + 1 ELSE 1 END, CASE WHEN joined THEN f.v + o.v ELSE o.v END, CASE WHEN joined THEN f.part ELSE f.part + 1 END
+  FROM (SELECT f.*, o.lo - f.hi <= 1 AND greatest(o.hi, f.hi) - f.lo <= 12 AS joined FROM f JOIN o ON o.window_group = f.window_group AND o.k = f.k + 1) f JOIN o ON o.window_group = f.window_group AND o.k = f.k + 1),
+s AS (SELECT window_group, part, max(n) AS n, arg_max(lo, k) AS lo, arg_max(hi, k) AS hi, arg_max(v, k) AS v FROM f GROUP BY window_group, part)"""
+_add(match_queries, "i214_stitch", with_views("ms1", _STITCH).replace("WITH v_ms1", "WITH RECURSIVE v_ms1").replace(", RECURSIVE o AS", ", o AS") + " SELECT window_group, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(n AS INT) AS n, round(v) AS intensity FROM s")
+_stitched = QUERIES["i214_stitch"]
+QUERIES["i214_stitch"] = lambda spark, sf_dir: _stitched(spark, sf_dir).withColumn("intensity", F.round("intensity"))
+_add(match_queries, "i333_dbscan", "WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), e AS (SELECT a.id, b.id AS id2 FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.03 * 0.03), c AS (SELECT id FROM e GROUP BY id HAVING count(*) >= 5), r(id, m) AS (SELECT id, id FROM c UNION SELECT e.id2, r.m FROM r JOIN e ON e.id = r.id WHERE e.id2 IN (SELECT id FROM c)), l AS (SELECT id, min(m) AS cluster FROM r GROUP BY id), b AS (SELECT e.id, min(l.cluster) AS cluster FROM e JOIN l ON l.id = e.id2 GROUP BY e.id) SELECT p.id, CAST(coalesce(l.cluster, b.cluster, -1) AS BIGINT) AS cluster, l.id IS NOT NULL AS core FROM p LEFT JOIN l ON l.id = p.id LEFT JOIN b ON b.id = p.id")
+_add(stream_queries, "i374_exclusion", "WITH RECURSIVE r AS (SELECT user_id, min(ts) AS ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id UNION ALL SELECT * FROM (SELECT r.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 6 HOUR) AS ts FROM r) x WHERE ts IS NOT NULL) SELECT user_id, epoch_us(ts) AS ts FROM r")
+_add(stream_queries, "i375_watermark", "SELECT count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

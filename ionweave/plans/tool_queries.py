@@ -24,7 +24,7 @@ from ionweave.plans.match_queries import _MS2, _PAIRS, _best, pairs
 from ionweave.plans.more_queries import _path
 from ionweave.plans.peak_queries import _R6, r6
 from ionweave.plans.registry import Registry
-from ionweave.plans.sql_checks import _CDF, _IONS, _residues
+from ionweave.plans.sql_checks import _CDF, _IONS, _STITCH, _residues
 from ionweave.session import shared_dir
 from ionweave.sources import dataset as D
 from ionweave.streaming import windows as T
@@ -98,7 +98,8 @@ def pseudo_spectra(v, n: int) -> DataFrame:
 R.add("i345_pseudo_spectra", lambda v: pseudo_spectra(v, 5).select("window_group", "ms1_id", F.size("peaks").alias("n"), F.get("peaks", F.lit(0))["b_mz"].alias("first")), f"SELECT window_group, ms1_id, CAST(count(*) AS INT) AS n, min(b_mz) AS first FROM (SELECT *, row_number() OVER (PARTITION BY window_group, ms1_id ORDER BY b_raw_sum DESC, b_mz, ms2_id, b_rt_lo, b_im_lo) AS q FROM {_WON} a) b WHERE q <= 5 GROUP BY window_group, ms1_id", "ms1 ms2")
 R.add("i420_all_pairs_spectra", lambda v: pairs(v).groupBy("ms1_id").agg(F.count(F.lit(1)).alias("n"), F.sum("b_raw_sum").alias("raw_sum")), f"SELECT ms1_id, count(*) AS n, sum(b_raw_sum) AS raw_sum FROM ({_PAIRS}) p WHERE jaccard >= 0.5 GROUP BY ms1_id", "ms1 ms2")
 R.add("i444_search_spectra", lambda v: pseudo_spectra(v, 20).select("ms1_id", F.explode("peaks").alias("p")).groupBy("ms1_id").agg(r6(F.max("p.b_raw_sum") / F.sum("p.b_raw_sum")).alias("base_share")), f"SELECT ms1_id, {_R6('max(b_raw_sum) / sum(b_raw_sum)')} AS base_share FROM (SELECT *, row_number() OVER (PARTITION BY window_group, ms1_id ORDER BY b_raw_sum DESC, b_mz, ms2_id, b_rt_lo, b_im_lo) AS q FROM {_WON} a) b WHERE q <= 20 GROUP BY ms1_id", "ms1 ms2")
-R.add("i438_cluster_facade", lambda v: G.stitch(v.ms1.select("window_group", F.col("cluster_id").alias("id"), F.col("rt_lo").alias("lo"), F.col("rt_hi").alias("hi"), F.col("raw_sum").alias("intensity")), ["window_group"], 1, 12).groupBy("window_group").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("members")))
+R.add("i438_cluster_facade", lambda v: G.stitch(v.ms1.select("window_group", F.col("cluster_id").alias("id"), F.col("rt_lo").alias("lo"), F.col("rt_hi").alias("hi"), F.col("raw_sum").alias("intensity")), ["window_group"], 1, 12).groupBy("window_group").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("members")), _STITCH.replace("WITH RECURSIVE o AS", "WITH o AS") + " SELECT window_group, count(*) AS n, CAST(sum(n) AS BIGINT) AS members FROM s GROUP BY window_group", "ms1")
+R.oracles["i438_cluster_facade"] = R.oracles["i438_cluster_facade"].replace("WITH v_ms1", "WITH RECURSIVE v_ms1", 1)
 
 # spectra of ions
 R.add("i360_precursor_spectra", lambda v: v.table("peptides").where("monoisotopic_mass is not null").select("row_id", "monoisotopic_mass", F.posexplode(Y.averagine_weights(F.col("monoisotopic_mass"), 4)).alias("k", "w")).select("row_id", "k", r6((F.col("monoisotopic_mass") + F.col("k") * Y.ISOTOPE_SPACING + 2 * Y.MASS_PROTON) / 2).alias("mz"), r6("w").alias("w")), f"WITH l AS (SELECT row_id, monoisotopic_mass AS m, 0.000594 * monoisotopic_mass - 0.03091 AS l FROM peptides WHERE monoisotopic_mass IS NOT NULL), w AS (SELECT row_id, m, CAST(k AS INT) AS k, exp(-l) * l ** k / factorial(CAST(k AS INT)) AS w FROM l, range(4) r(k)) SELECT row_id, k, {_R6(f'(m + k * {Y.ISOTOPE_SPACING!r} + 2 * {Y.MASS_PROTON!r}) / 2')} AS mz, {_R6('w / sum(w) OVER (PARTITION BY row_id)')} AS w FROM w")

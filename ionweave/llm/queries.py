@@ -41,6 +41,11 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_survivors(spark, sf_dir, "votes").withColumnsRenamed({"form": "peptidoform", "z": "form_charge"})
 
 
+def p5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p5_found``, by the policy of votes: each field from the best record of the value with most votes."""
+    return survivor.field_sources(findings_survivors(spark, sf_dir, "votes"), list(SURVIVOR_FIELDS))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(read(spark, sf_dir, "precursors"), "parent", "intensity", "id", TOP).select("parent", "id", "rank_no")
 
@@ -107,5 +112,12 @@ u AS (SELECT *, 'sequence' AS field_name FROM g WHERE regexp_full_match(sequence
 P5_FOUND_SQL = _P5_ROWS + """ SELECT group_id, field_name, finding_id FROM (
   SELECT group_id, field_name, finding_id, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC NULLS LAST, loaded_at DESC NULLS LAST, finding_id) AS r FROM u WHERE n >= 2) x WHERE r = 1"""
 
-QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
-ORACLES = {"p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+#: The normalised value of each field and its votes: trust times a half-life of 180 days, summed over the findings that have the value.
+_P5_VALUE = "CASE field_name WHEN 'sequence' THEN form WHEN 'charge' THEN CAST(z AS VARCHAR) WHEN 'intensity' THEN CAST(intensity AS VARCHAR) ELSE regexp_extract(rt, '[0-9][0-9.,:]*') END"
+P5_VOTES_SQL = _P5_ROWS + f""", x AS (SELECT *, {_P5_VALUE} AS val, coalesce(trust, 0) * 2.0::DOUBLE ** ((epoch_us(loaded_at) / 86400e6 - 20000) / 180) AS vote FROM u WHERE n >= 2),
+y AS (SELECT *, sum(vote) OVER (PARTITION BY group_id, field_name, val) AS votes FROM x)
+SELECT group_id, field_name, finding_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY round(votes * 1e6) DESC, trust DESC NULLS LAST, loaded_at DESC NULLS LAST, finding_id) AS r FROM y) q WHERE r = 1"""
+P7_ROUND_TRIP_SQL = "SELECT doc_id, true AS same FROM documents"
+
+QUERIES = {"p5_found": p5_found, "p5_votes": p5_votes, "p5_survivors": p5_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
+ORACLES = {"p5_found": P5_FOUND_SQL, "p5_votes": P5_VOTES_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL, "p6_found": P6_FOUND_SQL}

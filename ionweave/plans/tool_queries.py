@@ -19,14 +19,17 @@ from ionweave.operators import generators as N
 from ionweave.operators import greedy as G
 from ionweave.operators import joins as J
 from ionweave.operators import ranking as K
+from ionweave.operators import simulate as S
 from ionweave.operators import windows as W
-from ionweave.plans.match_queries import _MS2, _PAIRS, _best, pairs
+from ionweave.plans.cluster_queries import _SUPPORT
+from ionweave.plans.match_queries import _MS2, _PAIRS, _Q, _best, pairs
 from ionweave.plans.more_queries import _path
 from ionweave.plans.peak_queries import _R6, r6
 from ionweave.plans.registry import Registry
 from ionweave.plans.sql_checks import _CDF, _IONS, _STITCH, _residues
 from ionweave.session import shared_dir
 from ionweave.sources import dataset as D
+from ionweave.sources import formats as X
 from ionweave.streaming import windows as T
 
 R = Registry()
@@ -160,4 +163,34 @@ R.add("i427_lookup_tables", lambda v: J.last_window(v.peaks.join(v.dia_info, "fr
 R.add("i442_target_vectors", lambda v: C.product_ions(_plain(v), "row_id").groupBy("row_id").agg(F.collect_list(F.struct(((F.col("ordinal") - 1) * 6 + F.when(F.col("kind") == "b", 3).otherwise(0)).alias("i"), F.lit(1.0).alias("x"))).alias("e")).select("row_id", F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(173)), lambda i: F.when(F.exists("e", lambda x: x["i"] == i), 1.0).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).alias("filled")), "SELECT row_id, 2.0 * (length(sequence) - 1) AS filled FROM parse_diann_report WHERE length(sequence) > 1 AND sequence IS NOT NULL")
 R.add("i448_tool_comparison", lambda v: reduce(DataFrame.unionByName, [E.rate_by(v.truth, v.report.where(F.col("charge") % 2 == t), ["seq_id", "charge"], F.col("charge"), "charge").withColumn("tool", F.lit(t)) for t in (0, 1)]).select("tool", "charge", "n", "identified", r6("rate").alias("rate")), f"SELECT t AS tool, x.charge, count(*) AS n, count(r.seq_id) AS identified, {_R6('count(r.seq_id) / count(*)')} AS rate FROM v_truth x, (VALUES (0), (1)) q(t) LEFT JOIN (SELECT DISTINCT seq_id, charge FROM v_report) r ON r.seq_id = x.seq_id AND r.charge = x.charge AND r.charge % 2 = t GROUP BY t, x.charge", "truth report")
 
+
+# round trips and helpers held against values instead of counts
+
+
+def _findings_file(v):
+    path = _path(v, "findings")
+    rows = v.table("findings").select(F.col("sequence").alias(" Peptide "), F.col("charge").alias("Z"), F.col("intensity").cast("string").alias("Quantity"), F.col("rt").alias("RT"), F.col("protein").alias("PROTEIN"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return X.read_findings(v.spark, path).select("sequence", "protein", F.when(~F.isnan("intensity"), F.col("intensity")).alias("intensity"), "charge")
+
+
+R.add("i044_findings_rows", _findings_file, "SELECT sequence, protein, CASE WHEN NOT isnan(intensity) THEN intensity END AS intensity, CAST(CASE WHEN regexp_full_match(trim(charge), '[+-]?[0-9]+') THEN trim(charge) END AS INT) AS charge FROM findings WHERE sequence IS NOT NULL AND intensity IS NOT NULL")
+
+
+def _mgf_file(v):
+    path = _path(v, "mgf")
+    line = lambda x: F.concat(x["mz"].cast("string"), F.lit(" "), x["intensity"].cast("string"))
+    p = v.peaks.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mz", "intensity"))), line), "\n").alias("p"))
+    p.select(F.concat(F.lit("BEGIN IONS\nTITLE=f"), F.col("frame_id").cast("string"), F.lit("\nPEPMASS=500.5 10\nCHARGE=2+\n"), "p", F.lit("\nEND IONS"))).write.text(path)
+    return X.read_mgf(v.spark, path).select(F.substring("title", 2, 9).cast("int").alias("frame_id"), F.explode("peaks").alias("x")).select("frame_id", "x.mz", "x.intensity")
+
+
+R.add("i041_mgf_peaks", _mgf_file, "SELECT frame_id, mz, intensity FROM v_peaks", "peaks")
+R.add("i257_support", lambda v: v.frame_info.select("frame_id", S.support(0.9, 1.0, 60)(F.col("time").cast("double"), F.lit(2.0), F.lit(0.5)).alias("b")).select("frame_id", "b.lo", "b.hi"), f"WITH {_SUPPORT} SELECT peptide_id AS frame_id, mu - 42 + lo AS lo, mu - 42 + hi AS hi FROM w", "frame_info")
+_E64 = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+R.add("i342_padded", lambda v: v.table("embeddings").select("vec_id", F.posexplode(A.pad(F.transform("embedding", lambda x: x.cast("double")), 80, -9.0)).alias("i", "x")), f"SELECT vec_id, CAST(k AS INT) AS i, CASE WHEN k < 64 THEN e[k + 1] ELSE -9.0 END AS x FROM (SELECT vec_id, {_E64} AS e FROM embeddings) q, range(80) r(k)")
+R.add("i342_masked", lambda v: v.table("embeddings").select("vec_id", F.posexplode(A.mask_by_length(F.transform("embedding", lambda x: x.cast("double")), (F.col("vec_id") % 9).cast("int"), (F.col("vec_id") % 3 + 1).cast("int"))).alias("i", "x")), f"SELECT vec_id, CAST(k AS INT) AS i, CASE WHEN k // 6 >= vec_id % 9 OR k % 3 >= vec_id % 3 + 1 THEN -1.0 ELSE e[k + 1] END AS x FROM (SELECT vec_id, {_E64} AS e FROM embeddings) q, range(64) r(k)")
+R.add("i322_dropout_order", lambda v: v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001).alias("e")).withColumn("d", A.drop_smallest(F.col("e"), 0.25, F.col("vec_id"))).select("vec_id", F.size(F.filter("d", lambda x: x == 0)).alias("n"), r6(F.aggregate(F.zip_with("e", "d", lambda a, b: F.when(b == 0, 0.0).otherwise(F.abs(a - b))), F.lit(0.0), lambda a, x: a + x)).alias("changed"), (F.aggregate(F.zip_with("e", "d", lambda a, b: F.when(b == 0, a).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / 16 <= F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / 64).alias("small")), "SELECT vec_id, CAST(16 AS INT) AS n, 0.0::DOUBLE AS changed, true AS small FROM embeddings")
+R.add("i183_points", lambda v: reduce(DataFrame.unionByName, [E.at_target(E.fdp_curve(v.report, v.truth, ["seq_id", "charge"], _Q), t).select(F.lit(t).alias("target"), "threshold", "n_reported") for t in (0.01, 0.05, 0.5)]), f"WITH r AS (SELECT seq_id, charge, min(q) AS q FROM v_report GROUP BY ALL), h AS (SELECT unnest({_Q}::DOUBLE[]) AS t), g AS (SELECT unnest([0.01, 0.05, 0.5]::DOUBLE[]) AS target) SELECT target, max(t) AS threshold, arg_max(n, t) AS n_reported FROM g JOIN (SELECT t, (SELECT count(*) FROM r WHERE q <= t) AS n FROM h) k ON t <= target GROUP BY target", "report truth")
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -48,7 +48,7 @@ def normalise_names(df: DataFrame, names: dict[str, tuple[str, ...]], required:
 
 def read_findings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Findings with normalised names; rows without sequence or intensity are dropped."""
-    df = normalise_names(spark.read.option("header", True).option("sep", sep).csv(path), FINDING_NAMES, ("sequence", "intensity"))
+    df = normalise_names(spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True).csv(path), FINDING_NAMES, ("sequence", "intensity"))
     return df.withColumn("intensity", F.col("intensity").try_cast("double")).withColumn("charge", F.col("charge").try_cast("int")).withColumn("rt", F.col("rt").try_cast("double")).withColumn("im", F.col("im").try_cast("double")).where("sequence is not null and intensity is not null")
 
 

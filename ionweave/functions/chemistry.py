@@ -168,6 +168,19 @@ def mod_multiset(sequence: Column) -> Column:
     return F.array_join(F.array_sort(F.regexp_extract_all(sequence, F.lit(r"UNIMOD:([0-9]+)"), F.lit(1))), ";")
 
 
+#: A peptide with terminal groups: ``[UNIMOD:1]-PEPT[UNIMOD:21]IDE-[UNIMOD:2]``, two residues at least; empty brackets are no modification.
+_TERMINI = r"\A(?:\[((?:UNIMOD:[0-9]+)?)\]-)?((?:[A-Za-z](?:\[(?:UNIMOD:[0-9]+)?\])?){2,})(?:-\[((?:UNIMOD:[0-9]+)?)\])?\z"
+
+
+def parse_termini(text: Column) -> Column:
+    """``struct<n_term, c_term, residues: array<struct<aa, unimod>>>`` of a peptide with terminal groups; null for any other text."""
+    t = F.trim(text)
+    part = lambda k: F.regexp_extract(t, _TERMINI, k)
+    number = lambda c: F.nullif(F.regexp_extract(c, "([0-9]+)", 1), F.lit("")).cast("int")
+    residues = F.transform(F.regexp_extract_all(part(2), F.lit(r"[A-Za-z](?:\[[^\]]*\])?"), F.lit(0)), lambda r: F.struct(F.substring(r, 1, 1).alias("aa"), number(r).alias("unimod")))
+    return F.when(t.rlike(_TERMINI), F.struct(number(part(1)).alias("n_term"), number(part(3)).alias("c_term"), residues.alias("residues")))
+
+
 def model_dialect(sequence: Column, dialect: str) -> Column:
     """Tags rewritten for prediction services: ``mass`` ([+57.02]), ``name`` ((ox)) or ``none``."""
     if dialect == "none":

@@ -11,14 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A dimension up to this many rows may be broadcast; larger ones take the bucketed way.
-SMALL_DIMENSION = 50_000
-
-
-def small(df: DataFrame, limit: int = SMALL_DIMENSION) -> bool:
-    """Whether a table has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
-
 
 def bucketed_box_join(left: DataFrame, right: DataFrame, dims: list[tuple[tuple[str, str], tuple[str, str], float]], keys: list[str] | None = None, residual: Column | None = None) -> DataFrame:
     """Pairs whose boxes overlap on every axis and whose ``keys`` agree. Other column names must differ.

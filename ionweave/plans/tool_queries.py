@@ -193,4 +193,8 @@ R.add("i342_masked", lambda v: v.table("embeddings").select("vec_id", F.posexplo
 R.add("i322_dropout_order", lambda v: v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001).alias("e")).withColumn("d", A.drop_smallest(F.col("e"), 0.25, F.col("vec_id"))).select("vec_id", F.size(F.filter("d", lambda x: x == 0)).alias("n"), r6(F.aggregate(F.zip_with("e", "d", lambda a, b: F.when(b == 0, 0.0).otherwise(F.abs(a - b))), F.lit(0.0), lambda a, x: a + x)).alias("changed"), (F.aggregate(F.zip_with("e", "d", lambda a, b: F.when(b == 0, a).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / 16 <= F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / 64).alias("small")), "SELECT vec_id, CAST(16 AS INT) AS n, 0.0::DOUBLE AS changed, true AS small FROM embeddings")
 R.add("i183_points", lambda v: reduce(DataFrame.unionByName, [E.at_target(E.fdp_curve(v.report, v.truth, ["seq_id", "charge"], _Q), t).select(F.lit(t).alias("target"), "threshold", "n_reported") for t in (0.01, 0.05, 0.5)]), f"WITH r AS (SELECT seq_id, charge, min(q) AS q FROM v_report GROUP BY ALL), h AS (SELECT unnest({_Q}::DOUBLE[]) AS t), g AS (SELECT unnest([0.01, 0.05, 0.5]::DOUBLE[]) AS target) SELECT target, max(t) AS threshold, arg_max(n, t) AS n_reported FROM g JOIN (SELECT t, (SELECT count(*) FROM r WHERE q <= t) AS n FROM h) k ON t <= target GROUP BY target", "report truth")
 
+_TERM = "(SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '[UNIMOD:1]-' WHEN row_id % 7 = 0 THEN '[oops]-' ELSE '' END || regexp_replace(sequence_modified, '\\(UniMod:([0-9]+)\\)', '[UNIMOD:\\1]', 'g') || CASE WHEN row_id % 5 = 0 THEN '-[UNIMOD:2]' ELSE '' END AS t, regexp_replace(sequence_modified, '\\(UniMod:([0-9]+)\\)', '[UNIMOD:\\1]', 'g') AS s FROM parse_diann_report WHERE sequence_modified IS NOT NULL)"
+_termini = lambda v: v.table("parse_diann_report").where("sequence_modified is not null").select("row_id", F.concat(F.when(F.col("row_id") % 3 == 0, "[UNIMOD:1]-").when(F.col("row_id") % 7 == 0, "[oops]-").otherwise(""), F.regexp_replace("sequence_modified", r"\(UniMod:([0-9]+)\)", "[UNIMOD:$1]"), F.when(F.col("row_id") % 5 == 0, "-[UNIMOD:2]").otherwise("")).alias("t"))
+R.add("i303_termini", lambda v: _termini(v).select("row_id", C.parse_termini(F.col("t")).alias("p")).select("row_id", "p.n_term", "p.c_term", F.size("p.residues").alias("n"), F.size(F.filter("p.residues", lambda r: r["unimod"].isNotNull())).alias("mods")).where("n > 0"), f"SELECT row_id, CASE WHEN row_id % 3 = 0 THEN CAST(1 AS INT) END AS n_term, CASE WHEN row_id % 5 = 0 THEN CAST(2 AS INT) END AS c_term, CAST(length(regexp_replace(s, '\\[[^\\]]*\\]', '', 'g')) AS INT) AS n, CAST(len(regexp_extract_all(s, 'UNIMOD')) AS INT) AS mods FROM {_TERM} q WHERE (row_id % 3 = 0 OR row_id % 7 <> 0) AND regexp_full_match(s, '(?:[A-Za-z](?:\\[(?:UNIMOD:[0-9]+)?\\])?){{2,}}')")
+
 QUERIES, ORACLES = R.queries, R.oracles

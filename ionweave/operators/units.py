@@ -67,7 +67,7 @@ def noise(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> float:
     return float(max(np.median(np.maximum(v, 0.0)), 1e-3))
 
 
-SEGMENTS = "history string, source_id long, from_bin long, to_bin long, level double, n_values long, unit_segment string"
+SEGMENTS = "history string, source_id long, at0 long, width long, from_bin long, to_bin long, level double, n_values long, unit_segment string"
 
 
 def _segmenter(search: Callable[..., list[int]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -83,7 +83,7 @@ def _segmenter(search: Callable[..., list[int]]) -> Callable[[pd.DataFrame], pd.
         own = pdf["own"].iloc[0]
         units = [own if pd.isna(centre) else min(FACTORS, key=lambda u: abs(x + math.log(FACTORS[u]) - centre)) for x in levels]
         bins = pdf["bin"].to_numpy()
-        return pd.DataFrame({"history": pdf["history"].iloc[0], "source_id": pdf["source_id"].iloc[0], "from_bin": bins[starts], "to_bin": bins[[b - 1 for b in ends]], "level": levels, "n_values": [int(n[a:b].sum()) for a, b in zip(starts, ends)], "unit_segment": units})
+        return pd.DataFrame({"history": pdf["history"].iloc[0], "source_id": pdf["source_id"].iloc[0], "at0": pdf["at0"].iloc[0], "width": pdf["width"].iloc[0], "from_bin": bins[starts], "to_bin": bins[[b - 1 for b in ends]], "level": levels, "n_values": [int(n[a:b].sum()) for a, b in zip(starts, ends)], "unit_segment": units})
 
     return run
 
@@ -114,14 +114,13 @@ def assign_units(values: DataFrame, sources: DataFrame, notes: DataFrame, max_bi
     told = F.coalesce("seconds", seconds_of(F.col("value"), F.coalesce("unit", "noted")))  # by text or note alone
     middle = F.when((F.col("low") > 0) & (F.col("high") > 0), (F.log("low") + F.log("high")) / 2)
     spans = x.groupBy("history", "source_id").agg(F.min("at").alias("at0"), F.max("at").alias("at1"), F.coalesce(F.avg(F.when(told > 0, F.log(told))), F.max(middle)).alias("centre"), F.min("own").alias("own0"))
-    spans = materialise(spans.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("at1") - F.col("at0") + 1) / F.lit(max_bins)))).drop("at1"), "spans")
+    spans = spans.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("at1") - F.col("at0") + 1) / F.lit(max_bins)))).drop("at1")
     binned = x.where(bare & F.col("x").isNotNull() & F.col("at").isNotNull() & F.col("source_id").isNotNull()).join(hint(spans), ["history", "source_id"])
-    stats = binned.groupBy("history", "source_id", F.floor((F.col("at") - F.col("at0")) / F.col("width")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.first("centre").alias("centre"), F.first("own0").alias("own"))
+    stats = binned.groupBy("history", "source_id", F.floor((F.col("at") - F.col("at0")) / F.col("width")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.first("centre").alias("centre"), F.first("own0").alias("own"), F.first("at0").alias("at0"), F.first("width").alias("width"))
     segments = materialise(stats.groupBy("history", "source_id").applyInPandas(_segmenter(search), SEGMENTS), "segments")
     turns = segments.withColumn("before", F.lag("unit_segment").over(Window.partitionBy("history", "source_id").orderBy("from_bin")))
     turns = turns.where("before is null or before <> unit_segment")  # only where the unit changes
-    per = turns.groupBy("history", "source_id").agg(F.array_sort(F.collect_list(F.struct("from_bin", "unit_segment"))).alias("segments"))
-    placed = spans.join(per, ["history", "source_id"], "left").select("history", "source_id", "at0", "width", "segments")
+    placed = turns.groupBy("history", "source_id").agg(F.first("at0").alias("at0"), F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("from_bin", "unit_segment"))).alias("segments"))
     if few and segments.limit(MAX_SEGMENTS + 1).count() <= MAX_SEGMENTS:
         placed = F.broadcast(placed)
     y = x.join(placed, ["history", "source_id"], "left")

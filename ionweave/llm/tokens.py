@@ -68,22 +68,25 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = TABLE_WORDS)
     """The ``size`` most frequent words, ties in order of the word.
 
     Counts are put into narrow classes, and the table takes all words of the highest classes that together fit. The class that
-    no longer fits is sorted by range and read from its beginning, one partition after the other. So the driver receives the classes (at most
+    no longer fits is ordered on the driver up to ``4 size`` words; a larger one is sorted by range and read from its beginning, one partition after the other. So the driver receives the classes (at most
     64 a doubling of the count) and about the table's words, not a table's worth of candidates from every partition.
     """
     each = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     each = each.where((F.col("n") > 1) & (F.length("w") <= TABLE_WORD_CHARS)).withColumn("class", F.floor(F.log2("n") * 64).cast("int"))
     each = materialise(each, "words")  # read for the classes and for the words
-    above, cut, room = None, None, size
+    above, cut, room, n_cut = None, None, size, 0
     for c, n in sorted(((r["class"], r["count"]) for r in each.groupBy("class").count().collect()), reverse=True):
         if n > room:
-            cut = c
+            cut, n_cut = c, n
             break
         above, room = c, room - n
     top = [] if above is None else each.where(F.col("class") >= above).select("n", "w").collect()
     out = [r["w"] for r in sorted(top, key=lambda r: (-r["n"], r["w"]))]
     if cut is not None and room:
-        tail = each.where(F.col("class") == cut).sort(F.desc("n"), "w").select("w").mapInArrow(_first(room), "w string")
+        rest = each.where(F.col("class") == cut)
+        if n_cut <= 4 * size:
+            return out + [r["w"] for r in sorted(rest.select("n", "w").collect(), key=lambda r: (-r["n"], r["w"]))[:room]]
+        tail = rest.sort(F.desc("n"), "w").select("w").mapInArrow(_first(room), "w string")
         out += [r["w"] for r in islice(tail.toLocalIterator(), room)]
     return out
 

@@ -55,6 +55,9 @@ def test_empty_table_and_repeated_rows(spark):
 def test_most_frequent_words_are_bounded(spark):
     df = spark.createDataFrame([(1, " b b b a a c c " + "z" * 99 + " " + "z" * 99)], "doc_id long, text string")
     assert T.frequent_words(df, size=2) == [" b", " a"]
+    rare, often = [f" q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)], [f" s{chr(97 + i)}" for i in range(7)]
+    many = spark.createDataFrame([(i, rare[i % 40] + often[i % 7]) for i in range(120)], "doc_id long, text string")
+    assert T.frequent_words(many, size=9) == [*often, " qaa", " qab"]  # 40 words of one class, more than four times the size
 
 
 def test_public_vocabulary(spark):

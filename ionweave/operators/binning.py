@@ -101,9 +101,10 @@ def plane(df: DataFrame, chunk: int | None, n_chunks: int) -> DataFrame:
     return cells.join(F.broadcast(stats), "band")  # one row per band, n_chunks at most
 
 
-def inverted_index(df: DataFrame, resolution: int) -> DataFrame:
-    """Per m/z bin the peaks that fall into it."""
-    return df.groupBy(mz_key(resolution).alias("bin")).agg(F.array_sort(F.collect_list(F.struct("frame_id", "scan", "intensity"))).alias("postings"))
+def inverted_index(df: DataFrame, resolution: int, frames_per_row: int | None = None) -> DataFrame:
+    """Per m/z bin the peaks that fall into it; with ``frames_per_row`` a row a bin and block of frames, so that no list grows with the run."""
+    block = [] if frames_per_row is None else [F.floor(F.col("frame_id") / frames_per_row).alias("block")]
+    return df.groupBy(mz_key(resolution).alias("bin"), *block).agg(F.array_sort(F.collect_list(F.struct("frame_id", "scan", "intensity"))).alias("postings"))
 
 
 def tof_axis(df: DataFrame, step: int) -> DataFrame:

@@ -13,6 +13,8 @@ gone and one that is new.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +190,7 @@ def canonical_names(names: list[tuple[str, str, int]], moved: list[tuple[str, st
 
     Names of one producer that renames or equal letters and digits join form a group; what one producer calls a field says
     nothing about another's. A group takes the known column in it; one that has several known columns is not joined beyond equal letters. A
-    group without any takes its most frequent name, by which groups of several producers meet.
+    group without any takes its most frequent name; groups of several producers meet by letters and digits, in the spelling most frequent over all.
     """
     if len(names) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} field names")
@@ -212,12 +214,18 @@ def canonical_names(names: list[tuple[str, str, int]], moved: list[tuple[str, st
     groups: dict[tuple[str, str], list[tuple[int, str]]] = {}
     for p, n, count in names:
         groups.setdefault(root((p, plain(n))), []).append((-count, n))
+    total: Counter[str] = Counter()
+    for _, n, count in names:
+        total[n] += count
+    spelling: dict[str, str] = {}
+    for n in sorted(total, key=lambda n: (-total[n], n)):
+        spelling.setdefault(plain(n), n)
     out: dict[tuple[str, str], str] = {}
     for (p, _), g in groups.items():
         own = {column[plain(n)] for _, n in g if plain(n) in column}
         common = min(g)[1]
         for _, n in g:
-            out[p, n] = column.get(plain(n)) or (own.copy().pop() if len(own) == 1 else n if own else common)
+            out[p, n] = column.get(plain(n)) or (min(own) if len(own) == 1 else spelling[plain(n if own else common)])
     return out
 
 
@@ -227,13 +235,13 @@ def fused_table(files: DataFrame, tagged: DataFrame, moved: DataFrame, export_ta
     Each struct has the alternative that occurred (``tag``), its typed branches (``as_integer``, ``as_decimal``,
     ``as_boolean``, ``as_text``, ``as_nested``), the canonical text and ``others``: where several columns of one record
     are the same field, name and text of all but the first by name, the field's own name before all. ``known`` gives the
-    expected columns; fields beyond them follow in order of name. Records whose values are all missing are kept. Only field names come to the driver.
+    expected columns; fields beyond them follow in order of name. Fields that are called as the record's own columns end in ``_value``. Records whose values are all missing are kept. Only field names come to the driver.
     """
     own = files.where(F.col("export_table") == export_table).select("file_id", F.coalesce("producer", F.lit("")).alias("producer"))
     mine = tagged.join(own, "file_id")
     names = [tuple(r) for r in mine.where("name is not null").groupBy("producer", "name").agg(F.count_distinct("file_id").alias("n")).limit(MAX_FIELDS + 1).collect()]
     links = [tuple(r) for r in moved.join(own, "file_id").select("producer", "old_name", "new_name").distinct().limit(MAX_FIELDS + 1).collect()]
-    to = canonical_names(names, links, list(known))
+    to = {k: f"{c}_value" if c.lower() in ("file_id", "line_no", "record_no") else c for k, c in canonical_names(names, links, list(known)).items()}
     fields = [*known, *sorted(set(to.values()) - set(known))]
     table = mine.sparkSession.createDataFrame([(p, n, c) for (p, n), c in to.items()] or [("", "", "")], "producer string, name string, field string")
     x = mine.join(F.broadcast(table), ["producer", "name"], "left")  # at most MAX_FIELDS names
@@ -248,8 +256,9 @@ def fused_table(files: DataFrame, tagged: DataFrame, moved: DataFrame, export_ta
     parts = ("tag", "as_integer", "as_decimal", "as_boolean", "as_text", "as_nested", "canonical")
 
     def first(field: str) -> Column:
-        b = F.get(F.col(f"`{field}`"), F.lit(0))
-        others = F.transform(F.slice(F.col(f"`{field}`"), 2, MAX_FIELDS), lambda o: F.struct(o["name"].alias("name"), o["canonical"].alias("canonical")))
+        values = F.col("`" + field.replace("`", "``") + "`")
+        b = F.get(values, F.lit(0))
+        others = F.transform(F.slice(values, 2, MAX_FIELDS), lambda o: F.struct(o["name"].alias("name"), o["canonical"].alias("canonical")))
         return F.when(b.isNotNull(), F.struct(*[b[p].alias(p) for p in parts], others.alias("others"))).alias(field)
 
     return wide.select("file_id", "line_no", "record_no", *[first(f) for f in fields])

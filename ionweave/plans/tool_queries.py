@@ -197,4 +197,6 @@ _TERM = "(SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '[UNIMOD:1]-' WHEN row_id
 _termini = lambda v: v.table("parse_diann_report").where("sequence_modified is not null").select("row_id", F.concat(F.when(F.col("row_id") % 3 == 0, "[UNIMOD:1]-").when(F.col("row_id") % 7 == 0, "[oops]-").otherwise(""), F.regexp_replace("sequence_modified", r"\(UniMod:([0-9]+)\)", "[UNIMOD:$1]"), F.when(F.col("row_id") % 5 == 0, "-[UNIMOD:2]").otherwise("")).alias("t"))
 R.add("i303_termini", lambda v: _termini(v).select("row_id", C.parse_termini(F.col("t")).alias("p")).select("row_id", "p.n_term", "p.c_term", F.size("p.residues").alias("n"), F.size(F.filter("p.residues", lambda r: r["unimod"].isNotNull())).alias("mods")).where("n > 0"), f"SELECT row_id, CASE WHEN row_id % 3 = 0 THEN CAST(1 AS INT) END AS n_term, CASE WHEN row_id % 5 = 0 THEN CAST(2 AS INT) END AS c_term, CAST(length(regexp_replace(s, '\\[[^\\]]*\\]', '', 'g')) AS INT) AS n, CAST(len(regexp_extract_all(s, 'UNIMOD')) AS INT) AS mods FROM {_TERM} q WHERE (row_id % 3 = 0 OR row_id % 7 <> 0) AND regexp_full_match(s, '(?:[A-Za-z](?:\\[(?:UNIMOD:[0-9]+)?\\])?){{2,}}')")
 
+R.add("i142_blocks", lambda v: B.inverted_index(v.peaks, 0, 64).select("bin", "block", F.size("postings").alias("n"), F.get("postings", F.lit(0))["frame_id"].alias("first_frame")), "SELECT CAST(round(mz) AS BIGINT) AS bin, CAST(floor(frame_id / 64.0) AS BIGINT) AS block, CAST(count(*) AS INT) AS n, min(frame_id) AS first_frame FROM v_peaks GROUP BY CAST(round(mz) AS BIGINT), floor(frame_id / 64.0)", "peaks")
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -87,3 +87,13 @@ def test_a_producers_renames_are_its_own():
     names = [("a", "rt", 1), ("a", "time", 1), ("b", "mz", 1), ("b", "time", 1), ("c", "Extra", 2), ("d", "extra", 1), ("e", "rt", 1), ("e", "x", 1), ("e", "mz", 1)]
     got = D.canonical_names(names, [("a", "rt", "time"), ("b", "mz", "time"), ("e", "rt", "x"), ("e", "x", "mz")], ["rt", "mz"])
     assert got["a", "time"] == "rt" and got["b", "time"] == "mz" and got["e", "rt"] == "rt" and got["e", "mz"] == "mz" and got["e", "x"] == "x"
+    assert got["c", "Extra"] == got["d", "extra"] == "Extra"
+
+
+def test_fields_called_as_the_records_own_columns(spark):
+    files, rows = tables(spark, {"p": ("json", [{1: {"file_id": 5, "Weight": 1}}]), "q": ("json", [{2: {"weight": 2, "WEIGHT ": 3}}])})
+    none = spark.createDataFrame([], "file_id long, old_name string, new_name string")
+    t = {r["record_no"]: r.asDict(True) for r in D.fused_table(files, D.tagged_values(files, rows), none, "peptides", {"seq": "string"}).collect()}
+    assert t[1]["file_id_value"]["as_integer"] == 5 and t[1]["file_id"] == 1 and t[1]["seq"] is None
+    name = next(k for k in t[1] if k.strip().lower() == "weight")
+    assert t[1][name]["as_integer"] == 1 and sorted([t[2][name]["canonical"], t[2][name]["others"][0]["canonical"]]) == ["2", "3"]

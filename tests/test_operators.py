@@ -397,3 +397,28 @@ def test_empty_inputs(spark):
     p = spark.createDataFrame([], "frame_id int, scan int, tof int, mz double, intensity double, mobility double")
     for out in (B.to_resolution(p, 1, "frame_id"), W.centroid(p, 0.1, ["tof"], "frame_id"), W.value_windows(p, 1.0, 1, 0.0), G.deisotope(p, ["frame_id"]), T.top_spectrum(p, 3, "frame_id"), B.upper_median(p, "mz"), M.scan_slices(p)):
         assert out.count() == 0
+
+
+def test_target_sums_equal_brute_force(spark):
+    """Sums are made where peaks meet their targets: values as by brute force, and no pair is shuffled."""
+    from ionweave.operators import assembly as M
+
+    rng = np.random.default_rng(7)
+    mz = np.concatenate([rng.uniform(100, 101, 300), [0.0, 500.0, 500.05, 499.95, 500.0501]])
+    peaks = [(i % 7 if i % 11 else None, float(m), (i % 13) / 13, float(i % 5) if i % 17 else None) for i, m in enumerate(mz)] + [(1, None, 0.5, 1.0), (1, -3.0, 0.5, 1.0)]
+    targets = [(i % 50 if i % 23 else None, float(m)) for i, m in enumerate(rng.uniform(100, 101, 60))] + [(90, 500.0), (91, 0.0), (92, -3.0), (93, None), (94, 700.0)]
+    want = {"frame_id": {}, "bin": {}}
+    for t, m in targets:
+        for frame, x, mobility, w in peaks:
+            if m is not None and x is not None and m * (1 - 1e-4) <= x <= m * (1 + 1e-4):
+                for k, v in (("frame_id", frame), ("bin", round(mobility * 1000))):
+                    want[k].setdefault((t, v), []).append(w)
+    want = {k: {key: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for key, v in d.items()} for k, d in want.items()}
+    p, t = spark.createDataFrame(peaks, "frame_id int, mz double, mobility double, intensity double"), spark.createDataFrame(targets, "target_id long, target_mz double")
+    for name, got in (("frame_id", M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id")), ("bin", M.mobilograms(p, t, 100.0))):
+        rows = got.collect()
+        assert len(rows) == len(want[name]) and {(r["target_id"], r[name]): r["intensity"] for r in rows} == want[name]
+    small = M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id", windows=1, chunk=1).collect()
+    assert {(r["target_id"], r["frame_id"]): r["intensity"] for r in small} == want["frame_id"]
+    once = M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_k" not in once.split("FlatMapCoGroupsInArrow")[0]

@@ -415,10 +415,10 @@ def test_target_sums_equal_brute_force(spark):
                     want[k].setdefault((t, v), []).append(w)
     want = {k: {key: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for key, v in d.items()} for k, d in want.items()}
     p, t = spark.createDataFrame(peaks, "frame_id int, mz double, mobility double, intensity double"), spark.createDataFrame(targets, "target_id long, target_mz double")
-    for name, got in (("frame_id", M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id")), ("bin", M.mobilograms(p, t, 100.0))):
+    for name, got in (("frame_id", M.chromatograms(p, t, 100.0)), ("bin", M.mobilograms(p, t, 100.0))):
         rows = got.collect()
         assert len(rows) == len(want[name]) and {(r["target_id"], r[name]): r["intensity"] for r in rows} == want[name]
     small = M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id", windows=1, chunk=1).collect()
     assert {(r["target_id"], r["frame_id"]): r["intensity"] for r in small} == want["frame_id"]
-    once = M.target_sums(p, t, 100.0, F.col("frame_id"), "frame_id")._jdf.queryExecution().executedPlan().toString()
+    once = M.chromatograms(p, t, 100.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_k" not in once.split("FlatMapCoGroupsInArrow")[0]

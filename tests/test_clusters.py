@@ -96,3 +96,25 @@ def test_dense_cells_equal_brute_force(spark):
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
     got = {r["id"]: (r["cluster"], r["core"]) for r in K.dbscan(df, ["x", "y"], eps, least).collect()}
     assert [got[i] for i in range(len(pts))] == [(w, bool(c)) for w, c in zip(want, core)]
+
+
+@pytest.mark.parametrize("block, chunk", [(32, 1_000_000), (3, 1)])
+def test_traces_equal_brute_force(spark, block, chunk):
+    rng = np.random.default_rng(5)
+    frames = [(int(f), float(i), k) for k in (0, 1) for i, f in enumerate(range(100 * k, 100 * k + 40))]
+    peaks = [(int(rng.integers(0, 140)), int(rng.integers(-3, 12)), int(rng.integers(0, 50)), float(rng.integers(0, 9))) for _ in range(1500)] + [(5, None, 1, 1.0), (5, 1, 1, None)]
+    im = []
+    for i in range(80):
+        a, b = (int(x) for x in rng.integers(0, 40, 2))
+        s, t = int(rng.integers(-3, 10)), int(rng.integers(0, 40))
+        im.append((i, i % 2, a + 100 * (i % 2), b + 100 * (i % 2), s, s + int(rng.integers(-1, 4)), *((0, 10**9) if i % 3 == 0 else (t, t + 8))))
+    want = {}
+    for i, k, a, b, s0, s1, t0, t1 in im:
+        lo, hi = max(min(a, b) - 100 * k - 1, 0), min(max(a, b) - 100 * k + 1, 39)
+        y = [sum(w for f, s, t, w in peaks if None not in (s, w) and f == 100 * k + p and s0 <= s <= s1 and t0 <= t <= t1) for p in range(lo, hi + 1)]
+        if max(y) > 0:
+            want[i] = (lo, [float(p) for p in range(lo, hi + 1)], y)
+    p = spark.createDataFrame(peaks, "frame_id int, scan int, tof int, intensity double")
+    m = spark.createDataFrame(im, "im_id long, key int, frame_lo int, frame_hi int, scan_lo int, scan_hi int, tof_lo int, tof_hi int")
+    got = C.rt_traces(p, m, spark.createDataFrame(frames, "frame_id int, time double, key int"), "key", pad=1, block=block, chunk=chunk).collect()
+    assert len(got) == len(want) and {r["im_id"]: (r["lo"], r["times"], r["trace"]) for r in got} == want

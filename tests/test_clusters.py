@@ -118,3 +118,11 @@ def test_traces_equal_brute_force(spark, block, chunk):
     m = spark.createDataFrame(im, "im_id long, key int, frame_lo int, frame_hi int, scan_lo int, scan_hi int, tof_lo int, tof_hi int")
     got = C.rt_traces(p, m, spark.createDataFrame(frames, "frame_id int, time double, key int"), "key", pad=1, block=block, chunk=chunk).collect()
     assert len(got) == len(want) and {r["im_id"]: (r["lo"], r["times"], r["trace"]) for r in got} == want
+
+
+def test_fallback_values_are_computed_once(spark):
+    """Named values within the peak do not multiply its work: the filter of low places and the maximum occur once each, however often they are used."""
+    df = spark.createDataFrame([([0.0, 5.0, 10.0, 5.0, 0.0],)], "y array<double>").select(C.fallback_peak(F.col("y"), 0.5).alias("p"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") <= 3 and plan.count("array_max(") <= 3
+    assert df.first()["p"]["area"] == pytest.approx(15.0)

@@ -126,3 +126,12 @@ def test_fallback_values_are_computed_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(") <= 3 and plan.count("array_max(") <= 3
     assert df.first()["p"]["area"] == pytest.approx(15.0)
+
+
+def test_traces_do_not_search_the_axis(spark):
+    """No row carries or searches the frames of the whole run; boxes of the traces' peaks come out as before."""
+    peaks, im, frames = run_of(spark)
+    traces = C.rt_traces(peaks, im, frames, "ms_type", pad=1)
+    assert "array_position" not in traces._jdf.queryExecution().optimizedPlan().toString()
+    p = traces.withColumn("p", C.fallback_peak(F.col("trace"))).select("im_id", (F.col("lo") + F.floor("p.left")).alias("frame_lo"), (F.col("lo") + F.ceil("p.right")).alias("frame_hi"))
+    assert [tuple(r) for r in C.boxes(im, p, F.lit(30), F.lit(6000), rt_pad=1).collect()] == [(1, 3, 13, 45, 54, 90, 110)]

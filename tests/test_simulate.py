@@ -88,3 +88,23 @@ def test_ordered_statistics_in_blocks(spark):
     nb = {r["t"]: (r["before"], r["after"]) for r in W.neighbours(spark.createDataFrame([(float(t),) for t in (1, 2, 9, 40, 41)], "t double"), "t", F.floor(F.col("t") / 8)).collect()}
     assert nb == {1.0: (None, 2.0), 2.0: (1.0, 9.0), 9.0: (2.0, 40.0), 40.0: (9.0, 41.0), 41.0: (40.0, None)}
     assert W.exact_quantiles(df.limit(0), F.col("v"), (0.5,), "k").count() == 0
+
+
+def test_pasef_draws_are_the_first_by_hash(spark):
+    """The border on hashes changes no draw: neither with plenty of windows, nor where too few lie below it, nor where fewer exist than asked for."""
+    targets = spark.createDataFrame([(i, 40 * (i % 3)) for i in range(30)], "frame_id int, scan_center int")
+    windows = spark.createDataFrame([(i, i % 4, i % 50, i % 50 + 6) for i in range(600)] + [(1000, 1, 78, 84)], "window_id long, source_id int, scan_begin int, scan_end int")
+    peaks = spark.createDataFrame([(f, s, 10 * f + s, 100.0 + s, 1.0) for f in range(4) for s in range(90)], "frame_id int, scan int, tof int, mz double, intensity double")
+    pairs = targets.crossJoin(windows).where("abs((scan_begin + scan_end) / 2 - scan_center) <= 5").withColumn("h", F.xxhash64("frame_id", "window_id", F.lit(0)))
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r["frame_id"], []).append((r["h"], r["window_id"], r["source_id"], r["scan_begin"], r["scan_end"]))
+    want = {}
+    for f, near in by.items():
+        for _, _, _, a, b in sorted(near)[:2]:
+            for s in range(a, b + 1):
+                want[f, s] = want.get((f, s), 0) + 1.0
+    assert {len(v) for v in by.values()} >= {1} and max(map(len, by.values())) > 60
+    for spare in (64, -15, 0):  # -15: a border that one window in a target reaches on average
+        rows = S.sample_pasef_noise(targets, windows, peaks, 2, 1.1, 5, spare=spare).collect()
+        assert len(rows) == len(want) and {(r["frame_id"], r["scan"]): r["intensity"] for r in rows} == want

@@ -135,3 +135,14 @@ def test_traces_do_not_search_the_axis(spark):
     assert "array_position" not in traces._jdf.queryExecution().optimizedPlan().toString()
     p = traces.withColumn("p", C.fallback_peak(F.col("trace"))).select("im_id", (F.col("lo") + F.floor("p.left")).alias("frame_lo"), (F.col("lo") + F.ceil("p.right")).alias("frame_hi"))
     assert [tuple(r) for r in C.boxes(im, p, F.lit(30), F.lit(6000), rt_pad=1).collect()] == [(1, 3, 13, 45, 54, 90, 110)]
+
+
+def test_peaks_of_many_traces_equal_one_by_one():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 4, 9, 14, 40):
+        y = np.concatenate([rng.integers(0, 6, (60, n)), rng.integers(0, 2, (20, n)) * 50, np.zeros((2, n)), np.full((2, n), 3)]).astype(float)
+        t = np.cumsum(rng.choice([0.5, 1.0, 3.0], (len(y), n)), axis=1)
+        for o in ({}, {"smooth_s": 1.0, "noise_factor": 1.0, "min_distance_s": 3.0}, {"smooth_s": 2.0, "min_prominence": 0.5, "min_width_s": 1.0, "min_distance_s": 6.0, "of_best": 0.3}):
+            want = [(i, *p) for i in range(len(y)) for p in C.trace_peaks(y[i], t[i], **o)]
+            got = list(zip(*(v.tolist() for v in C.traces_peaks(y, t, **o))))
+            assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose(np.array(got), np.array(want), rtol=1e-9, atol=1e-9)

@@ -146,3 +146,22 @@ def test_peaks_of_many_traces_equal_one_by_one():
             want = [(i, *p) for i in range(len(y)) for p in C.trace_peaks(y[i], t[i], **o)]
             got = list(zip(*(v.tolist() for v in C.traces_peaks(y, t, **o))))
             assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose(np.array(got), np.array(want), rtol=1e-9, atol=1e-9)
+
+
+def test_box_moments_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    peaks = [(int(rng.integers(0, 60)), int(rng.integers(0, 20)), int(rng.integers(0, 50)), float(rng.integers(0, 9))) for _ in range(1500)]
+    spec = []
+    for i in range(80):
+        a, b, c = (int(rng.integers(-5, m)) for m in (60, 20, 50))
+        spec.append((i, a, a + int(rng.integers(-1, 40)), b, b + int(rng.integers(0, 5)), *((0, 10**6) if i % 3 == 0 else (c, c + 9))))
+    want = {}
+    for i, *e in spec:
+        hit = np.array([p for p in peaks if all(e[2 * d] <= p[d] <= e[2 * d + 1] for d in range(3))])
+        if len(hit) and hit[:, 3].sum() > 0:
+            mu = [np.average(hit[:, d], weights=hit[:, 3]) for d in range(3)]
+            want[i] = (len(hit), hit[:, 3].sum(), *(v for d in range(3) for v in (mu[d], math.sqrt(np.average((hit[:, d] - mu[d]) ** 2, weights=hit[:, 3])))))
+    p = spark.createDataFrame(peaks, "frame_id int, scan int, tof int, intensity double")
+    s = spark.createDataFrame(spec, "cluster_id long, frame_id_lo int, frame_id_hi int, scan_lo int, scan_hi int, tof_lo int, tof_hi int")
+    got = {r["cluster_id"]: tuple(r)[1:] for r in C.box_moments(p, s, width=7.0, chunk=5).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)

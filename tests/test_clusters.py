@@ -137,6 +137,49 @@ def test_traces_do_not_search_the_axis(spark):
     assert [tuple(r) for r in C.boxes(im, p, F.lit(30), F.lit(6000), rt_pad=1).collect()] == [(1, 3, 13, 45, 54, 90, 110)]
 
 
+@pytest.mark.parametrize("block, unit", [(32, 1.0), (32, 0.125), (3, 1.0), (7, 0.125)])
+def test_fallback_boxes_equal_boxes_of_joined_peaks(spark, block, unit):
+    """Spans that are met whole and spans put together of parts give the boxes of brute-force traces, for whole and for fractional intensities; every peak is in reach of tof."""
+    rng = np.random.default_rng(7)
+    frames = spark.createDataFrame([(i, float(i), 0) for i in range(60)], "frame_id int, time double, ms_type int")
+    peaks = [(int(rng.integers(0, 60)), int(rng.integers(0, 14)), int(rng.integers(0, 50)), unit * int(rng.integers(0, 9))) for _ in range(700)]
+    im = [(i, 0, a, min(a + int(rng.integers(0, 7 if i % 2 else 60)), 59), s, s - 1, s + 1, None if i % 3 else 2.5, 0, 10**9) for i, (a, s) in enumerate(rng.integers((0, 0), (60, 13), (90, 2)).tolist())]
+    traces = [(i, lo, [float(sum(w for f, s, _, w in peaks if f == p and s0 <= s <= s1)) for p in range(lo, hi + 1)]) for i, _, a, b, _, s0, s1, *_ in im for lo, hi in [(max(a - 2, 0), min(b + 2, 59))]]
+    p = spark.createDataFrame([t for t in traces if max(t[2]) > 0], "im_id long, lo int, trace array<double>").withColumn("p", C.fallback_peak(F.col("trace")))
+    ends = [(F.col("lo") + F.least(F.greatest(e, F.lit(0)), F.size("trace") - 1)).alias(c) for e, c in ((F.floor("p.left"), "frame_lo"), (F.ceil("p.right"), "frame_hi"))]
+    spans, sizes = spark.createDataFrame(im, IM), (F.lit(60), F.lit(50))
+    want = sorted(map(tuple, C.boxes(spans, p.select("im_id", *ends), *sizes, rt_pad=1, im_pad=1).collect()))
+    q = C.rt_traces(spark.createDataFrame(peaks, "frame_id int, scan int, tof int, intensity double"), spans, frames, "ms_type", pad=2, block=block)
+    for t in q.collect():
+        assert t["trace"] == pytest.approx(traces[t["im_id"]][2]) and t["lo"] == traces[t["im_id"]][1]
+    got = C.fallback_boxes(spark.createDataFrame(peaks, "frame_id int, scan int, tof int, intensity double"), spans, frames, "ms_type", n_places=sizes[0], n_tof=sizes[1], pad=2, rt_pad=1, im_pad=1, block=block)
+    assert len(want) > 60 and sorted(map(tuple, got.collect())) == want
+
+
+def test_fallback_ends_equal_the_peak_of_each_trace(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    inf, nan = math.inf, math.nan
+    rows = [[3.0], [5.0, 5.0], [0.0, 4.0, 4.0, 0.0], [1.0, 9.0], [9.0, 1.0], [8.0, 9.0, 8.0], [0.0, inf, 1.0], [1.0, nan, 2.0], [0.9, 0.9, 10.0, 0.9, 0.9]]
+    rows += [(rng.integers(0, 9, n) ** 3 * (rng.random(n) < 0.7) + (k == 0)).astype(float).tolist() for k in range(40) for n in (1, 2, 3, 10, 17)]
+    rows = [y for y in rows if not max(y) <= 0]
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(rows)], "i int, y array<double>").withColumn("p", C.fallback_peak(F.col("y")))
+    want = [(r["a"], r["b"]) for r in df.orderBy("i").select(*[(F.col("i") + F.least(F.greatest(e, F.lit(0)), F.size("y") - 1)).alias(c) for e, c in ((F.floor("p.left"), "a"), (F.ceil("p.right"), "b"))]).collect()]
+    assert list(zip(*(x.tolist() for x in C.fallback_ends(pa.table({"lo": np.arange(len(rows), dtype=np.int32), "trace": rows}))))) == want
+
+
+def test_boxes_query_neither_joins_nor_walks_traces(spark, tmp_path):
+    """Boxes are made where the traces are: no join by mobility peak, and no function over a trace's elements row by row."""
+    from ionweave.plans.cluster_queries import QUERIES
+
+    spark.sql("SELECT id AS s_suppkey FROM range(60)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT id AS o_orderkey, id * 7 AS o_custkey, 1.0D AS o_totalprice FROM range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS l_orderkey, id * 11 AS l_partkey, id % 60 AS l_suppkey, 1.0D AS l_quantity, 1.0D AS l_extendedprice FROM range(500)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = QUERIES["i212_boxes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(im_id#" not in "".join(x for x in plan.splitlines() if "Join" in x) and "filter(" not in plan and "aggregate(" not in plan
+
+
 def test_peaks_of_many_traces_equal_one_by_one():
     rng = np.random.default_rng(9)
     for n in (1, 2, 3, 4, 9, 14, 40):

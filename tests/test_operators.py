@@ -422,3 +422,29 @@ def test_target_sums_equal_brute_force(spark):
     assert {(r["target_id"], r["frame_id"]): r["intensity"] for r in small} == want["frame_id"]
     once = M.chromatograms(p, t, 100.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_k" not in once.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_target_sums_shuffle_peaks_once_and_leave_in_runs(spark, tmp_path):
+    """Where targets share no id, peaks pass one shuffle; the result's order keeps its files small."""
+    rng = np.random.default_rng(5)
+    peaks = [(int(f), float(m), float(w)) for f, m, w in zip(rng.integers(0, 1000, 4000), rng.uniform(500, 500.5, 4000), rng.integers(1, 51, 4000), strict=True)]
+    targets = [(int(i), float(m)) for i, m in zip(rng.permutation(2000), rng.uniform(500, 500.5, 2000), strict=True)]
+    p, t = spark.createDataFrame(peaks, "frame_id int, mz double, intensity double").coalesce(1), spark.createDataFrame(targets, "target_id long, target_mz double").coalesce(1)
+    got = M.chromatograms(p, t, 100.0)
+    got.write.parquet(str(tmp_path / "sums"))
+    out = spark.read.parquet(str(tmp_path / "sums"))
+    frame, mz, w = (np.array(c) for c in zip(*peaks, strict=True))
+    hit = [(mz >= m * (1 - 1e-4)) & (mz <= m * (1 + 1e-4)) for _, m in targets]
+    rows = sum(len(np.unique(frame[h])) for h in hit)
+    assert out.count() == rows == out.select("target_id", "frame_id").distinct().count()
+    sums = {r["target_id"]: r["s"] for r in out.groupBy("target_id").agg(F.sum("intensity").alias("s")).collect()}
+    assert sums == {i: w[h].sum() for (i, _), h in zip(targets, hit, strict=True)}
+    assert sum(f.stat().st_size for f in (tmp_path / "sums").glob("*.parquet")) < rows
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.chromatograms(p, t, 100.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # peaks for shared ids are dropped before their shuffle, which a join of two shuffles would not do
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
